@@ -7,12 +7,6 @@ from pyspark.sql import functions as F
 
 DAY_US = 86_400_000_000
 
-# The spellings a UUID may have (dashed, bare, braced, URN).
-UUID_PATTERN = (
-    r"^(urn:uuid:)?\{?[0-9a-fA-F]{8}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{12}\}?$"
-)
-
-
 def as_column(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -22,10 +16,6 @@ def ts(value) -> Column:
     return value if isinstance(value, Column) else F.lit(str(value)).cast("timestamp")
 
 
-def seconds(n: int) -> Column:
-    return F.make_dt_interval(secs=F.lit(float(n)))
-
-
 def null_as_text(c) -> Column:
     """A missing category is the category 'None'."""
     return F.coalesce(as_column(c).cast("string"), F.lit("None"))
@@ -65,7 +55,9 @@ def session_hash(user, at, minutes: int = 30) -> Column:
 
 
 def is_uuid(c) -> Column:
-    return F.coalesce(as_column(c).rlike(UUID_PATTERN), F.lit(False))
+    """32 hexadecimal digits, with or without dashes, braces or a URN prefix."""
+    bare = F.regexp_replace(F.regexp_replace(as_column(c), "urn:|uuid:", ""), r"^[{}]+|[{}]+$|-", "")
+    return F.coalesce(bare.rlike("^[0-9a-fA-F]{32}$"), F.lit(False))
 
 
 def rate_text(rate) -> Column:

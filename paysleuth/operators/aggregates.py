@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from paysleuth.functions.scalars import cents, epoch_bucket, safe_ratio, ts
 from paysleuth.plans.ordered import DEFAULT_POLICY, SplitPolicy, exact_quantiles
 
-FRAUD = F.col("is_fraud")
+FRAUD = "is_fraud"
 
 
 def since(df: DataFrame, as_of, span: str, column: str = "timestamp") -> DataFrame:
@@ -111,7 +111,7 @@ def latency_percentiles(predictions: DataFrame, seconds: int = 300, policy: Spli
 
 
 def labeled_summary(df: DataFrame, minimum: int = 1000) -> DataFrame:
-    labelled = df.filter(FRAUD.isNotNull()).agg(
+    labelled = df.filter(F.col(FRAUD).isNotNull()).agg(
         F.count(F.lit(1)).alias("row_count"),
         F.min("timestamp").alias("data_from"),
         F.max("timestamp").alias("data_to"),
@@ -142,7 +142,7 @@ def seed_summary(df: DataFrame) -> DataFrame:
 def class_distribution(df: DataFrame) -> DataFrame:
     """Count and percentage per class; a row without a label counts as legitimate."""
     one_row = df.agg(
-        F.count_if(FRAUD.eqNullSafe(True)).alias("fraud"), F.count_if(~FRAUD.eqNullSafe(True)).alias("legit")
+        F.count_if(F.col(FRAUD).eqNullSafe(True)).alias("fraud"), F.count_if(~F.col(FRAUD).eqNullSafe(True)).alias("legit")
     )
     total = F.col("fraud") + F.col("legit")
     stacked = one_row.withColumn("total", total).unpivot(["total"], ["legit", "fraud"], "class", "count")
@@ -151,7 +151,7 @@ def class_distribution(df: DataFrame) -> DataFrame:
 
 def amount_stats(df: DataFrame, policy: SplitPolicy = DEFAULT_POLICY) -> DataFrame:
     """Mean, median, deviation, range and upper quantiles of the amount per class."""
-    rows = df.select(FRAUD.eqNullSafe(True).alias("is_fraud"), F.col("amount").cast("double").alias("amount"))
+    rows = df.select(F.col(FRAUD).eqNullSafe(True).alias("is_fraud"), F.col("amount").cast("double").alias("amount"))
     moments = rows.groupBy("is_fraud").agg(
         F.avg("amount").alias("mean"),
         F.stddev_samp("amount").alias("std"),
@@ -165,7 +165,7 @@ def amount_stats(df: DataFrame, policy: SplitPolicy = DEFAULT_POLICY) -> DataFra
 def amount_histogram(df: DataFrame, bins: int = 50) -> DataFrame:
     """Equal-width bins of the positive amounts, per class over the range of that class."""
     rows = df.filter(F.col("amount") > 0).select(
-        FRAUD.eqNullSafe(True).alias("is_fraud"), F.col("amount").cast("double").alias("amount")
+        F.col(FRAUD).eqNullSafe(True).alias("is_fraud"), F.col("amount").cast("double").alias("amount")
     )
     ranges = rows.groupBy("is_fraud").agg(F.min("amount").alias("lo"), F.max("amount").alias("hi"))
     # at most two rows
@@ -240,7 +240,7 @@ def heatmap_hour_dow(df: DataFrame) -> DataFrame:
     cells = df.select(
         F.hour("timestamp").cast("long").alias("hour"),
         F.weekday("timestamp").alias("dow"),
-        F.coalesce(FRAUD.cast("int"), F.lit(0)).alias("y"),
+        F.coalesce(F.col(FRAUD).cast("int"), F.lit(0)).alias("y"),
     )
     wide = cells.groupBy("hour").pivot("dow", list(range(7))).agg(F.avg("y") * 100)
     hours = df.sparkSession.range(24).withColumnRenamed("id", "hour")
@@ -273,8 +273,8 @@ def missing_domain(df: DataFrame) -> DataFrame:
     """How an unknown label enters each rate: it is never fraud, and only the mean leaves it out."""
     return df.agg(
         F.count(F.lit(1)).alias("total"),
-        F.count_if(FRAUD.isNull()).alias("unlabelled"),
+        F.count_if(F.col(FRAUD).isNull()).alias("unlabelled"),
         F.count_if("is_fraud").alias("fraud"),
         safe_ratio(F.count_if("is_fraud"), F.count(F.lit(1))).alias("rate_of_all"),
-        F.avg(FRAUD.cast("int")).alias("rate_of_labelled"),
+        F.avg(F.col(FRAUD).cast("int")).alias("rate_of_labelled"),
     )

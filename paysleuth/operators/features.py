@@ -18,13 +18,18 @@ from pyspark.sql import types as T
 
 from paysleuth.functions.scalars import cents, null_as_text, ts
 from paysleuth.plans.ordered import DEFAULT_POLICY, SplitPolicy, large_groups, running
-from paysleuth.schemas import FEATURES, PROFILE_FEATURES, REQUIRED_COLUMNS, WINDOW_FEATURES
+from paysleuth.schemas import (
+    FEATURES,
+    MODEL_INPUT,
+    PROFILE_FEATURES,
+    REQUEST_FEATURES,
+    REQUIRED_COLUMNS,
+    WINDOW_FEATURES,
+)
 
 HOUR_US = 3_600_000_000
 WINDOWS_US = {"1h": HOUR_US, "24h": 24 * HOUR_US, "7d": 168 * HOUR_US}
 
-_INTERNAL = ["_us", "_cents", "_country", "_merchant"]
-
 
 def require_columns(df: DataFrame, needed: set[str] = REQUIRED_COLUMNS) -> None:
     missing = sorted(needed - set(df.columns))
@@ -68,7 +73,7 @@ def _prepared(df: DataFrame) -> DataFrame:
     )
 
 
-def _echo(kinds: Column, at: Column) -> Column:
+def _echo(at: Column) -> Column:
     """Array of (kind, time): the row itself and its three echoes."""
     points = [F.struct(F.lit(0).alias("kind"), at.alias("at"))]
     for i, width in enumerate(WINDOWS_US.values(), start=1):
@@ -132,7 +137,7 @@ def _light_users(rows: DataFrame, ties: str) -> DataFrame:
         "_cents",
         "_first_c",
         "_first_m",
-        F.explode(_echo(F.lit(None), F.col("_us"))).alias("_e"),
+        F.explode(_echo(F.col("_us"))).alias("_e"),
     ).select(
         "user_id",
         F.col("_e.kind").alias("_kind"),
@@ -165,7 +170,7 @@ def _heavy_users(rows: DataFrame, ties: str, policy: SplitPolicy) -> DataFrame:
         flagged = flagged.withColumn("_new_m", F.col("_us") == F.col("_fm._us")).drop("_fc", "_fm")
         # all rows of a user at one time share their history, so the scan needs one point for them
         points = rows.groupBy("user_id", "_us").agg(F.count(F.lit(1)).alias("_cnt"), F.sum("_cents").alias("_sum"))
-        points = points.select("user_id", "_cnt", "_sum", F.explode(_echo(F.lit(None), F.col("_us"))).alias("_e"))
+        points = points.select("user_id", "_cnt", "_sum", F.explode(_echo(F.col("_us"))).alias("_e"))
         points = points.select("user_id", F.col("_e.kind").alias("_kind"), F.col("_e.at").alias("_at"), "_cnt", "_sum")
         none = F.lit(None).cast("long")
         points = points.withColumns({"_nc": none, "_nm": none})
@@ -191,7 +196,7 @@ def _heavy_users(rows: DataFrame, ties: str, policy: SplitPolicy) -> DataFrame:
     ).drop("_fc", "_fm")
     payload = [c for c in flagged.columns if c != "user_id"]
     points = flagged.select(
-        "user_id", F.struct(*payload).alias("_row"), F.explode(_echo(F.lit(None), F.col("_us"))).alias("_e")
+        "user_id", F.struct(*payload).alias("_row"), F.explode(_echo(F.col("_us"))).alias("_e")
     ).select(
         "user_id",
         F.col("_e.kind").alias("_kind"),
@@ -322,3 +327,10 @@ def feature_map(df: DataFrame, names: list[str] | None = None) -> DataFrame:
     pairs = [x for n in names for x in (F.lit(n), F.col(n).cast("double"))]
     raw = [c for c in df.columns if c not in names]
     return df.select(*raw, F.create_map(*pairs).alias("features"))
+
+
+def request_vector(df: DataFrame, encoders) -> DataFrame:
+    """The 16 model inputs of a scoring request: direct features, codes, and values from ``features``."""
+    coded = encoders.transform(direct_features(df))
+    given = {n: F.col("features")[n] for n in REQUEST_FEATURES}
+    return coded.select("transaction_id", *[given[c].alias(c) if c in given else F.col(c) for c in MODEL_INPUT])

@@ -211,9 +211,9 @@ def running(
 
 def global_index(df: DataFrame, order: list[str], out: str = "row_index", policy: SplitPolicy = DEFAULT_POLICY):
     """0-based position of each row in the order of unique ``order`` columns, without one global task."""
-    keyed = df.withColumn("_key", F.struct(*order)).withColumn("_one", F.lit(1).cast("long"))
-    numbered = running(keyed, [], "_key", {out: ("sum", "_one")}, policy=policy)
-    return numbered.withColumn(out, F.coalesce(F.col(out), F.lit(0).cast("long"))).drop("_key", "_one")
+    keyed = df.withColumn("_order_key", F.struct(*order)).withColumn("_unit", F.lit(1).cast("long"))
+    numbered = running(keyed, [], "_order_key", {out: ("sum", "_unit")}, policy=policy)
+    return numbered.withColumn(out, F.coalesce(F.col(out), F.lit(0).cast("long"))).drop("_order_key", "_unit")
 
 
 def keys_at_ranks(df: DataFrame, order: list[str], ranks: list[int], policy: SplitPolicy = DEFAULT_POLICY) -> list:

@@ -85,9 +85,7 @@ PROFILE_FEATURES = [
 ]
 FEATURES = DIRECT_FEATURES + WINDOW_FEATURES + PROFILE_FEATURES
 MODEL_INPUT = [f for f in FEATURES if f not in ("tx_velocity_1h", "distinct_countries_seen")]
-REQUEST_FEATURES = [
-    f for f in MODEL_INPUT if f not in DIRECT_FEATURES
-]
+REQUEST_FEATURES = [f for f in MODEL_INPUT if f not in DIRECT_FEATURES]
 
 REQUIRED_COLUMNS = {
     "transaction_id",

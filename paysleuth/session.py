@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -49,10 +48,8 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def checkpointed(df):
-    """Cut lineage through reliable storage (survives the loss of executors)."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(os.path.join(shared_dir(spark), "rdd"))
-    return df.checkpoint(eager=True)
+def materialized(df, label: str = "table"):
+    """Cut lineage with a table in the shared folder: computed once, survives the loss of executors."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

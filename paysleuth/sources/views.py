@@ -28,8 +28,13 @@ def _number_in_props() -> Column:
 
 
 def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transactions_of(table(spark, sf_dir, "events"))
+
+
+def transactions_of(source: DataFrame) -> DataFrame:
+    """The transactions in an events table or stream."""
     k = F.col("k")
-    events = table(spark, sf_dir, "events").withColumn("k", _number_in_props())
+    events = source.withColumn("k", _number_in_props())
     user = F.concat(F.lit("user_"), F.lpad(F.col("user_id").cast("string"), 4, "0"))
     country = _pick(
         COUNTRIES,
@@ -88,7 +93,12 @@ def purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def predictions_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    source = table(spark, sf_dir, "events").withColumn("k", _number_in_props())
+    return predictions_of(table(spark, sf_dir, "events"))
+
+
+def predictions_of(events: DataFrame) -> DataFrame:
+    """The predictions in an events table or stream."""
+    source = events.withColumn("k", _number_in_props())
     label = F.when((F.col("event_type") == "signup") & (F.col("k") >= 90), F.lit(None)).otherwise(
         (F.col("event_type") == "error") & (F.col("k") < 10)
     )
