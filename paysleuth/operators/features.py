@@ -158,8 +158,10 @@ def _light_users(rows: DataFrame, ties: str) -> DataFrame:
     return scanned.filter(F.col("_kind") == 0).select("user_id", "_row.*", *_SCAN)
 
 
-def _heavy_users(rows: DataFrame, ties: str, policy: SplitPolicy) -> DataFrame:
+def _heavy_users(rows: DataFrame, ties: str, policy: SplitPolicy, hot: list[tuple]) -> DataFrame:
     """Scan of users too large for one task: time segments instead of one window per user."""
+    # each row makes four points
+    hot = [(user, 4 * n) for user, n in hot]
     one = F.lit(1).cast("long")
     when = F.struct("_us", "transaction_id")
     first_c = rows.groupBy("user_id", "_country").agg(F.min(when).alias("_fc"))
@@ -183,7 +185,7 @@ def _heavy_users(rows: DataFrame, ties: str, policy: SplitPolicy) -> DataFrame:
         merged = points.groupBy("user_id", "_at").agg(
             *[getattr(F, fn)(c).alias(c) for fn, c in _SCAN.values()],
         )
-        scanned = running(merged, ["user_id"], "_at", _SCAN, policy=policy)
+        scanned = running(merged, ["user_id"], "_at", _SCAN, policy=policy, hot=hot)
         scanned = scanned.filter(F.col("_p_n").isNotNull())
         history = scanned.select("user_id", F.col("_at").alias("_us"), *_SCAN)
         # a single (user, time) may hold very many rows: AQE splits the skewed side of this join
@@ -210,7 +212,7 @@ def _heavy_users(rows: DataFrame, ties: str, policy: SplitPolicy) -> DataFrame:
         F.when(F.col("_row._new_m"), one).alias("_first_m"),
     )
     points = points.withColumns(_point_columns(one, F.col("_cents"), F.col("_first_c"), F.col("_first_m")))
-    scanned = running(points, ["user_id"], "_key", _SCAN, policy=policy)
+    scanned = running(points, ["user_id"], "_key", _SCAN, policy=policy, hot=hot)
     return scanned.filter(F.col("_kind") == 0).select("user_id", "_row.*", *_SCAN)
 
 
@@ -239,7 +241,7 @@ def behaviour_features(
         )
         light = rows.join(F.broadcast(names), "user_id", "left_anti")
         heavy = rows.join(F.broadcast(names), "user_id", "left_semi")
-        scanned = _light_users(light, ties).unionByName(_heavy_users(heavy, ties, policy))
+        scanned = _light_users(light, ties).unionByName(_heavy_users(heavy, ties, policy, hot))
     else:
         scanned = _light_users(rows, ties)
 

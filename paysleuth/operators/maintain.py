@@ -12,24 +12,17 @@ from pyspark.sql import functions as F
 
 from paysleuth.functions.scalars import ts
 from paysleuth.session import materialized
-from paysleuth.sources.tables import DATE, with_date
+from paysleuth.sources.tables import DATE, with_date, write_daily
 
 
-def partition_daily(df: DataFrame, path: str, parts_per_day: int = 16) -> DataFrame:
-    """Write the table with one partition per day.
-
-    Rows are spread over (day, hash of the id), so a day with very many rows is written by several tasks.
-    """
-    dated = with_date(df)
-    spread = dated.repartition(DATE, F.pmod(F.xxhash64("transaction_id"), F.lit(parts_per_day)))
-    spread.write.mode("overwrite").partitionBy(DATE).parquet(path)
+def partition_daily(df: DataFrame, path: str) -> DataFrame:
+    """Write the table with one partition per day."""
+    write_daily(with_date(df), path, "overwrite")
     return df.sparkSession.read.parquet(path)
 
 
 def _replace_days(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option(
-        "compression", "zstd"
-    ).partitionBy(DATE).parquet(path)
+    write_daily(df, path, "overwrite", partitionOverwriteMode="dynamic")
 
 
 def compact_old(spark, path: str, as_of, days: int = 7, rows_per_file: int = 5_000_000) -> DataFrame:
@@ -47,7 +40,10 @@ def compact_old(spark, path: str, as_of, days: int = 7, rows_per_file: int = 5_0
         return table
     files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-count // rows_per_file))
     ranged = staged.repartitionByRange(files, DATE, "user_id", F.desc("timestamp"))
-    _replace_days(ranged.sortWithinPartitions(DATE, "user_id", F.desc("timestamp")), path)
+    clustered = ranged.sortWithinPartitions(DATE, "user_id", F.desc("timestamp"))
+    clustered.write.mode("overwrite").options(
+        partitionOverwriteMode="dynamic", compression="zstd"
+    ).partitionBy(DATE).parquet(path)
     return spark.read.parquet(path)
 
 

@@ -71,7 +71,7 @@ w AS (SELECT *, CASE WHEN n % 11 = 0 THEN 'missing country'
   WHEN (CASE WHEN n % 7 = 0 THEN -amount ELSE amount END) <= 0 THEN 'amount must be greater than 0'
   WHEN n % 13 = 0 THEN 'missing feature tx_count_7d' END AS reason FROM b)
 SELECT transaction_id, reason IS NULL AS valid, reason FROM w"""
-SQL["upsert_transactions"] = with_(SHIP) + 'SELECT DISTINCT transaction_id, "timestamp" FROM ship'
+SQL["upsert_transactions"] = with_(TX) + f"SELECT {_TX_COLUMNS}, is_fraud FROM tx"
 SQL["publish_features"] = _FEATURES + "SELECT transaction_id, " + ", ".join(
     f"round(CAST({n} AS DOUBLE), 6) AS {n}" for n in _WINDOW + _PROFILE
 ) + " FROM feat"

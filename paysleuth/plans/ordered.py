@@ -1,6 +1,6 @@
 """Running aggregates in key order that stay parallel when one group, or the whole table, is huge.
 
-``running`` is a window ``sum/max/min ... ROWS|RANGE BETWEEN UNBOUNDED PRECEDING AND <before me>``.
+``running`` is a window ``sum/max/min ... ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING``.
 A plain window puts each group into one task. Here a group larger than ``rows_per_segment`` is cut
 into key ranges ("segments"); the window runs inside each segment and the totals of the earlier
 segments are added from a table of at most a few thousand rows.
@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from paysleuth.plans.sizing import estimated_bytes
+from paysleuth.session import materialized
 
 SEG = "_seg"
 _FANOUT = 64
@@ -162,26 +163,25 @@ def running(
     order: str,
     aggs: dict[str, tuple[str, str]],
     *,
-    unique: bool = True,
     policy: SplitPolicy = DEFAULT_POLICY,
     hot: list[tuple] | None = None,
 ) -> DataFrame:
     """For each row, aggregates over the rows of its group with a smaller ``order`` key (NULL if none).
 
+    The key must be unique within a group (combine rows of equal key first); any orderable type.
     aggs: {output: ("sum" | "max" | "min", input column)}.
-    unique: the key is unique within a group (any orderable type, ROWS frame). Otherwise it must be
-        a long and rows of equal key do not see each other (RANGE frame).
+    hot: the groups to cut as (key..., rows), if the caller has counted them already.
+
+    When a group is cut, the input is written down once: the cut points, the totals and the result
+    all read it.
     """
     spark = df.sparkSession
     if by and hot is None:
         hot = large_groups(df, by, policy)
+    if hot or (not by and estimated_bytes(df) > policy.small_bytes):
+        df = materialized(df, "running")
     cut, split = with_segments(df, by, order, policy, hot)
-    window = Window.partitionBy(*by, SEG).orderBy(order)
-    window = (
-        window.rowsBetween(Window.unboundedPreceding, -1)
-        if unique
-        else window.rangeBetween(Window.unboundedPreceding, -1)
-    )
+    window = Window.partitionBy(*by, SEG).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     local = {out: getattr(F, fn)(col).over(window) for out, (fn, col) in aggs.items()}
     if not split:
         return cut.withColumns(local).drop(SEG)

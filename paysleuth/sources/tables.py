@@ -126,12 +126,15 @@ def upsert_transactions(spark: SparkSession, incoming: DataFrame, path: str) ->
         fresh = _staged(spark, fresh)
     else:
         fresh = new_rows(dated, None)
-    fresh.repartition(DATE, F.pmod(F.xxhash64("transaction_id"), F.lit(16))).write.mode("append").partitionBy(
-        DATE
-    ).parquet(path)
+    write_daily(fresh, path, "append")
     return spark.read.parquet(path)
 
 
+def write_daily(df: DataFrame, path: str, mode: str, **options: str) -> None:
+    """Write to day partitions. The rebalance lets AQE merge small days and split a very large one."""
+    df.hint("rebalance", F.col(DATE)).write.mode(mode).options(**options).partitionBy(DATE).parquet(path)
+
+
 def _staged(spark: SparkSession, df: DataFrame) -> DataFrame:
     """The new rows written down before the append, because they are computed from the same table."""
     return materialized(df, "upsert")
