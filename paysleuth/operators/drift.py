@@ -46,16 +46,21 @@ def _sides(reference: DataFrame, current: DataFrame, columns: list[str]) -> Data
 
 def _totals(counts: DataFrame) -> DataFrame:
     square = F.col("ref") * F.col("value") * F.col("value")
-    mean = F.sum(F.col("ref") * F.col("value")) / F.sum("ref")
+    mean = F.try_divide(F.sum(F.col("ref") * F.col("value")), F.sum("ref"))
     return counts.groupBy("column").agg(
         F.sum("ref").alias("n_ref"),
         F.sum("cur").alias("n_cur"),
         F.min("value").alias("lo"),
         F.max("value").alias("hi"),
-        F.sqrt(F.greatest(F.sum(square) / F.sum("ref") - mean * mean, F.lit(0.0))).alias("sd"),
+        F.sqrt(F.greatest(F.try_divide(F.sum(square), F.sum("ref")) - mean * mean, F.lit(0.0))).alias("sd"),
     )
 
 
+def _share(part: Column, whole: str) -> Column:
+    """NULL if the side is empty: without rows there is no distance."""
+    return F.try_divide(part.cast("double"), F.col(whole).cast("double"))
+
+
 def _cdf_scores(counts: DataFrame, totals: DataFrame, test: str, policy: SplitPolicy) -> DataFrame:
     scan = {"_r": ("sum", "ref"), "_c": ("sum", "cur"), "_prev": ("max", "value")}
     before = running(counts, ["column"], "value", scan, policy=policy)
@@ -64,12 +69,18 @@ def _cdf_scores(counts: DataFrame, totals: DataFrame, test: str, policy: SplitPo
     # one row per column
     joined = before.join(F.broadcast(totals), "column")
     if test == "ks":
-        gap = F.abs((r + F.col("ref")) / F.col("n_ref") - (c + F.col("cur")) / F.col("n_cur"))
+        gap = F.abs(_share(r + F.col("ref"), "n_ref") - _share(c + F.col("cur"), "n_cur"))
         return joined.groupBy("column").agg(F.max(gap).alias("score"))
-    area = F.abs(r / F.col("n_ref") - c / F.col("n_cur")) * (F.col("value") - F.col("_prev"))
-    summed = joined.groupBy("column").agg(F.sum(area).alias("_area"), F.any_value("sd").alias("_sd"))
+    area = F.abs(_share(r, "n_ref") - _share(c, "n_cur")) * (F.col("value") - F.col("_prev"))
+    summed = joined.groupBy("column").agg(
+        F.sum(area).alias("_area"),
+        F.any_value("sd").alias("_sd"),
+        F.any_value(F.least("n_ref", "n_cur")).alias("_smaller"),
+    )
     norm = F.greatest(F.col("_sd"), F.lit(0.001))
-    return summed.select("column", (F.coalesce("_area", F.lit(0.0)) / norm).alias("score"))
+    # a single value everywhere has no area; an empty side has no distance
+    area = F.when(F.col("_smaller") > 0, F.coalesce("_area", F.lit(0.0)))
+    return summed.select("column", (area / norm).alias("score"))
 
 
 def _binned_scores(counts: DataFrame, totals: DataFrame, test: str, bins: int) -> DataFrame:
@@ -81,7 +92,7 @@ def _binned_scores(counts: DataFrame, totals: DataFrame, test: str, bins: int) -
     per_bin = joined.groupBy("column", index.alias("bin"), "n_ref", "n_cur").agg(
         F.sum("ref").alias("r"), F.sum("cur").alias("c")
     )
-    p, q = F.col("r") / F.col("n_ref"), F.col("c") / F.col("n_cur")
+    p, q = _share(F.col("r"), "n_ref"), _share(F.col("c"), "n_cur")
     if test == "psi":
         tiny = F.lit(1e-4)
         p, q = F.greatest(p, tiny), F.greatest(q, tiny)
@@ -119,7 +130,7 @@ def data_drift(
     return scores.select(
         "column",
         F.col("score").alias("drift_score"),
-        (F.col("score") > limit).alias("drift_detected"),
+        F.coalesce(F.col("score") > limit, F.lit(False)).alias("drift_detected"),
         F.lit(test).alias("stattest_name"),
     )
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,20 +12,21 @@ CORRELATION_THRESHOLD = 0.85
 def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     """Pearson correlation of all pairs in long form (a, b, r), in one pass over the data.
 
-    A column without variation has no correlation (NULL).
+    A column without variation has no correlation (NULL). Rows with a missing value are left out.
     """
-    pairs = list(combinations(range(len(columns)), 2))
-    doubles = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-    aggs = [F.corr(columns[i], columns[j]).alias(f"r_{i}_{j}") for i, j in pairs]
-    varies = [(F.min(c) < F.max(c)).alias(f"v_{i}") for i, c in enumerate(columns)]
-    one = doubles.agg(*aggs, *varies)
+    doubles = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).dropna()
+    together = [
+        F.covar_pop(a, b).alias(f"c_{i}_{i + j + 1}")
+        for i, a in enumerate(columns)
+        for j, b in enumerate(columns[i + 1 :])
+    ]
+    one = doubles.agg(*together, *[F.stddev_pop(c).alias(f"s_{i}") for i, c in enumerate(columns)])
     cells = []
     for i, a in enumerate(columns):
         for j, b in enumerate(columns):
-            low, high = min(i, j), max(i, j)
-            value = F.col(f"r_{low}_{high}") if i != j else F.lit(1.0)
-            known = F.col(f"v_{i}") & F.col(f"v_{j}")
-            cells.append(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.when(known, value).alias("r")))
+            spread = F.col(f"s_{i}") * F.col(f"s_{j}")
+            shared = spread if i == j else F.col(f"c_{min(i, j)}_{max(i, j)}")
+            cells.append(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.try_divide(shared, spread).alias("r")))
     return one.select(F.inline(F.array(*cells)))
 
 
