@@ -23,7 +23,7 @@ def promote_model(
     as_of,
     training_from,
     training_to,
-    model_name: str = "FraudDetectionModel",
+    model_name: str = "payment-fraud",
 ) -> DataFrame:
     """Reuse the row of this run or append one, then make it the only active version."""
     known = deployments.filter(F.col("run_id") == run_id).select("id").head()

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from paysleuth.functions.scalars import null_as_text, ts
-from paysleuth.plans.ordered import DEFAULT_POLICY, SplitPolicy, running
+from paysleuth.plans.ordered import DEFAULT_POLICY, SplitPolicy, large_groups, running
 
 # Region of each country.
 LATAM = ["AR", "BR", "MX", "CL", "CO", "PE", "UY", "PY", "BO"]
@@ -48,13 +49,39 @@ def detect_high_frequency(
 ) -> DataFrame:
     """Rows with at least ``minimum`` rows of the user in the trailing window, the row included.
 
-    The count at t is (rows up to t) - (rows before t - window); both come from one running sum over
-    points combined per (user, time), so neither a burst at one instant nor a busy user is gathered.
+    The count at t is (rows up to t) - (rows before t - window), two running counts over the rows and
+    their echoes one window later. Users that fit one task need a single exchange.
     """
-    at = F.unix_micros(F.col("timestamp").cast("timestamp"))
     width = F.lit(minutes * 60_000_000)
-    per_time = df.groupBy("user_id", at.alias("_us")).agg(F.count(F.lit(1)).alias("_cnt"))
+    rows = df.select(*KEYS, F.unix_micros(F.col("timestamp").cast("timestamp")).alias("_us"))
+    hot = large_groups(rows, ["user_id"], policy)
+    if not hot:
+        return _frequent_light(rows, minimum, width)
+    users = df.sparkSession.createDataFrame([(h[0],) for h in hot], T.StructType([rows.schema["user_id"]]))
+    light = rows.join(F.broadcast(users), "user_id", "left_anti")
+    heavy = rows.join(F.broadcast(users), "user_id", "left_semi")
+    found = _frequent_heavy(heavy, minimum, width, policy, [(u, 2 * n) for u, n in hot])
+    return _frequent_light(light, minimum, width).unionByName(found)
+
+
+def _frequent_light(rows: DataFrame, minimum: int, width: Column) -> DataFrame:
+    one = F.lit(1).cast("long")
+    points = rows.repartition("user_id").select(
+        "user_id", "transaction_id", "timestamp", F.posexplode(F.array("_us", F.col("_us") + width)).alias("_kind", "_at")
+    )
+    by_time = Window.partitionBy("user_id").orderBy("_at")
+    up_to = F.sum(F.when(F.col("_kind") == 0, one)).over(by_time.rangeBetween(Window.unboundedPreceding, 0))
+    gone = F.sum(F.when(F.col("_kind") == 1, one)).over(by_time.rangeBetween(Window.unboundedPreceding, -1))
+    counted = points.withColumn("tx_in_window", up_to - F.coalesce(gone, F.lit(0)))
+    return counted.filter((F.col("_kind") == 0) & (F.col("tx_in_window") >= minimum)).select(*KEYS, "tx_in_window")
+
+
+def _frequent_heavy(
+    rows: DataFrame, minimum: int, width: Column, policy: SplitPolicy, hot: list[tuple]
+) -> DataFrame:
+    """The same for users too large for one task: points combined per time, time segments, join back."""
     zero = F.lit(0).cast("long")
+    per_time = rows.groupBy("user_id", "_us").agg(F.count(F.lit(1)).alias("_cnt"))
     points = per_time.select(
         "user_id",
         F.explode(
@@ -65,14 +92,13 @@ def detect_high_frequency(
         ).alias("_p"),
     ).select("user_id", "_p.*")
     merged = points.groupBy("user_id", "at").agg(F.sum("own").alias("own"), F.sum("gone").alias("gone"))
-    before = running(
-        merged, ["user_id"], "at", {"_own": ("sum", "own"), "_gone": ("sum", "gone")}, policy=policy
-    )
+    scan = {"_own": ("sum", "own"), "_gone": ("sum", "gone")}
+    before = running(merged, ["user_id"], "at", scan, policy=policy, hot=hot)
     inside = F.coalesce("_own", zero) + F.col("own") - F.coalesce("_gone", zero)
     hits = before.filter((F.col("own") > 0) & (inside >= minimum)).select(
         "user_id", F.col("at").alias("_us"), inside.alias("tx_in_window")
     )
-    return df.withColumn("_us", at).join(hits, ["user_id", "_us"]).select(*KEYS, "tx_in_window")
+    return rows.join(hits, ["user_id", "_us"]).select(*KEYS, "tx_in_window")
 
 
 def burst_users(df: DataFrame, as_of, minimum: int = 5, minutes: int = 30) -> DataFrame:

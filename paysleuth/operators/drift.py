@@ -95,13 +95,16 @@ def _binned_scores(counts: DataFrame, totals: DataFrame, test: str, bins: int) -
     p, q = _share(F.col("r"), "n_ref"), _share(F.col("c"), "n_cur")
     if test == "psi":
         tiny = F.lit(1e-4)
-        p, q = F.greatest(p, tiny), F.greatest(q, tiny)
+        # greatest() would skip a NULL share
+        p, q = (F.when(x.isNotNull(), F.greatest(x, tiny)) for x in (p, q))
         term = (q - p) * F.ln(q / p)
         return per_bin.groupBy("column").agg(F.sum(term).alias("score"))
     m = (p + q) / 2
-    part = lambda x: F.when(x > 0, x * F.log2(x / m)).otherwise(F.lit(0.0))
+    part = lambda x: F.when(x > 0, x * F.log2(x / m)).when(x == 0, F.lit(0.0))
     divergence = F.sum((part(p) + part(q)) / 2)
-    return per_bin.groupBy("column").agg(F.sqrt(F.greatest(divergence, F.lit(0.0))).alias("score"))
+    # rounding can leave a sum of zero slightly negative
+    return per_bin.groupBy("column").agg(F.sqrt(F.when(divergence > 0, divergence).when(divergence <= 0, F.lit(0.0)))
+                                         .alias("score"))
 
 
 def data_drift(

@@ -46,7 +46,7 @@ ph AS (
 
 MD = """
 md AS (
-  SELECT s_suppkey + 1 AS id, 'FraudDetectionModel' AS model_name, CAST(s_suppkey + 1 AS VARCHAR) AS version,
+  SELECT s_suppkey + 1 AS id, 'payment-fraud' AS model_name, CAST(s_suppkey + 1 AS VARCHAR) AS version,
          'run_' || s_suppkey AS run_id,
          TIMESTAMP '2023-12-01 00:00:00' + to_hours(s_suppkey) AS created_at, s_suppkey = 1 AS is_active,
          ((s_suppkey * 37) % 101) / CAST(100 AS DOUBLE) AS f1_score,

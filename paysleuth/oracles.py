@@ -528,7 +528,7 @@ THEN printf('Challenger F1 (%.4f) is within acceptable range of champion F1 (%.4
 ELSE printf('Challenger F1 (%.4f) regresses champion F1 (%.4f) by more than 0.02 (diff: %+.4f)', c, p, c - p) END AS reason
 FROM ch, cp"""
 SQL["promote_model"] = with_(MD) + f"""SELECT id, model_name, version, run_id, created_at, false AS is_active, f1_score, "precision", recall,
-auc_roc, training_data_from, training_data_to FROM md UNION ALL SELECT (SELECT max(id) + 1 FROM md), 'FraudDetectionModel', 'new',
+auc_roc, training_data_from, training_data_to FROM md UNION ALL SELECT (SELECT max(id) + 1 FROM md), 'payment-fraud', 'new',
 'run_new', {NOW}, true, 0.5, 0.6, 0.4, 0.9, TIMESTAMP '2024-01-01 00:00:00', TIMESTAMP '2024-01-30 00:00:00'"""
 SQL["promote_model_known_run"] = with_(MD) + "SELECT id, run_id, run_id = 'run_4' AS is_active FROM md"
 

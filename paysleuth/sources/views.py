@@ -121,7 +121,7 @@ def model_deployments(spark: SparkSession, sf_dir: str) -> DataFrame:
     created = F.timestamp_micros(start + key * F.lit(3_600_000_000))
     return table(spark, sf_dir, "supplier").select(
         (key + 1).alias("id"),
-        F.lit("FraudDetectionModel").alias("model_name"),
+        F.lit("payment-fraud").alias("model_name"),
         (key + 1).cast("string").alias("version"),
         F.concat(F.lit("run_"), key.cast("string")).alias("run_id"),
         created.alias("created_at"),
