@@ -23,6 +23,7 @@ from paysleuth.session import materialized, scratch_path
 from paysleuth.sources import streams, tables, views
 from paysleuth.streaming import aggregates as sagg
 from paysleuth.streaming import features as sfeat
+from paysleuth.streaming import history
 
 AS_OF = views.AS_OF
 MIDDLE = "2024-01-16 00:00:00"
@@ -458,7 +459,7 @@ def detect_amount_anomaly(spark, sf):
 
 @query
 def detect_unusual_country(spark, sf):
-    return detect.detect_unusual_country(_behaviour_of_tx(spark, sf))
+    return detect.detect_unusual_country(_behaviour_of_tx(spark, sf), views.transactions(spark, sf))
 
 
 @query
@@ -1091,6 +1092,37 @@ def stream_features(spark, sf):
     return _behaviour(streams.run_to_table(sfeat.stream_features(_tx_stream(spark, sf))))
 
 
+@query
+def stream_features_history(spark, sf):
+    """The same by the stored-history path, which splits busy users."""
+    raw, out = scratch_path(spark, "raw"), scratch_path(spark, "features")
+    streams.run_batches(_tx_stream(spark, sf), history.feature_batches(raw, out))
+    return _behaviour(spark.read.parquet(out))
+
+
+@query
+def compressed_history(spark, sf):
+    """Features of the second half of the month over a compressed first week."""
+    tx = views.transactions(spark, sf)
+    week = F.lit("2024-01-08 00:00:00").cast("timestamp")
+    old = feat.compress_history(tx.filter(F.col("timestamp") < week))
+    recent = tx.filter(F.col("timestamp") >= week).withColumn(feat.WEIGHT, F.lit(1).cast("long"))
+    featured = feat.behaviour_features(recent.unionByName(old, allowMissingColumns=True))
+    return _behaviour(featured.filter(F.col("timestamp") >= F.lit(MIDDLE).cast("timestamp")))
+
+
+@query
+def stream_label_backfill(spark, sf):
+    """Predictions joined with their labels as two streams, labels arriving up to seven days later."""
+    schema = views.table(spark, sf, "events").schema
+    predictions = views.predictions_of(streams.table_stream(spark, sf, "events", schema))
+    truth = _tx_stream(spark, sf).filter(F.col("is_fraud").isNotNull()).select(
+        "transaction_id", "is_fraud", F.col("timestamp").alias("labelled_at")
+    )
+    joined = sagg.stream_label_backfill(predictions, truth)
+    return streams.run_to_table(joined).select("transaction_id", "prediction_label", "actual_label")
+
+
 @query
 def stream_hourly(spark, sf):
     return streams.run_to_table(sagg.stream_hourly(_tx_stream(spark, sf)))

@@ -23,7 +23,7 @@ def null_as_text(c) -> Column:
 
 def cents(c) -> Column:
     """Money as whole cents: exact sums in any order, in one long."""
-    return (as_column(c).cast("decimal(18,2)") * 100).cast("long")
+    return (as_column(c).cast("decimal(20,2)") * 100).cast("long")
 
 
 def safe_ratio(numerator, denominator) -> Column:

@@ -17,12 +17,29 @@ HIGH_AMOUNT = 300.0
 KEYS = ["transaction_id", "user_id", "timestamp"]
 
 
+def _amount_anomaly(ratio: float, amount: float) -> Column:
+    return (F.col("amount_ratio_vs_user_avg") >= ratio) & (F.col("amount") >= amount)
+
+
+def _unknown_merchant(amount: float) -> Column:
+    return (F.col("is_merchant_new") == 1.0) & (F.col("amount") >= amount)
+
+
+def _region(country: Column) -> Column:
+    return F.when(country.isin(*LATAM), 1).when(country.isin(*NON_LATAM), 2)
+
+
+def _unusual_country() -> Column:
+    other = _region(F.col("country")) != _region(F.col("home_country"))
+    return (F.col("is_country_new") == 1.0) & other
+
+
 def detect_amount_anomaly(features: DataFrame, ratio: float = 5.0, amount: float = HIGH_AMOUNT) -> DataFrame:
-    return features.filter((F.col("amount_ratio_vs_user_avg") >= ratio) & (F.col("amount") >= amount)).select(*KEYS)
+    return features.filter(_amount_anomaly(ratio, amount)).select(*KEYS)
 
 
 def detect_unknown_merchant_high(features: DataFrame, amount: float = HIGH_AMOUNT) -> DataFrame:
-    return features.filter((F.col("is_merchant_new") == 1.0) & (F.col("amount") >= amount)).select(*KEYS)
+    return features.filter(_unknown_merchant(amount)).select(*KEYS)
 
 
 def home_country(df: DataFrame) -> DataFrame:
@@ -32,16 +49,10 @@ def home_country(df: DataFrame) -> DataFrame:
     return counts.groupBy("user_id").agg(best.alias("home_country"))
 
 
-def _region(country) -> Column:
-    return F.when(country.isin(*LATAM), 1).when(country.isin(*NON_LATAM), 2)
-
-
-def detect_unusual_country(features: DataFrame) -> DataFrame:
+def detect_unusual_country(features: DataFrame, transactions: DataFrame) -> DataFrame:
     """A country that is new for the user and lies in the other region than the user's home."""
     new = features.filter(F.col("is_country_new") == 1.0)
-    joined = new.join(home_country(features), "user_id")
-    other = _region(F.col("country")) != _region(F.col("home_country"))
-    return joined.filter(other).select(*KEYS)
+    return new.join(home_country(transactions), "user_id").filter(_unusual_country()).select(*KEYS)
 
 
 def detect_high_frequency(
@@ -108,20 +119,21 @@ def burst_users(df: DataFrame, as_of, minimum: int = 5, minutes: int = 30) -> Da
 
 
 def detect_any(features: DataFrame, transactions: DataFrame, policy: SplitPolicy = DEFAULT_POLICY) -> DataFrame:
-    """All detections with the pattern's name and how many patterns each transaction matched."""
-    found = {
-        "amount_anomaly": detect_amount_anomaly(features),
-        "unusual_country": detect_unusual_country(features),
-        "high_frequency": detect_high_frequency(transactions, policy=policy).select(*KEYS),
-        "unknown_merchant_high_amount": detect_unknown_merchant_high(features),
+    """All detections with the patterns' names and how many patterns each transaction matched.
+
+    The three patterns that read the features are tested in one pass over them.
+    """
+    rules = {
+        "amount_anomaly": _amount_anomaly(5.0, HIGH_AMOUNT),
+        "unknown_merchant_high_amount": _unknown_merchant(HIGH_AMOUNT),
+        "unusual_country": _unusual_country(),
     }
-    union = None
-    for name, df in found.items():
-        named = df.withColumn("pattern", F.lit(name))
-        union = named if union is None else union.unionByName(named)
-    grouped = union.groupBy(*KEYS).agg(
+    names = F.array_compact(F.array(*[F.when(rule, F.lit(name)) for name, rule in rules.items()]))
+    by_feature = features.join(home_country(transactions), "user_id", "left").select(
+        *KEYS, F.explode(names).alias("pattern")
+    )
+    frequent = detect_high_frequency(transactions, policy=policy).select(*KEYS, F.lit("high_frequency").alias("pattern"))
+    return by_feature.unionByName(frequent).groupBy(*KEYS).agg(
         F.array_join(F.array_sort(F.collect_set("pattern")), ",").alias("patterns"),
         F.count(F.lit(1)).alias("pattern_count"),
     )
-    return grouped
-

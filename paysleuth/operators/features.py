@@ -28,6 +28,8 @@ from paysleuth.schemas import (
 )
 
 HOUR_US = 3_600_000_000
+# optional column: how many transactions a row stands for (its amount is then their sum)
+WEIGHT = "tx_weight"
 WINDOWS_US = {"1h": HOUR_US, "24h": 24 * HOUR_US, "7d": 168 * HOUR_US}
 
 
@@ -62,8 +64,10 @@ def cyclic_time(df: DataFrame) -> DataFrame:
 
 
 def _prepared(df: DataFrame) -> DataFrame:
+    weight = F.col(WEIGHT) if WEIGHT in df.columns else F.lit(1)
     return df.withColumns(
         {
+            "_w": weight.cast("long"),
             "user_id": null_as_text("user_id"),
             "_us": F.unix_micros(F.col("timestamp").cast("timestamp")),
             "_cents": cents("amount"),
@@ -134,6 +138,7 @@ def _light_users(rows: DataFrame, ties: str) -> DataFrame:
     points = spread.select(
         "user_id",
         F.struct(*payload).alias("_row"),
+        "_w",
         "_cents",
         "_first_c",
         "_first_m",
@@ -144,11 +149,12 @@ def _light_users(rows: DataFrame, ties: str) -> DataFrame:
         F.col("_e.at").alias("_at"),
         # echoes carry no payload through the sort
         F.when(F.col("_e.kind") == 0, F.col("_row")).alias("_row"),
+        "_w",
         "_cents",
         "_first_c",
         "_first_m",
     )
-    points = points.withColumns(_point_columns(one, F.col("_cents"), F.col("_first_c"), F.col("_first_m")))
+    points = points.withColumns(_point_columns(F.col("_w"), F.col("_cents"), F.col("_first_c"), F.col("_first_m")))
     by_user = Window.partitionBy("user_id")
     if ties == "strict":
         before = by_user.orderBy("_at").rangeBetween(Window.unboundedPreceding, -1)
@@ -171,7 +177,7 @@ def _heavy_users(rows: DataFrame, ties: str, policy: SplitPolicy, hot: list[tupl
         flagged = flagged.withColumn("_new_c", F.col("_us") == F.col("_fc._us"))
         flagged = flagged.withColumn("_new_m", F.col("_us") == F.col("_fm._us")).drop("_fc", "_fm")
         # all rows of a user at one time share their history, so the scan needs one point for them
-        points = rows.groupBy("user_id", "_us").agg(F.count(F.lit(1)).alias("_cnt"), F.sum("_cents").alias("_sum"))
+        points = rows.groupBy("user_id", "_us").agg(F.sum("_w").alias("_cnt"), F.sum("_cents").alias("_sum"))
         points = points.select("user_id", "_cnt", "_sum", F.explode(_echo(F.col("_us"))).alias("_e"))
         points = points.select("user_id", F.col("_e.kind").alias("_kind"), F.col("_e.at").alias("_at"), "_cnt", "_sum")
         none = F.lit(None).cast("long")
@@ -207,11 +213,12 @@ def _heavy_users(rows: DataFrame, ties: str, policy: SplitPolicy, hot: list[tupl
             F.col("_e.at").alias("at"), F.col("_e.kind").alias("kind"), F.col("_row.transaction_id").alias("id")
         ).alias("_key"),
         F.when(F.col("_e.kind") == 0, F.col("_row")).alias("_row"),
+        F.col("_row._w").alias("_w"),
         F.col("_row._cents").alias("_cents"),
         F.when(F.col("_row._new_c"), one).alias("_first_c"),
         F.when(F.col("_row._new_m"), one).alias("_first_m"),
     )
-    points = points.withColumns(_point_columns(one, F.col("_cents"), F.col("_first_c"), F.col("_first_m")))
+    points = points.withColumns(_point_columns(F.col("_w"), F.col("_cents"), F.col("_first_c"), F.col("_first_m")))
     scanned = running(points, ["user_id"], "_key", _SCAN, policy=policy, hot=hot)
     return scanned.filter(F.col("_kind") == 0).select("user_id", "_row.*", *_SCAN)
 
@@ -266,6 +273,22 @@ def behaviour_features(
     return scanned.withColumns(outs).select(*df.columns, *outs)
 
 
+def compress_history(df: DataFrame) -> DataFrame:
+    """Old transactions as one weighted row per (user, country, merchant).
+
+    For rows more than 7 days younger than all of these, the compressed rows give the same lifetime
+    features as the transactions themselves: same totals, same countries, same merchants.
+    """
+    weight = F.col(WEIGHT) if WEIGHT in df.columns else F.lit(1)
+    grouped = df.groupBy("user_id", "country", "merchant_id").agg(
+        F.max("timestamp").alias("timestamp"),
+        (F.sum(cents("amount")) / 100).cast("decimal(20,2)").cast("double").alias("amount"),
+        F.sum(weight.cast("long")).alias(WEIGHT),
+    )
+    ident = F.concat(F.lit("history-"), F.sha2(F.to_json(F.struct("user_id", "country", "merchant_id")), 256))
+    return grouped.withColumn("transaction_id", ident)
+
+
 def featurize(
     df: DataFrame,
     encoders,

@@ -605,7 +605,11 @@ AS message, make_timestamp(us) AS triggered_at FROM cand JOIN walk USING (us)"""
 
 # ---- streams
 
-SQL["stream_features"] = _FEATURES + _BEHAVIOUR
+SQL["stream_features"] = SQL["stream_features_history"] = _FEATURES + _BEHAVIOUR
+SQL["compressed_history"] = _FEATURES + _BEHAVIOUR + f' WHERE "timestamp" >= {MIDDLE}'
+# predictions without a label come out once the seven days have passed
+SQL["stream_label_backfill"] = with_(PH) + """SELECT transaction_id, prediction_label, actual_label FROM ph
+WHERE actual_label IS NOT NULL OR us + 7 * 86400000000 < (SELECT max(us) FROM ph) - 3600000000"""
 SQL["stream_hourly"] = with_(TX, _HOURLY) + f"""SELECT {_HV}
 WHERE bucket_hour + INTERVAL 1 HOUR <= (SELECT max("timestamp") FROM tx) - INTERVAL 5 MINUTE"""
 SQL["stream_merchant_daily"] = with_(TX, _DAILY) + """SELECT * FROM dd

@@ -119,7 +119,7 @@ def upsert_transactions(spark: SparkSession, incoming: DataFrame, path: str) ->
     Only the days that occur in the input are read for the comparison.
     """
     dated = with_date(incoming)
-    if _exists(spark, path):
+    if path_exists(spark, path):
         table = spark.read.parquet(path)
         days = [r[0] for r in dated.select(DATE).distinct().collect()]
         fresh = new_rows(dated, table.filter(F.col(DATE).isin(days)))
@@ -140,7 +140,7 @@ def _staged(spark: SparkSession, df: DataFrame) -> DataFrame:
     return materialized(df, "upsert")
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def path_exists(spark: SparkSession, path: str) -> bool:
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
     return fs.exists(hadoop)

@@ -64,6 +64,22 @@ def stream_dedup(stream: DataFrame, horizon: str = "60 seconds", key: str = "tra
     return stream.withWatermark("timestamp", horizon).dropDuplicatesWithinWatermark([key])
 
 
+def stream_label_backfill(
+    predictions: DataFrame, truth: DataFrame, delay: str = "1 hour", horizon: str = "7 days"
+) -> DataFrame:
+    """Predictions with the label that arrives within the horizon; NULL once it has passed without one.
+
+    truth: transaction_id, is_fraud, labelled_at. Both sides keep state for the horizon only.
+    """
+    left = predictions.drop("actual_label").withWatermark("timestamp", delay)
+    right = truth.select(
+        F.col("transaction_id").alias("_id"), F.col("is_fraud").alias("actual_label"), "labelled_at"
+    ).withWatermark("labelled_at", delay)
+    due = F.col("timestamp") + F.expr(f"INTERVAL {horizon}")
+    match = (F.col("transaction_id") == F.col("_id")) & F.col("labelled_at").between(F.col("timestamp"), due)
+    return left.join(right, match, "left_outer").drop("_id")
+
+
 def score_batches(model, prediction_path: str, alert_path: str, model_version_id: int, threshold: float = 0.5,
                   prepare=None):
     """foreachBatch writer: score a micro-batch of enriched rows into predictions and alerts.

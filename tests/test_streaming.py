@@ -11,6 +11,7 @@ from paysleuth.schemas import PROFILE_FEATURES, WINDOW_FEATURES
 from paysleuth.sources import streams, tables
 from paysleuth.streaming import aggregates as sagg
 from paysleuth.streaming import features as sfeat
+from paysleuth.streaming import history
 
 NAMES = WINDOW_FEATURES + PROFILE_FEATURES
 
@@ -133,3 +134,36 @@ def test_enriched_messages_round_trip(make, spark, tmp_path):
     got = {r["transaction_id"]: r["features"] for r in out.collect()}
     assert got["t0001"]["tx_count_1h"] == 1.0 and len(got["t0001"]) == 12
     assert set(tables.decode(spark.createDataFrame([("{}",)], "value string")).columns) >= {"_bad", "_tx"}
+
+
+@pytest.mark.parametrize("large", [False, True])
+def test_stored_history_equals_batch(tx, spark, tmp_path, large):
+    """Three micro-batches with a snapshot of the old rows in between, busy users cut or not."""
+    from conftest import TINY
+
+    path, raw, out, rollup = (str(tmp_path / n) for n in ("in", "raw", "out", "rollup"))
+    policy = {"policy": TINY} if large else {}
+    write = history.feature_batches(raw, out, rollup, **policy)
+    offsets = str(tmp_path / "offsets")
+    for i, _ in enumerate(in_files(tx, path, 3)):
+        streams.run_batches(stream_of(spark, tx, path), write, offsets)
+        if i == 1:
+            # 7 days before the rows still to come
+            oldest = tx.orderBy("timestamp", "transaction_id").collect()[108]["timestamp"]
+            history.compress_older(spark, raw, rollup, oldest - timedelta(days=7), 1)
+    result = spark.read.parquet(out)
+    assert result.count() == 160
+    assert values(result) == values(feat.behaviour_features(tx))
+
+
+def test_compressed_history_grows_and_guards_its_reach(make, spark, tmp_path):
+    raw, rollup = str(tmp_path / "raw"), str(tmp_path / "rollup")
+    df = make([{"minute": 1440 * i, "amount": 10.0 + i} for i in range(6)])
+    history.feature_batches(raw, str(tmp_path / "out"))(df, 0)
+    for version, until in ((1, "2025-01-17 00:00:00"), (2, "2025-01-19 00:00:00")):
+        history.compress_older(spark, raw, rollup, until, version)
+    (row,) = history._snapshot(spark, rollup).collect()
+    assert (row["tx_weight"], row["amount"]) == (4, 46.0)
+    write = history.feature_batches(raw, str(tmp_path / "out"), rollup)
+    with pytest.raises(ValueError, match="7 days"):
+        write(make([{"minute": 1440 * 7}]), 1)
