@@ -18,6 +18,7 @@ from paysleuth.operators import features as feat
 from paysleuth.operators import selection as sel
 from paysleuth.operators import split as cut
 from paysleuth.plans.ordered import SplitPolicy, global_index
+from paysleuth.plans.sizing import with_row
 from paysleuth.schemas import FEATURES, MODEL_INPUT, PROFILE_FEATURES, RAW_TRANSACTION, WINDOW_FEATURES
 from paysleuth.session import materialized, scratch_path
 from paysleuth.sources import streams, tables, views
@@ -921,12 +922,11 @@ def optimal_threshold(spark, sf):
 @query
 def quality_gates(spark, sf):
     scores = _scores(spark, sf)
-    one = F.lit(1).alias("_all")
-    f1 = metrics.binary_metrics(scores).select(one, "f1_score")
-    auc = metrics.roc_auc(scores).select(one, F.col("roc_auc").alias("auc_roc"))
+    f1 = metrics.binary_metrics(scores).select("f1_score")
+    auc = metrics.roc_auc(scores).select(F.col("roc_auc").alias("auc_roc"))
     ph = views.predictions_history(spark, sf)
-    p99 = agg.exact_quantiles(ph, [], "latency_ms", {"latency_p99_ms": 0.99}).select(one, "latency_p99_ms")
-    return metrics.quality_gates(f1.join(auc, "_all").join(p99, "_all").drop("_all"))
+    p99 = agg.exact_quantiles(ph, [], "latency_ms", {"latency_p99_ms": 0.99})
+    return metrics.quality_gates(with_row(with_row(f1, auc), p99))
 
 
 @query

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from paysleuth.functions.scalars import cents, epoch_bucket, safe_ratio, ts
 from paysleuth.plans.ordered import DEFAULT_POLICY, SplitPolicy, exact_quantiles
+from paysleuth.plans.sizing import with_row
 
 FRAUD = "is_fraud"
 
@@ -133,8 +134,7 @@ def seed_summary(df: DataFrame) -> DataFrame:
         F.min("_min").alias("min_ts"),
         F.max("_max").alias("max_ts"),
     )
-    # one row of totals
-    joined = per.withColumn("_all", F.lit(1)).join(F.broadcast(whole.withColumn("_all", F.lit(1))), "_all")
+    joined = with_row(per, whole)
     share = F.round(F.col("n") / F.col("total") * 100, 1).alias("share_pct")
     return joined.select("country", "n", share, "total", "total_fraud", "min_ts", "max_ts")
 
@@ -191,7 +191,7 @@ def _by_domain(df: DataFrame, key: Column, size: int, name: str) -> DataFrame:
         F.max_by(name, F.struct("fraud_rate_pct", -F.col(name))).alias("_peak"),
         F.min_by(name, F.struct("fraud_rate_pct", name)).alias("_low"),
     )
-    marked = rated.withColumn("_all", F.lit(1)).join(F.broadcast(top.withColumn("_all", F.lit(1))), "_all", "left")
+    marked = with_row(rated, top)
     return marked.select(
         name,
         "total",
@@ -226,7 +226,7 @@ def daily_series(df: DataFrame, deviations: float = 2.0) -> DataFrame:
     )
     daily = daily.withColumn("fraud_rate_pct", F.col("fraud") / F.col("total") * 100)
     stats = daily.agg(F.avg("fraud_rate_pct").alias("_mean"), F.stddev_samp("fraud_rate_pct").alias("_sd"))
-    joined = daily.withColumn("_all", F.lit(1)).join(F.broadcast(stats.withColumn("_all", F.lit(1))), "_all")
+    joined = with_row(daily, stats)
     high = F.col("fraud_rate_pct") > F.col("_mean") + F.lit(deviations) * F.col("_sd")
     return joined.select("date", "total", "fraud", "fraud_rate_pct", F.coalesce(high, F.lit(False)).alias("is_outlier"))
 

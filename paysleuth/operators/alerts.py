@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from paysleuth.functions.scalars import rate_text, severity
 from paysleuth.plans.ordered import DEFAULT_POLICY, SplitPolicy, running
+from paysleuth.plans.sizing import with_row
 from paysleuth.session import materialized
 
 MINUTE_US = 60_000_000
@@ -152,9 +153,9 @@ def fraud_rate_alerts(
 def _drop_muted(points: DataFrame, open_alerts: DataFrame, gap: int, policy: SplitPolicy) -> DataFrame:
     """Candidates without an existing alert at or after (candidate - gap), as the trigger checks it."""
     latest = open_alerts.agg(F.max(F.unix_micros("triggered_at")).alias("latest"))
-    keyed = points.withColumn("_all", F.lit(1)).join(F.broadcast(latest.withColumn("_all", F.lit(1))), "_all", "left")
+    keyed = with_row(points, latest)
     free = F.col("latest").isNull() | (F.col("latest") < F.col("at") - F.lit(gap))
-    return keyed.filter(free).drop("_all", "latest")
+    return keyed.filter(free).drop("latest")
 
 
 def recent_open_alert(
@@ -166,10 +167,10 @@ def recent_open_alert(
     decides for all points.
     """
     open_ = alert_log.filter(F.col("acknowledged_at").isNull() & (F.col("alert_type") == alert_type))
-    latest = open_.agg(F.max("triggered_at").alias("_latest")).withColumn("_all", F.lit(1))
-    keyed = points.withColumn("_all", F.lit(1)).join(F.broadcast(latest), "_all")
+    latest = open_.agg(F.max("triggered_at").alias("_latest"))
+    keyed = with_row(points, latest)
     hit = F.col("_latest") >= F.col("timestamp") - F.expr(f"INTERVAL {int(minutes)} MINUTES")
-    return keyed.filter(hit).drop("_all", "_latest")
+    return keyed.filter(hit).drop("_latest")
 
 
 def publish_alerts(predictions: DataFrame) -> DataFrame:

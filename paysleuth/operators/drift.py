@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from paysleuth.functions.scalars import ts
 from paysleuth.operators.metrics import prf
 from paysleuth.plans.ordered import DEFAULT_POLICY, SplitPolicy, running
+from paysleuth.plans.sizing import with_row
 
 # The features watched most closely, and the thresholds of the policy.
 CRITICAL_FEATURES = [
@@ -174,12 +175,11 @@ def model_drift(
         )
     )
     base = reference.filter(F.col("id") == model_version_id).select(
-        F.lit(1).alias("_all"),
         F.col("f1_score").alias("_f1"),
         F.col("precision").alias("_precision"),
         F.col("recall").alias("_recall"),
     )
-    joined = counted.withColumn("_all", F.lit(1)).join(base, "_all", "left")
+    joined = with_row(counted, base)
     enough = F.col("labeled_rows") >= minimum
     diff = F.col("f1_score") - F.col("_f1")
     known = lambda c: F.when(enough, c)
@@ -258,12 +258,9 @@ def drift_report_row(
     per_column: DataFrame, model: DataFrame, model_version_id: int, as_of, share: float = 0.5
 ) -> DataFrame:
     """The drift_reports record: share of drifted columns as score, both results nested as JSON."""
-    data = dataset_drift(per_column, share).withColumn("_all", F.lit(1))
-    m = model.select(
-        F.lit(1).alias("_all"), F.col("drift_detected").alias("model_drift_detected"), "f1_degradation"
-    )
-    joined = data.withColumnRenamed("drift_share", "drift_score").join(F.broadcast(m), "_all")
-    judged = drift_policy(joined)
+    data = dataset_drift(per_column, share).withColumnRenamed("drift_share", "drift_score")
+    m = model.select(F.col("drift_detected").alias("model_drift_detected"), "f1_degradation")
+    judged = drift_policy(with_row(data, m))
     body = F.to_json(
         F.struct(
             F.col("feature_drifts").alias("data_drift"),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from paysleuth.functions.scalars import null_as_text
 from paysleuth.plans.ordered import DEFAULT_POLICY, SplitPolicy, running
-from paysleuth.plans.sizing import as_lookup, estimated_bytes, small_table
+from paysleuth.plans.sizing import as_lookup, estimated_bytes, small_table, with_row
 
 SMOOTHING = 10.0
 APPEARANCE = ("timestamp", "transaction_id")
@@ -29,8 +29,8 @@ def target_encode_fit(df: DataFrame, column: str, label: str = "is_fraud", smoot
         .groupBy(null_as_text(column).alias("category"))
         .agg(F.count(F.lit(1)).alias("n"), F.sum(y).alias("s"))
     )
-    overall = per.agg((F.sum("s") / F.sum("n")).alias("g")).withColumn("_all", F.lit(1))
-    joined = per.withColumn("_all", F.lit(1)).join(F.broadcast(overall), "_all")
+    overall = per.agg((F.sum("s") / F.sum("n")).alias("g"))
+    joined = with_row(per, overall)
     codes = joined.select("category", _smoothed(F.col("s"), F.col("n"), F.col("g"), smoothing).alias("code"))
     return codes.unionByName(overall.select(F.lit(None).cast("string").alias("category"), F.col("g").alias("code")))
 

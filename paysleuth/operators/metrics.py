@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from paysleuth.functions.scalars import safe_ratio
 from paysleuth.plans.ordered import DEFAULT_POLICY, SplitPolicy, running
+from paysleuth.plans.sizing import with_row
 
 COST_FALSE_NEGATIVE = 100.0
 COST_FALSE_POSITIVE = 5.0
@@ -80,8 +81,8 @@ def ranked(scores: DataFrame, policy: SplitPolicy = DEFAULT_POLICY) -> DataFrame
     before = running(per, [], "score", {"_p": ("sum", "pos"), "_n": ("sum", "neg")}, policy=policy)
     totals = scores.agg(
         F.count_if(F.col("label") == 1).alias("total_pos"), F.count_if(F.col("label") != 1).alias("total_neg")
-    ).withColumn("_all", F.lit(1))
-    joined = before.withColumn("_all", F.lit(1)).join(F.broadcast(totals), "_all")
+    )
+    joined = with_row(before, totals)
     zero = F.lit(0).cast("long")
     return joined.select(
         "score",
@@ -198,12 +199,12 @@ def quality_gates(
 def champion_compare(challenger: DataFrame, champion: DataFrame, max_regression: float = 0.02) -> DataFrame:
     """Each side is at most one row (f1_score, auc_roc); without a champion the challenger wins."""
     left = challenger.select(
-        F.lit(1).alias("_all"), F.col("f1_score").alias("challenger_f1"), F.col("auc_roc").alias("challenger_auc_roc")
+        F.col("f1_score").alias("challenger_f1"), F.col("auc_roc").alias("challenger_auc_roc")
     )
     right = champion.select(
-        F.lit(1).alias("_all"), F.col("f1_score").alias("champion_f1"), F.col("auc_roc").alias("champion_auc_roc")
+        F.col("f1_score").alias("champion_f1"), F.col("auc_roc").alias("champion_auc_roc")
     )
-    both = left.join(F.broadcast(right), "_all", "left").drop("_all")
+    both = with_row(left, right)
     diff = F.col("challenger_f1") - F.col("champion_f1")
     wins = F.coalesce(F.col("challenger_f1") >= F.col("champion_f1") - F.lit(max_regression), F.lit(True))
     within = F.format_string(

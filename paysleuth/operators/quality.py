@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from paysleuth.functions.scalars import cents, ts
 from paysleuth.operators.aggregates import since
+from paysleuth.plans.sizing import with_row
 
 
 def _low_count(df: DataFrame, as_of, minimum: int, kind: str, noun: str, span: str) -> DataFrame:
@@ -61,12 +62,11 @@ def dq_amount(
 
 def dq_summary(volume: DataFrame, predictions: DataFrame, amount: DataFrame) -> DataFrame:
     """One line on all checks (three one-row inputs)."""
-    key = F.lit(1).alias("_all")
-    joined = (
-        volume.select(key, F.col("count").alias("transaction_count"))
-        .join(predictions.select(key, F.col("count").alias("prediction_count")), "_all")
-        .join(amount.select(key, "avg_amount"), "_all")
+    counts = with_row(
+        volume.select(F.col("count").alias("transaction_count")),
+        predictions.select(F.col("count").alias("prediction_count")),
     )
+    joined = with_row(counts, amount.select("avg_amount"))
     shown = F.coalesce(F.format_string("%.2f", F.col("avg_amount")), F.lit("N/A (insufficient data)"))
     shown = F.when(F.col("avg_amount").isNull(), "N/A (insufficient data)").otherwise(shown)
     line = F.format_string(

@@ -12,6 +12,12 @@ def estimated_bytes(df: DataFrame) -> int:
     return int(str(stats.sizeInBytes()))
 
 
+def with_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Append the columns of a table of at most one row, as a scalar subquery; NULL if it has none."""
+    packed = one_row.select(F.struct("*").alias("_row")).scalar()
+    return df.withColumn("_scalar_row", packed).select(*df.columns, "_scalar_row.*")
+
+
 def small_table(df: DataFrame, max_rows: int = 100_000) -> DataFrame | None:
     """The rows of a small table as a local relation, or None if there are more than ``max_rows``."""
     table = df.limit(max_rows + 1).toArrow()
