@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from paysleuth.llm import exact_dedup, sharding
+from paysleuth.llm import exact_dedup, pii, sharding, toxicity
 from paysleuth.llm.common import table
 
 QUERIES = {}
@@ -29,3 +29,13 @@ FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 @query
 def op10_sharding(spark, sf):
     return sharding.shard_rows(table(spark, sf, "documents"))
+
+
+@query
+def op3_toxicity(spark, sf):
+    return toxicity.score_documents(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query
+def op4_pii(spark, sf):
+    return pii.pii_digest(table(spark, sf, "documents"))
