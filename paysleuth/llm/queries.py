@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from paysleuth.llm import exact_dedup, pii, sharding, toxicity
+from paysleuth.llm import exact_dedup, packing, pii, sharding, token_files, toxicity
 from paysleuth.llm.common import table
 
 QUERIES = {}
@@ -39,3 +39,19 @@ def op3_toxicity(spark, sf):
 @query
 def op4_pii(spark, sf):
     return pii.pii_digest(table(spark, sf, "documents"))
+
+
+def word_tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query
+def op2_token_files(spark, sf):
+    return token_files.token_digest(table(spark, sf, "documents"), word_tokenizer())
+
+
+@query
+def op5_packing(spark, sf):
+    return packing.pack(table(spark, sf, "documents"), word_tokenizer())
