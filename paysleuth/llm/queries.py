@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from paysleuth.llm import exact_dedup, packing, pii, sharding, token_files, toxicity
+from paysleuth.llm import exact_dedup, packing, pii, sharding, simhash_dedup, token_files, toxicity, warc
 from paysleuth.llm.common import table
 
 QUERIES = {}
@@ -55,3 +55,24 @@ def op2_token_files(spark, sf):
 @query
 def op5_packing(spark, sf):
     return packing.pack(table(spark, sf, "documents"), word_tokenizer())
+
+
+@query
+def op7_simhash_dedup(spark, sf):
+    return simhash_dedup.simhash_components(table(spark, sf, "documents"))
+
+
+@query
+def op8_warc(spark, sf):
+    return warc.archive_digest(table(spark, sf, "pages"))
+
+
+SQL["op8_warc"] = """
+SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes,
+       sha1(coalesce(html, '')) AS payload_digest,
+       CASE WHEN octet_length(encode(coalesce(html, ''))) >= 1000 AND page_id < max(page_id) OVER same
+            THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN octet_length(encode(coalesce(html, ''))) >= 1000 AND page_id < max(page_id) OVER same
+            THEN max(page_id) OVER same END AS refers_to
+FROM pages WINDOW same AS (PARTITION BY coalesce(html, ''))
+"""
