@@ -2,7 +2,19 @@
 
 from __future__ import annotations
 
-from paysleuth.llm import exact_dedup, packing, pii, sharding, simhash_dedup, token_files, toxicity, warc
+from pyspark.sql import functions as F
+
+from paysleuth.llm import (
+    decontaminate,
+    exact_dedup,
+    packing,
+    pii,
+    sharding,
+    simhash_dedup,
+    token_files,
+    toxicity,
+    warc,
+)
 from paysleuth.llm.common import table
 
 QUERIES = {}
@@ -76,3 +88,9 @@ SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes,
             THEN max(page_id) OVER same END AS refers_to
 FROM pages WINDOW same AS (PARTITION BY coalesce(html, ''))
 """
+
+
+@query
+def op6_decontamination(spark, sf):
+    leaks = decontaminate.find_leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    return leaks.drop("text_hash").withColumn("similarity", F.round("similarity", 6))
