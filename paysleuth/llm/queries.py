@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from paysleuth.llm import (
     decontaminate,
     exact_dedup,
+    language,
     packing,
     pii,
     sharding,
@@ -94,3 +95,8 @@ FROM pages WINDOW same AS (PARTITION BY coalesce(html, ''))
 def op6_decontamination(spark, sf):
     leaks = decontaminate.find_leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
     return leaks.drop("text_hash").withColumn("similarity", F.round("similarity", 6))
+
+
+@query
+def op9_language(spark, sf):
+    return language.identify(table(spark, sf, "documents"), table(spark, sf, "pages"))
