@@ -47,10 +47,11 @@ def train_dictionary(samples: list[bytes], size: int) -> bytes:
         return b""
 
 
-def _sample(docs: DataFrame, path: str, end_id: int, rows: int, longest: int) -> list[bytes]:
-    """Ids of at most ``rows`` short documents, those of smallest hash; only the dictionary is made from them."""
+def _sample(docs: DataFrame, count: int, path: str, end_id: int, rows: int, longest: int) -> list[bytes]:
+    """Ids of about ``rows`` short documents, drawn by a hash of the text; only the dictionary is made from them."""
     short = docs.filter(F.octet_length("_text").between(1, longest)).select("_text")
-    texts = [r[0] for r in short.orderBy(F.xxhash64("_text"), "_text").limit(rows).collect()]
+    drawn = short.filter(F.pmod(F.xxhash64("_text"), F.lit(max(1, count // rows))) == 0)
+    texts = sorted(r[0] for r in drawn.limit(2 * rows).collect())
     with open(path, encoding="utf-8") as f:
         return list(ids_with_end(f.read(), texts, end_id))
 
@@ -79,8 +80,8 @@ def write_token_files(
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("_text"))
-    total = rows.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
-    samples = _sample(rows, tokenizer, end_id, sample_rows, sample_longest)
+    count, total = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("_text")), F.lit(0))).first()
+    samples = _sample(rows, count, tokenizer, end_id, sample_rows, sample_longest)
     spec = broadcast_spec(spark, tokenizer)
     ids_known = max(encoder(spec.value).ids, end_id + 1)
     width = _width(ids_known)

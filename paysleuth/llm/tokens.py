@@ -15,7 +15,8 @@ from functools import lru_cache
 import numpy as np
 from pyspark.sql import SparkSession
 
-MAX_WORDS = 400_000
+MAX_WORDS = 1_000_000
+AT_ONCE = 200  # words given to the library in one text
 PUNCTUATION = b".,"
 
 # The settings of a tokenizer for which words may be encoded one by one.
@@ -60,6 +61,18 @@ class Encoder:
             and settings["model"].get("end_of_word_suffix") == "</w>"
             and not settings.get("post_processor")
         )
+        # the same model without the normal form, which words in lower-case Latin-1 letters have already
+        plain = settings | {
+            "normalizer": None,
+            "pre_tokenizer": {
+                "type": "Sequence",
+                "pretokenizers": [
+                    {"type": "WhitespaceSplit"},
+                    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+                ],
+            },
+        }
+        self.plain = Tokenizer.from_str(json.dumps(plain)) if self.wordwise else None
         vocabulary = self.tokenizer.get_vocab()
         self.ids = max(vocabulary.values(), default=-1) + 1
         self.ends_word = np.zeros(self.ids, dtype=bool)
@@ -78,13 +91,17 @@ class Encoder:
             s, mark = w.decode(), b""
             if w[-1:] in self.marks and len(w) > 1:
                 s, mark = s[:-1], w[-1:]
+                known = self.words.get(w[:-1])
+                if known is not None and s.isalpha():
+                    self.words[w] = known + self.marks[mark]
+                    continue
             if s.isalpha():
                 plain.append((w, s, mark))
             else:
                 self.words[w] = self._whole(w.decode())
-        for i in range(0, len(plain), 2000):
-            part = plain[i : i + 2000]
-            ids = self.tokenizer.encode_batch_fast([" ".join(s for _, s, _ in part)], add_special_tokens=False)[0].ids
+        for i in range(0, len(plain), AT_ONCE):
+            part = plain[i : i + AT_ONCE]
+            ids = self.plain.encode_batch_fast([" ".join(s for _, s, _ in part)], add_special_tokens=False)[0].ids
             ids = np.asarray(ids, dtype="<u4")
             ends = np.flatnonzero(self.ends_word[ids]) + 1
             if len(ends) != len(part):  # a word of several pieces among them
