@@ -78,47 +78,38 @@ def _next_after(candidates: DataFrame, gap_us: int, policy: SplitPolicy) -> Data
     return seen.filter(F.col("q").isNotNull()).select(F.col("q").alias("at"), (-F.col("_own")).alias("next"))
 
 
-def suppress_chain(
-    candidates: DataFrame, gap_us: int, policy: SplitPolicy = DEFAULT_POLICY, walk_rows: int = 100_000
-) -> DataFrame:
+def suppress_chain(candidates: DataFrame, gap_us: int, policy: SplitPolicy = DEFAULT_POLICY) -> DataFrame:
     """The candidates that remain if each one kept mutes the next ``gap_us`` microseconds.
 
-    Keeping is a walk: first candidate, then the first one after the gap, and so on. Up to
-    ``walk_rows`` candidates it is done on the list of (time, next time) pairs. Beyond, by pointer
-    doubling: with the table "2^k steps on" the kept set doubles per round, so 100,000 kept alerts
-    take 17 joins on (time, time) pairs and no task or driver walks them one by one.
+    Keeping is a walk: first candidate, then the first one after the gap, and so on. It is done by
+    pointer doubling at every size: with the table "2^k steps on" the kept set doubles per round, so
+    100,000 kept alerts take 17 joins on (time, time) pairs and no task or driver walks them one by one.
     """
     times = candidates.select("at").distinct()
     hop = materialized(_next_after(times, gap_us, policy), "hop")
-    listed = hop.limit(walk_rows + 1).toArrow()
-    if listed.num_rows <= walk_rows:
-        return _walk(hop.sparkSession, listed)
     edge = hop.agg(F.min("at").alias("a"), F.max("next").alias("b")).collect()[0]
     # kept alerts are more than the gap apart, which bounds the length of the walk
     steps = 1 if edge["b"] is None else max(1, (edge["b"] - edge["a"]) // (gap_us + 1) + 1)
     jumps = [hop.filter(F.col("next").isNotNull())]
-    for _ in range(math.ceil(math.log2(steps + 1)) - 1):
+    for turn in range(math.ceil(math.log2(steps + 1)) - 1):
         last = jumps[-1]
         twice = last.alias("x").join(last.alias("y"), F.col("x.next") == F.col("y.at"))
-        jumps.append(materialized(twice.select(F.col("x.at").alias("at"), F.col("y.next").alias("next")), "hop"))
-    kept = materialized(hop.agg(F.min("at").alias("at")), "kept")
-    for jump in reversed(jumps):
+        further = twice.select(F.col("x.at").alias("at"), F.col("y.next").alias("next"))
+        if turn % 2:  # every other table is written, the one between is a join of it
+            further = materialized(further, "hop")
+            if further.isEmpty():
+                break
+        jumps.append(further)
+    kept = materialized(hop.agg(F.min("at").alias("at")).filter("at IS NOT NULL"), "kept")
+    for turn, jump in enumerate(reversed(jumps), 1):
         # the set holds positions that are multiples of 2^(k+1); one jump of 2^k fills the halves
         onward = jump.join(kept, "at").select(F.col("next").alias("at"))
-        kept = materialized(kept.unionByName(onward), "kept")
+        kept = kept.unionByName(onward)
+        if turn % 3 == 0 or turn == len(jumps):  # the plan doubles each time
+            kept = materialized(kept, "kept")
     return kept
 
 
-def _walk(spark, hops) -> DataFrame:
-    """The same walk over a short list of (at, next) pairs."""
-    follow = dict(zip(hops["at"].to_pylist(), hops["next"].to_pylist(), strict=True))
-    kept, at = [], min(follow, default=None)
-    while at is not None:
-        kept.append((at,))
-        at = follow[at]
-    return spark.createDataFrame(kept, "at long")
-
-
 def fraud_rate_alerts(
     predictions: DataFrame,
     minutes: int = 15,
@@ -130,7 +121,8 @@ def fraud_rate_alerts(
 
     open_alerts: existing unacknowledged alert times (``triggered_at``) that mute as well.
     """
-    points = fraud_rate_points(predictions, minutes, threshold, policy)
+    # written once: the chain and the join below read it
+    points = materialized(fraud_rate_points(predictions, minutes, threshold, policy), "rate-points")
     gap = minutes * MINUTE_US
     if open_alerts is not None:
         points = _drop_muted(points, open_alerts, gap, policy)

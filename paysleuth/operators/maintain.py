@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from paysleuth.functions.scalars import ts
 from paysleuth.session import materialized
-from paysleuth.sources.tables import DATE, with_date, write_daily
+from paysleuth.sources.tables import DATE, path_exists, with_date, write_daily
 
 
 def partition_daily(df: DataFrame, path: str) -> DataFrame:
@@ -94,12 +94,19 @@ def refresh_aggregate(
 
 def refresh_stored(
     spark, path: str, source: DataFrame, aggregate: Callable[[DataFrame], DataFrame], bucket: str, as_of,
-    days: int = 30, minutes: int = 5,
+    days: int = 30, minutes: int = 5, unit: str = "hour",
 ) -> DataFrame:
-    """Refresh an aggregate table partitioned by day: only the days of the window are overwritten."""
+    """Refresh an aggregate table partitioned by day: only the days of the window are overwritten.
+
+    unit: "hour" or "day", the size of a bucket; only complete buckets are recomputed. Buckets of the
+    last day that the window does not reach are carried over from the table.
+    """
     start = F.date_trunc("day", ts(as_of) - F.expr(f"INTERVAL {int(days)} DAYS"))
-    end = ts(as_of) - F.expr(f"INTERVAL {int(minutes)} MINUTES")
+    end = F.date_trunc(unit, ts(as_of) - F.expr(f"INTERVAL {int(minutes)} MINUTES"))
     rows = source.filter((F.col("timestamp") >= start) & (F.col("timestamp") < end))
     fresh = aggregate(rows).withColumn(DATE, F.to_date(bucket))
+    if path_exists(spark, path):
+        later = spark.read.parquet(path).filter((F.col(DATE) == F.to_date(end)) & (F.col(bucket) >= end))
+        fresh = materialized(fresh.unionByName(later.select(*fresh.columns)), "refresh")
     _replace_days(fresh, path)
     return spark.read.parquet(path).drop(DATE)

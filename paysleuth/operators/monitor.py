@@ -107,8 +107,12 @@ def champion_challenger(deployments: DataFrame, top: int = 5) -> DataFrame:
 
 
 def label_backfill(predictions: DataFrame, truth: DataFrame) -> DataFrame:
-    """Attach ground truth to predictions by transaction id; rows without truth keep what they had."""
-    known = truth.select("transaction_id", F.col("is_fraud").alias("_truth"))
+    """Attach ground truth to predictions by transaction id; rows without truth keep what they had.
+
+    An id that the truth holds several times (at several times) is fraud if any of its rows is, so no
+    prediction is repeated.
+    """
+    known = truth.groupBy("transaction_id").agg(F.max("is_fraud").alias("_truth"))
     joined = predictions.join(known, "transaction_id", "left")
     filled = F.coalesce(F.col("_truth"), F.col("actual_label"))
     return joined.withColumn("actual_label", filled).drop("_truth")

@@ -3,8 +3,8 @@
 TX = """
 tx AS (
   SELECT CAST(event_id AS VARCHAR) AS transaction_id,
-         'user_' || lpad(CAST(user_id AS VARCHAR), 4, '0') AS user_id,
-         'merchant_' || lpad(CAST(k AS VARCHAR), 4, '0') AS merchant_id,
+         'user_' || lpad(CAST(user_id AS VARCHAR), CAST(greatest(length(CAST(user_id AS VARCHAR)), 4) AS INTEGER), '0') AS user_id,
+         'merchant_' || lpad(CAST(k AS VARCHAR), CAST(greatest(length(CAST(k AS VARCHAR)), 4) AS INTEGER), '0') AS merchant_id,
          (['retail','food','travel','entertainment','gas_station','online','pharmacy'])[k % 7 + 1] AS merchant_category,
          value AS amount,
          (['AR','BR','US','MX','CL','CO','PE','UY','PY','BO','ES','UK','FR','DE'])[

@@ -51,14 +51,14 @@ WHERE "timestamp" >= {NOW} - INTERVAL 24 HOUR"""
 SQL["user_history_7d"] = with_(TX) + f"""SELECT {_TX_COLUMNS}, is_fraud FROM tx
 WHERE user_id = 'user_0007' AND "timestamp" >= {NOW} - INTERVAL 7 DAY"""
 SQL["stream_source"] = with_(TX) + f"""SELECT {_TX_COLUMNS} FROM tx
-WHERE CAST(transaction_id AS BIGINT) % 10 NOT IN (1, 2, 3)"""
+WHERE CAST(transaction_id AS BIGINT) % 10 NOT IN (1, 2, 3, 5)"""
 SQL["stream_source_features"] = _FEATURES + """SELECT transaction_id, "timestamp",
 CAST(tx_count_7d AS DOUBLE) AS tx_count_7d FROM feat"""
 SQL["dead_letter_split"] = with_(TX) + """SELECT
-CASE WHEN CAST(transaction_id AS BIGINT) % 10 IN (1, 2, 3) THEN 'dead' ELSE 'good' END AS sink, transaction_id,
-CASE WHEN CAST(transaction_id AS BIGINT) % 10 IN (1, 2, 3) THEN NULL ELSE amount END AS amount FROM tx"""
+CASE WHEN CAST(transaction_id AS BIGINT) % 10 IN (1, 2, 3, 5) THEN 'dead' ELSE 'good' END AS sink, transaction_id,
+CASE WHEN CAST(transaction_id AS BIGINT) % 10 IN (1, 2, 3, 5) THEN NULL ELSE amount END AS amount FROM tx"""
 SQL["stream_dead_letters"] = with_(TX) + """SELECT
-CASE WHEN CAST(transaction_id AS BIGINT) % 10 IN (1, 2, 3) THEN 'dead' ELSE 'good' END AS sink, count(*) AS n
+CASE WHEN CAST(transaction_id AS BIGINT) % 10 IN (1, 2, 3, 5) THEN 'dead' ELSE 'good' END AS sink, count(*) AS n
 FROM tx GROUP BY 1"""
 SQL["validate_uuid"] = with_(TX) + """, h AS (SELECT transaction_id AS number, md5(transaction_id) AS m,
   CAST(transaction_id AS BIGINT) % 5 AS n FROM tx),

@@ -221,6 +221,8 @@ def keys_at_ranks(df: DataFrame, order: list[str], ranks: list[int], policy: Spl
 
     Only the days that hold a wanted position are numbered; the rest of the table is just counted.
     """
+    if df.filter(F.col(order[0]).isNull()).limit(1).count():
+        raise ValueError(f"rows without {order[0]} have no place in the order")
     day = F.floor(F.unix_micros(F.col(order[0])) / F.lit(_DAY_US)).cast("long")
     days = df.groupBy(day.alias("_day")).agg(F.count(F.lit(1)).alias("n")).collect()
     found: dict[int, object] = dict.fromkeys(ranks)

@@ -61,15 +61,23 @@ def user_history_7d(df: DataFrame, user_id: str, as_of) -> DataFrame:
 def decode(messages: DataFrame, value: str = "value", schema: T.StructType = RAW_TRANSACTION) -> DataFrame:
     """Parse JSON messages with the declared schema; adds ``_bad`` for what cannot be decoded.
 
-    A message is bad if it is empty, is not JSON of the schema's types, or has no id, user or time.
+    The time is a number of milliseconds since 1970 or ISO text. A message is bad if it is empty, is not
+    JSON of the schema's types, or lacks any field.
     """
     corrupt = T.StructField("_corrupt", T.StringType())
-    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", "timestampFormat": ISO_TIME}
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
+    # read as a number, a time would be taken for seconds
+    fields = [T.StructField("timestamp", T.StringType()) if f.name == "timestamp" else f for f in schema.fields]
     parsed = messages.withColumn(
-        "_tx", F.from_json(F.col(value).cast("string"), T.StructType([*schema.fields, corrupt]), options)
+        "_tx", F.from_json(F.col(value).cast("string"), T.StructType([*fields, corrupt]), options)
     )
-    needed = F.col("_tx.transaction_id").isNull() | F.col("_tx.user_id").isNull() | F.col("_tx.timestamp").isNull()
-    bad = F.col("_tx").isNull() | F.col("_tx._corrupt").isNotNull() | needed
+    text = F.col("_tx.timestamp")
+    millis = F.when(text.rlike("^-?[0-9]{1,15}$"), F.timestamp_millis(text.try_cast("long")))
+    time = F.coalesce(millis, F.try_to_timestamp(text, F.lit(ISO_TIME)))
+    parsed = parsed.withColumn("_tx", F.col("_tx").withField("timestamp", time))
+    bad = F.col("_tx").isNull() | F.col("_tx._corrupt").isNotNull()
+    for name in schema.fieldNames():
+        bad = bad | F.col(f"_tx.{name}").isNull()
     return parsed.withColumn("_bad", F.coalesce(bad, F.lit(True)))
 
 

@@ -23,6 +23,12 @@ def _pick(values: list[str], index: Column) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
 
 
+def padded(number: Column) -> Column:
+    """At least four digits; longer numbers stay whole."""
+    digits = number.cast("string")
+    return F.lpad(digits, F.greatest(F.length(digits), F.lit(4)), "0")
+
+
 def _number_in_props() -> Column:
     return F.get_json_object("props", "$.k").cast("int")
 
@@ -35,7 +41,7 @@ def transactions_of(source: DataFrame) -> DataFrame:
     """The transactions in an events table or stream."""
     k = F.col("k")
     events = source.withColumn("k", _number_in_props())
-    user = F.concat(F.lit("user_"), F.lpad(F.col("user_id").cast("string"), 4, "0"))
+    user = F.concat(F.lit("user_"), padded(F.col("user_id")))
     country = _pick(
         COUNTRIES,
         F.when(F.col("event_id") % 20 < 17, F.col("user_id")).otherwise(F.col("event_id")) % len(COUNTRIES),
@@ -50,7 +56,7 @@ def transactions_of(source: DataFrame) -> DataFrame:
     return events.select(
         F.col("event_id").cast("string").alias("transaction_id"),
         user.alias("user_id"),
-        F.concat(F.lit("merchant_"), F.lpad(k.cast("string"), 4, "0")).alias("merchant_id"),
+        F.concat(F.lit("merchant_"), padded(k)).alias("merchant_id"),
         _pick(CATEGORIES, k % len(CATEGORIES)).alias("merchant_category"),
         F.col("value").alias("amount"),
         country.alias("country"),
@@ -187,26 +193,36 @@ def alert_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JSON messages of the transactions; some of them empty, cut short or with a wrong type."""
+    """JSON messages of the transactions, the time as ISO text or in milliseconds.
+
+    Some are empty, cut short, of a wrong type or without a field.
+    """
     tx = transactions(spark, sf_dir)
     number = F.col("transaction_id").cast("long")
-    good = F.to_json(
-        F.struct(
-            "transaction_id",
-            "user_id",
-            "merchant_id",
-            "merchant_category",
-            "amount",
-            "country",
-            F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("timestamp"),
-            "device_type",
-            "ip_hash",
+
+    def message(time: Column) -> Column:
+        return F.to_json(
+            F.struct(
+                "transaction_id",
+                "user_id",
+                "merchant_id",
+                "merchant_category",
+                "amount",
+                "country",
+                time.alias("timestamp"),
+                "device_type",
+                "ip_hash",
+            )
         )
-    )
+
+    good = message(F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"))
+    whole = F.unix_micros("timestamp") % 1000 == 0
+    good = F.when((number % 10 == 4) & whole, message(F.unix_millis("timestamp"))).otherwise(good)
     value = (
         F.when(number % 10 == 1, F.lit(""))
         .when(number % 10 == 2, F.expr("substring(body, 1, 20)"))
         .when(number % 10 == 3, F.expr("replace(body, '\"amount\":', '\"amount\":\"x\",\"was\":')"))
+        .when(number % 10 == 5, F.expr("replace(body, '\"country\":', '\"was\":')"))
         .otherwise(F.col("body"))
     )
     return tx.withColumn("body", good).select(number.alias("offset"), value.alias("value"))

@@ -124,3 +124,47 @@ def test_session_slots_restart_at_midnight(spark):
     df = spark.sql("SELECT explode(array(timestamp '2024-01-01 23:59:00', timestamp '2024-01-02 00:10:00')) AS t")
     starts = [r[0].strftime("%d %H:%M") for r in df.select(scalars.session_start("t", 50)).collect()]
     assert starts == ["01 23:20", "02 00:00"]
+
+
+def test_long_user_numbers_stay_whole(spark):
+    from paysleuth.sources.views import padded
+
+    df = spark.createDataFrame([(7,), (10000,), (10009,), (150000,)], "n long")
+    assert [r[0] for r in df.select(padded(F.col("n"))).collect()] == ["0007", "10000", "10009", "150000"]
+
+
+def test_decoded_times_and_missing_fields(spark):
+    import json
+    from datetime import datetime
+
+    whole = {"transaction_id": "1", "user_id": "u", "merchant_id": "m", "merchant_category": "food", "amount": 1.5,
+             "country": "AR", "timestamp": 1706659200000, "device_type": "web", "ip_hash": "h"}
+    good = [whole, whole | {"timestamp": "2024-01-31T00:00:00Z"}, whole | {"timestamp": "2024-01-31T01:00:00+01:00"}]
+    bad = [{k: v for k, v in whole.items() if k != name} for name in whole]
+    bad += [whole | {"timestamp": "soon"}, whole | {"timestamp": 10**18}, whole | {"amount": None}]
+    rows = spark.createDataFrame([(json.dumps(m),) for m in good + bad], "value string")
+    decoded, dead = tables.dead_letter_split(rows)
+    assert [r["timestamp"] for r in decoded.select(F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss").alias("timestamp")).collect()] == [
+        str(datetime(2024, 1, 31))
+    ] * 3
+    assert dead.count() == len(bad)
+
+
+def test_refresh_of_stored_buckets_leaves_the_open_one(make, spark, tmp_path):
+    path = str(tmp_path / "hourly")
+    df = make([{"minute": i * 7, "fraud": i % 5 == 0} for i in range(60)])  # 12:00 to 18:53
+    whole = sorted(map(str, aggregates.fraud_volume_hourly(df).collect()))
+    columns = aggregates.fraud_volume_hourly(df).columns
+    run = lambda at: maintain.refresh_stored(spark, path, df, aggregates.fraud_volume_hourly, "bucket_hour", at)
+    assert run("2025-01-15 14:40:00").count() == 2
+    assert sorted(map(str, run("2025-01-16 00:00:00").select(*columns).collect())) == whole
+    assert sorted(map(str, run("2025-01-15 14:40:00").select(*columns).collect())) == whole
+
+
+def test_truth_with_repeated_ids_repeats_no_prediction(spark):
+    from paysleuth.operators.monitor import label_backfill
+
+    predictions = spark.createDataFrame([("a", None), ("b", True)], "transaction_id string, actual_label boolean")
+    truth = spark.createDataFrame([("a", False), ("a", True), ("a", None)], "transaction_id string, is_fraud boolean")
+    got = {r["transaction_id"]: r["actual_label"] for r in label_backfill(predictions, truth).collect()}
+    assert got == {"a": True, "b": True}
