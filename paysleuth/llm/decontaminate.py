@@ -128,8 +128,13 @@ def find_leaks(
     anchors = materialized(anchors, "benchmark-anchors")
 
     count = anchors.select("h").distinct().count()
-    bits = table_bits or min(24, max(12, math.ceil(math.log2(max(count, 1) * 4096))))
-    slots = anchors.select(F.col("h").bitwiseAND(F.lit((1 << bits) - 1)).alias("slot")).distinct()
+    bits = table_bits or min(24, max(12, math.ceil(math.log2(max(count, 1) * 256))))
+
+    def slots_of(h: Column) -> list[Column]:
+        """The two places of a hash in the table."""
+        return [F.shiftrightunsigned(h, by).bitwiseAND(F.lit((1 << bits) - 1)) for by in (0, 32)]
+
+    slots = anchors.select(F.explode(F.array(*slots_of(F.col("h")))).alias("slot")).distinct()
     words64 = slots.groupBy(F.shiftright("slot", 6).cast("int").alias("w")).agg(
         F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("slot").bitwiseAND(F.lit(63)).cast("int"))).alias("v")
     )
@@ -139,9 +144,12 @@ def find_leaks(
     known = F.split(F.lit(",".join(map(str, table))), ",").cast("array<long>")  # folded to one constant
 
     def marked(h: Column) -> Column:
-        slot = h.bitwiseAND(F.lit((1 << bits) - 1))
-        word = F.get(known, F.shiftright(slot, 6).cast("int"))
-        return F.call_function("shiftright", word, slot.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
+        def set_at(slot: Column) -> Column:
+            word = F.get(known, F.shiftright(slot, 6).cast("int"))
+            return F.call_function("shiftright", word, slot.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
+
+        first, second = slots_of(h)
+        return set_at(first) & set_at(second)
 
     texts = docs.select(
         F.col(id_col).alias("doc_id"),
@@ -187,7 +195,8 @@ def find_leaks(
     looked = prints.select("size", "w1", "w2", "n", "fp", F.explode(_blocks(F.col("fp"))).alias("_k"))
     looked = looked.select("size", "w1", "w2", "n", "fp", "_k.block", "_k.bits")
     distance = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))
-    met = looked.join(filed, ["size", "block", "bits"]).withColumn("distance", distance)
+    # thousands of rows an item, which Spark's estimate does not see: the table is never to be broadcast
+    met = looked.join(filed.hint("merge"), ["size", "block", "bits"]).withColumn("distance", distance)
     met = met.filter(F.col("distance") <= RADIUS).select("size", "w1", "w2", "n", "item", "distance").distinct()
 
     weighed = spread.groupBy("size", "w1", "w2", "h").agg(F.count(F.lit(1)).alias("cw"))
