@@ -30,7 +30,7 @@ AS_OF = views.AS_OF
 MIDDLE = "2024-01-16 00:00:00"
 
 # Cuts groups on tables of any size: the same results by the path that very large groups take.
-FORCED = SplitPolicy(rows_per_segment=40, max_segments=64, small_bytes=0)
+FORCED = SplitPolicy(rows_per_segment=40, max_segments=64)
 
 QUERIES = {}
 

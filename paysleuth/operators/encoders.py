@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from paysleuth.functions.scalars import null_as_text
 from paysleuth.plans.ordered import DEFAULT_POLICY, SplitPolicy, running
-from paysleuth.plans.sizing import as_lookup, estimated_bytes, small_table, with_row
+from paysleuth.plans.sizing import as_lookup, small_table, with_row
 
 SMOOTHING = 10.0
 APPEARANCE = ("timestamp", "transaction_id")
@@ -119,9 +119,7 @@ class EncoderSet:
         stats = long.groupBy("_p.column", "_p.category").agg(
             F.count(F.lit(1)).alias("n"), F.sum("_y").alias("s"), F.min("_at").alias("_first")
         )
-        if estimated_bytes(stats) > DEFAULT_POLICY.small_bytes:
-            # the codes below read these few rows more than once
-            stats = _settled(stats)
+        stats = _settled(stats)  # the codes below read these rows more than once
         overall = stats.groupBy("column").agg((F.sum("s") / F.sum("n")).alias("g"))
         ranked = running(stats.withColumn("_one", F.lit(1)), ["column"], "_first", {"_rank": ("sum", "_one")})
         is_target = F.col("column").isin(*cls.TARGET)

@@ -19,7 +19,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paysleuth.plans.sizing import estimated_bytes
 from paysleuth.session import materialized
 
 SEG = "_seg"
@@ -31,31 +30,25 @@ _DAY_US = 86_400_000_000
 class SplitPolicy:
     """When to cut a group.
 
-    rows_per_segment: a group above this many rows is cut.
-    max_segments: cap of the number of cut groups and (about) of all segments. A group is left
-        whole only if it is smaller than the average share of ``max_segments`` tasks.
-    small_bytes: inputs that Catalyst puts below this size are not counted at all.
+    rows_per_segment: every group above this many rows is cut.
+    max_segments: about how many segments the cut groups get in all; if their rows are more than
+        ``max_segments`` times ``rows_per_segment``, the segments become larger.
     """
 
     rows_per_segment: int = 1_000_000
-    max_segments: int = 4096
-    small_bytes: int = 32 << 20
+    max_segments: int = 65_536
 
 
 DEFAULT_POLICY = SplitPolicy()
 
 
 def large_groups(df: DataFrame, by: list[str], policy: SplitPolicy = DEFAULT_POLICY) -> list[tuple]:
-    """The groups to cut, largest first, as (key..., rows). At most ``max_segments`` of them.
+    """The groups to cut, largest first, as (key..., rows): at most total / rows_per_segment of them.
 
-    The count combines on the map side, so a hot key costs one row per map task. Each group that is
-    not listed has at most max(rows_per_segment, total / max_segments) rows.
+    The count combines on the map side, so a hot key costs one row per map task.
     """
-    if estimated_bytes(df) <= policy.small_bytes:
-        return []
     counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    top = counts.filter(F.col("_n") > policy.rows_per_segment).orderBy(F.desc("_n")).limit(policy.max_segments)
-    return [tuple(r) for r in top.collect()]
+    return sorted(map(tuple, counts.filter(F.col("_n") > policy.rows_per_segment).collect()), key=lambda r: -r[-1])
 
 
 def _cuts(sample: list, parts: int) -> list:
@@ -98,18 +91,12 @@ def with_segments(
     spark = df.sparkSession
     dtype = df.schema[order].dataType
     if not by:
-        if estimated_bytes(df) <= policy.small_bytes:
-            return df.withColumn(SEG, F.lit(0)), False
         total = df.count()
-        parts = max(
-            math.ceil(total / policy.rows_per_segment),
-            min(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / 1000)),
-        )
-        parts = min(parts, policy.max_segments)
+        parts = min(math.ceil(total / policy.rows_per_segment), policy.max_segments)
         if parts <= 1:
             return df.withColumn(SEG, F.lit(0)), False
         every = max(1, total // (20 * parts))
-        picked = df.filter(F.pmod(F.xxhash64(order), F.lit(every)) == 0).select(order).limit(40 * parts + 1000)
+        picked = df.filter(F.pmod(F.xxhash64(order), F.lit(every)) == 0).select(order)  # about 20 a segment
         cuts = _cuts([_plain(r[0]) for r in picked.collect()], parts)
         if not cuts:
             return df.withColumn(SEG, F.lit(0)), False
@@ -130,8 +117,7 @@ def with_segments(
     picked = (
         df.join(F.broadcast(hot_df), by, "left_semi")
         .filter(F.pmod(F.xxhash64(*by, order), F.lit(every)) == 0)
-        .select(*by, order)
-        .limit(40 * sum(parts.values()) + 1000)
+        .select(*by, order)  # about 20 a segment
         .collect()
     )
     samples: dict[tuple, list] = {}
@@ -178,7 +164,7 @@ def running(
     spark = df.sparkSession
     if by and hot is None:
         hot = large_groups(df, by, policy)
-    if hot or (not by and estimated_bytes(df) > policy.small_bytes):
+    if hot or not by:
         df = materialized(df, "running")
     cut, split = with_segments(df, by, order, policy, hot)
     window = Window.partitionBy(*by, SEG).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)

@@ -13,7 +13,7 @@ from paysleuth.schemas import TRANSACTION_TABLE  # noqa: E402
 from paysleuth.session import build_session  # noqa: E402
 
 # any group with more than a handful of rows is cut
-TINY = SplitPolicy(rows_per_segment=4, max_segments=32, small_bytes=0)
+TINY = SplitPolicy(rows_per_segment=4, max_segments=32)
 
 
 @pytest.fixture(scope="session")

@@ -7,7 +7,7 @@ from paysleuth.plans import ordered
 from paysleuth.plans.ordered import SplitPolicy, exact_quantiles, global_index, keys_at_ranks, running
 from paysleuth.plans.sizing import as_lookup, estimated_bytes
 
-POLICIES = [ordered.DEFAULT_POLICY, TINY, SplitPolicy(rows_per_segment=1, max_segments=7, small_bytes=0)]
+POLICIES = [ordered.DEFAULT_POLICY, TINY, SplitPolicy(rows_per_segment=1, max_segments=7)]
 
 
 @pytest.mark.parametrize("policy", POLICIES)
@@ -58,7 +58,7 @@ def test_exact_quantiles(spark, policy):
 
 def test_segments_are_bounded_and_cover_hot_groups(spark):
     df = spark.range(5000).selectExpr("CASE WHEN id % 3 = 0 THEN 'hot' ELSE cast(id as string) END AS g", "id AS k")
-    policy = SplitPolicy(rows_per_segment=100, max_segments=64, small_bytes=0)
+    policy = SplitPolicy(rows_per_segment=100, max_segments=64)
     assert [tuple(h) for h in ordered.large_groups(df, ["g"], policy)] == [("hot", 1667)]
     cut, split = ordered.with_segments(df, ["g"], "k", policy)
     assert split
