@@ -90,7 +90,10 @@ def test_old_rows_leave_the_windows_but_not_the_profile(make, spark, tmp_path):
 
 
 def test_dead_letters_and_replay(spark, tmp_path):
-    good = '{"transaction_id":"%s","user_id":"u","amount":1.0,"timestamp":"2024-01-01T00:00:00.000000Z"}'
+    good = (
+        '{"transaction_id":"%s","user_id":"u","merchant_id":"m","merchant_category":"food","amount":1.0,"country":"AR",'
+        '"timestamp":"2024-01-01T00:00:00.000000Z","device_type":"web","ip_hash":"h"}'
+    )
     lines = [good % "a", "{broken", good % "b", ""]
     path = str(tmp_path / "in")
     spark.createDataFrame([(v,) for v in lines], "value string").write.text(path)
