@@ -135,3 +135,17 @@ def test_crowded_buckets_give_the_same_components(spark):
         rows.append((i, " ".join(words)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert [r["doc_id"] for r in near.near_dedup(docs).collect()] == [0]
+
+
+def test_a_star_of_copies_is_one_component(spark):
+    """Copies are 0.84 similar to the original and about 0.71 to each other; whoever is not linked to it stays."""
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(300)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 1001):
+        words = list(base)
+        for at in rng.sample(range(4, 295, 5), 5):
+            words[at] = f"c{i}x{at}"
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert near.near_dedup(docs).count() < 100  # what is left shares no key with another text
