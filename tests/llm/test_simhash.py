@@ -148,4 +148,17 @@ def test_a_star_of_copies_is_one_component(spark):
             words[at] = f"c{i}x{at}"
         rows.append((i, " ".join(words)))
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    assert near.near_dedup(docs).count() < 100  # what is left shares no key with another text
+    assert [r["doc_id"] for r in near.near_dedup(docs).collect()] == [0]
+
+
+def test_near_copies_meet_wherever_they_differ(spark):
+    """Blocks appended, cut off, replaced and repeated, at similarities from 0.8."""
+    rng = random.Random(3)
+    rows = []
+    for g in range(80):
+        text = [f"w{rng.randrange(5000)}" for _ in range(300)]
+        new = [f"n{rng.randrange(5000)}" for _ in range(70)]
+        other = [text + new, text[:245], text[:130] + new[:28] + text[158:], text + text[:60] * 5][g % 4]
+        rows += [(2 * g, " ".join(text)), (2 * g + 1, " ".join(other))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in near.near_dedup(docs).collect()) == list(range(0, 160, 2))
