@@ -4,9 +4,9 @@ A text leaks an item if a window of the item's size (in shingles of five words)
 0.8 or more with it; a shingle weighs as often as it occurs.
 
 1. Windows. Such a window must share one of ``anchors``: any (1 - 0.8) * size + 1 of the item's shingles. Texts are
-   tested against a bit table of the anchors row by row, nothing is shuffled; windows are laid where an anchor of the
-   text meets its place in an item of that size, shifted by as many words as insertions could move it. Other windows
-   have a similarity below 0.8 with every item, so nothing is lost.
+   tested against a bit table of the anchors row by row, nothing is shuffled. Of a text and an item that share one, the
+   places of all the item's shingles in the text are counted; windows are laid at every start whose window holds as many
+   as a similarity of 0.8 needs, in whatever order they stand. Other windows are below 0.8 with every item.
 2. SimHash of each distinct window, and of the items.
 3. Multi-index: the 64 bits fall into four blocks; within 19 bits at least one block differs in at most 4. Items are
    filed under all block values within 4 bits, windows look up their four block values. All fingerprints within the
@@ -115,17 +115,11 @@ def find_leaks(
     placed = distinct.select("item", "size", F.posexplode("shingles").alias("offset", "h"))
     # anchors: of each item its (1 - similarity) * size + 1 rarest distinct shingles; ties by hash
     rarity = placed.groupBy("h").agg(F.count(F.lit(1)).alias("_seen"))
-    first = placed.join(rarity, "h").groupBy("item", "size", "h").agg(
-        F.first("_seen").alias("_seen"), F.collect_list("offset").alias("offsets")
-    )
+    first = placed.join(rarity, "h").groupBy("item", "size", "h").agg(F.first("_seen").alias("_seen"))
     needed = F.col("size") - F.ceil(F.col("size") * similarity) + 1
     order = Window.partitionBy("item", "size").orderBy("_seen", "h")
     anchors = first.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= needed)
-    # an insertion or deletion of g words costs g + k - 1 shingles, so this is how far an alignment can be off
-    lost = F.floor(F.col("size") * (1 - similarity))
-    shift = F.greatest(F.lit(0), lost - (k - 1)).cast("int")
-    anchors = anchors.select("h", "size", shift.alias("shift"), F.explode("offsets").alias("offset")).distinct()
-    anchors = materialized(anchors, "benchmark-anchors")
+    anchors = materialized(anchors.select("h", "item", "size"), "benchmark-anchors")
 
     count = anchors.select("h").distinct().count()
     bits = table_bits or min(24, max(12, math.ceil(math.log2(max(count, 1) * 256))))
@@ -160,27 +154,36 @@ def find_leaks(
     # rows that hold no anchor end here, before anything moves; a filter would be pushed down and hash the text again
     anchored = F.when(F.exists("shingles", marked), F.array("shingles"))
     near = materialized(texts.select("doc_id", "text_hash", F.explode(anchored).alias("shingles")), "anchored-texts")
-    hits = near.select(
-        "doc_id", "text_hash", "shingles", F.posexplode(F.transform("shingles", lambda h: F.when(marked(h), h))).alias("pos", "h")
-    ).filter(F.col("h").isNotNull())
-    laid = hits.join(_small(anchors), "h").select(
-        "doc_id",
-        "text_hash",
-        "shingles",
-        "size",
-        F.explode(F.sequence(-F.col("shift"), F.col("shift"))).alias("_move"),
-        (F.col("pos") - F.col("offset")).alias("_at"),
+    # from here on by distinct text; its documents come back at the end
+    owners = near.select("doc_id", "text_hash").distinct()
+    bodies = materialized(near.select("text_hash", "shingles").dropDuplicates(["text_hash"]), "anchored-bodies")
+    hits = bodies.select("text_hash", F.explode(F.filter(F.array_distinct("shingles"), marked)).alias("h"))
+    asked = hits.join(_small(anchors), "h").select("text_hash", "item", "size").distinct()
+    # an upper bound of what text and item have in common, before places are looked at
+    wanted = distinct.select("item", "size", F.col("shingles").alias("_item"))
+    pairs = asked.join(_small(wanted), ["item", "size"]).join(bodies, "text_hash")
+    length = F.least(F.size("shingles"), F.col("size"))
+    fewest = F.ceil((length + F.col("size")) * (similarity / (1 + similarity)) - 1e-9).cast("int")
+    shared = F.size(F.array_intersect("shingles", "_item")) + F.col("size") - F.size(F.array_distinct("_item"))
+    pairs = pairs.withColumns({"_fewest": fewest, "_last": F.greatest(F.size("shingles") - F.col("size"), F.lit(0))})
+    pairs = materialized(pairs.filter(shared >= F.col("_fewest")).drop("_item"), "decontamination-pairs")
+    # a shingle of the item at pos counts in the windows that start at pos - size + 1 .. pos; windows with enough are laid
+    at = pairs.select("text_hash", "item", "size", "_fewest", "_last", F.posexplode("shingles").alias("pos", "h"))
+    at = at.join(placed.select("item", "size", "h").distinct(), ["item", "size", "h"])
+    change = F.array(
+        F.struct(F.greatest(F.col("pos") - F.col("size") + 1, F.lit(0)).alias("at"), F.lit(1).alias("by")),
+        F.struct((F.col("pos") + 1).alias("at"), F.lit(-1).alias("by")),
     )
-    last = F.greatest(F.size("shingles") - F.col("size"), F.lit(0))
-    laid = laid.withColumn("start", F.least(F.greatest(F.col("_at") + F.col("_move"), F.lit(0)), last).cast("int"))
-    cut = laid.withColumn("window", F.slice("shingles", F.col("start") + 1, F.col("size")))
+    key = ["text_hash", "item", "size", "_fewest", "_last"]
+    steps = at.select(*key, F.explode(change).alias("_c")).groupBy(*key, "_c.at").agg(F.sum("_c.by").alias("by"))
+    along = Window.partitionBy("text_hash", "item", "size").orderBy("at")
+    steps = steps.withColumns({"_held": F.sum("by").over(along), "_next": F.lead("at").over(along)})
+    steps = steps.filter((F.col("_held") >= F.col("_fewest")) & (F.col("at") <= F.col("_last")))
+    to = F.least(F.col("_next") - 1, F.col("_last"))
+    starts = steps.select("text_hash", "size", F.explode(F.sequence(F.col("at"), to)).alias("start")).distinct()
+    cut = starts.join(bodies, "text_hash").withColumn("window", F.slice("shingles", F.col("start") + 1, F.col("size")))
     cut = cut.withColumns({"w1": F.xxhash64("window"), "w2": F.xxhash64(F.lit(2), "window")})
-    windows = materialized(
-        cut.groupBy("doc_id", "text_hash", "size", "start").agg(
-            F.first("w1").alias("w1"), F.first("w2").alias("w2"), F.first("window").alias("window")
-        ),
-        "windows",
-    )
+    windows = materialized(cut.select("text_hash", "size", "start", "w1", "w2", "window"), "windows")
     contents = windows.groupBy("size", "w1", "w2").agg(F.first("window").alias("window"))
     spread = contents.select("size", "w1", "w2", F.size("window").alias("n"), F.explode("window").alias("h"))
     prints = spread.groupBy("size", "w1", "w2", "n").agg(*simhash_columns("h"))
@@ -210,7 +213,7 @@ def find_leaks(
     exact = F.col("m") / (F.col("n") + F.col("size") - F.col("m"))
     leaking = common.select("size", "w1", "w2", "item", "distance", exact.alias("similarity"))
     leaking = leaking.filter(F.col("similarity") >= similarity)
-    found = windows.drop("window").join(leaking, ["size", "w1", "w2"]).join(items.select("item_id", "item", "size"), ["item", "size"])
+    found = windows.drop("window").join(leaking, ["size", "w1", "w2"]).join(owners, "text_hash").join(items.select("item_id", "item", "size"), ["item", "size"])
     best = F.max(F.struct("similarity", (-F.col("start")).alias("_early"), "size", "distance")).alias("_best")
     return found.groupBy("doc_id", "text_hash", "item_id").agg(best).select(
         "doc_id",

@@ -63,6 +63,24 @@ def test_leaks_equal_the_search_of_all_windows(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(d for d, _ in docs if d not in dirty)
 
 
+def test_swapped_halves_leak(spark):
+    rng = random.Random(5)
+    word = lambda: f"w{rng.randrange(5000)}"
+    items = [(i, " ".join(word() for _ in range(n))) for i, n in enumerate([100, 160, 80, 100, 60])]
+    docs = []
+    for i, item in items:
+        leak, before = item.split(), [word() for _ in range(30 * i)]
+        half = len(leak) // 2
+        docs.append((i, " ".join(before + leak[half:] + leak[:half] + [word() for _ in range(40)])))
+    docs += [(7, docs[0][1]), (None, docs[1][1])]  # copies, one without an id
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): round(r["similarity"], 6) for r in find_leaks(frame, benchmark).collect()}
+    want = plain(docs, items)
+    assert got == want and len(want) == 7
+    assert decontaminate(frame, benchmark).count() == 0
+
+
 def test_nothing_to_find(spark):
     docs = spark.createDataFrame([(1, "a b c d e f g")], "doc_id long, text string")
     none = spark.createDataFrame([], "item_id long, text string")
