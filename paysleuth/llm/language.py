@@ -22,7 +22,6 @@ from paysleuth.session import materialized
 BUCKETS = 1 << 16
 TEMPER = 0.1  # neighbouring trigrams repeat each other's evidence
 STRENGTH = 5.0  # rows that a prior of the level above counts for
-MOST_LANGUAGES = 64
 # Country suffixes that speak for a language, and how much more often than for others.
 SUFFIXES = {"de": "de", "at": "de", "fr": "fr", "es": "es", "mx": "es", "ar": "es", "uk": "en", "us": "en", "it": "it"}
 SUFFIX_ODDS = 20.0
@@ -50,8 +49,7 @@ def trigram_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lan
     Each task sends one count per language and bucket; the sums that reach the driver are bounded by those two numbers.
     """
     given = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    common = given.groupBy(F.col(lang_col).alias("l")).agg(F.count(F.lit(1)).alias("n"))
-    languages = sorted(r["l"] for r in common.orderBy(F.desc("n"), "l").limit(MOST_LANGUAGES).collect())
+    languages = sorted(r["l"] for r in given.select(F.col(lang_col).alias("l")).distinct().collect())
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[str, np.ndarray] = {}
@@ -63,7 +61,7 @@ def trigram_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lan
             at = np.flatnonzero(total)
             yield pd.DataFrame({"lang": lang, "bucket": at, "n": total[at]})
 
-    rows = given.filter(F.col(lang_col).isin(languages)).select(F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang"))
+    rows = given.select(F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang"))
     sums = rows.mapInPandas(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     counts = np.zeros((len(languages), BUCKETS))
     got = sums.toPandas()

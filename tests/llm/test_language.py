@@ -42,3 +42,16 @@ def test_held_out_documents(spark):
     got = language.fuse(rows, languages).join(rest.selectExpr("doc_id as id", "lang as truth"), "id")
     right = got.selectExpr("avg(cast(lang = truth as double)) as a").first()["a"]
     assert right > 0.97
+
+
+def test_rare_languages_are_learned_too(spark):
+    """70 languages; the rarest five of them have one document each."""
+    names = [f"l{k:02d}" for k in range(70)]
+    text = {k: " ".join(f"{a}{k[1:]}{b}" for a in "abcde" for b in "vwxyz") for k in names}
+    docs = [(i, text[k], k, f"s{k}") for i, k in enumerate(k for k in names for _ in range(1 if k >= "l65" else 2))]
+    d = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")
+    languages, counts = language.trigram_counts(d)
+    assert languages == names and (counts.sum(1) > 0).all()
+    p = spark.createDataFrame([(1, None, None)], "page_id long, url string, html string")
+    got = {r["doc_id"]: r["text_lang"] for r in language.identify(d, p).collect() if r["page_id"] is None}
+    assert got == {i: k for i, _, k, _ in docs}
