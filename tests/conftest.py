@@ -1,20 +1,17 @@
 import os
 import sys
 import tempfile
-from datetime import datetime, timedelta, timezone
+from datetime import timedelta
 
 import pytest
+from helpers import BASE
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 os.environ.setdefault("TZ", "UTC")
 
-from paysleuth.plans.ordered import SplitPolicy  # noqa: E402
 from paysleuth.schemas import TRANSACTION_TABLE  # noqa: E402
 from paysleuth.session import build_session  # noqa: E402
 
-# any group with more than a handful of rows is cut
-TINY = SplitPolicy(rows_per_segment=4, max_segments=32)
-
 
 @pytest.fixture(scope="session")
 def spark():
@@ -33,9 +30,6 @@ def spark():
     session.stop()
 
 
-BASE = datetime(2025, 1, 15, 12, 0, tzinfo=timezone.utc)
-
-
 @pytest.fixture
 def make(spark):
     """Build a transaction table from short dicts: minute offsets, amounts and so on."""

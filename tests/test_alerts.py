@@ -1,7 +1,7 @@
 import random
 
 import pytest
-from conftest import TINY
+from helpers import TINY
 
 from paysleuth.operators import alerts, detect, quality
 from paysleuth.plans.ordered import DEFAULT_POLICY

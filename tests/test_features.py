@@ -2,7 +2,7 @@ import random
 from datetime import timedelta
 
 import pytest
-from conftest import BASE, TINY
+from helpers import BASE, TINY
 from pyspark.sql import functions as F
 
 from paysleuth.operators import features as feat

@@ -1,7 +1,7 @@
 import random
 
 import pytest
-from conftest import TINY
+from helpers import TINY
 
 from paysleuth.plans import ordered
 from paysleuth.plans.ordered import SplitPolicy, exact_quantiles, global_index, keys_at_ranks, running

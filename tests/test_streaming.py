@@ -2,7 +2,7 @@ import random
 from datetime import timedelta
 
 import pytest
-from conftest import BASE
+from helpers import BASE
 from pyspark.sql import functions as F
 from test_features import random_rows
 
@@ -142,7 +142,7 @@ def test_enriched_messages_round_trip(make, spark, tmp_path):
 @pytest.mark.parametrize("large", [False, True])
 def test_stored_history_equals_batch(tx, spark, tmp_path, large):
     """Three micro-batches with a snapshot of the old rows in between, busy users cut or not."""
-    from conftest import TINY
+    from helpers import TINY
 
     path, raw, out, rollup = (str(tmp_path / n) for n in ("in", "raw", "out", "rollup"))
     policy = {"policy": TINY} if large else {}
