@@ -9,6 +9,7 @@ from paysleuth.llm import (
     exact_dedup,
     language,
     packing,
+    periodic_runs,
     pii,
     sharding,
     simhash_dedup,
@@ -100,3 +101,8 @@ def op6_decontamination(spark, sf):
 @query
 def op9_language(spark, sf):
     return language.identify(table(spark, sf, "documents"), table(spark, sf, "pages"))
+
+
+@query
+def op12_periodic_runs(spark, sf):
+    return periodic_runs.run_digest(table(spark, sf, "documents"))
