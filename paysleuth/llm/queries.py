@@ -13,6 +13,7 @@ from paysleuth.llm import (
     pii,
     sharding,
     simhash_dedup,
+    token_alignment,
     token_files,
     toxicity,
     warc,
@@ -106,3 +107,11 @@ def op9_language(spark, sf):
 @query
 def op12_periodic_runs(spark, sf):
     return periodic_runs.run_digest(table(spark, sf, "documents"))
+
+
+@query
+def op13_token_alignment(spark, sf):
+    import public_tokenizers
+
+    byte_level, pieces = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return token_alignment.alignment_digest(table(spark, sf, "documents"), byte_level, pieces)
