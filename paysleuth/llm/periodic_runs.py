@@ -199,6 +199,19 @@ def _together(lists: list[list[bytes]]):
         yield now
 
 
+def _blocks(texts: pd.Series):
+    """Neighbouring texts of about ``AT_ONCE`` words in all."""
+    now, size = [], 0
+    for t in texts:
+        now.append(t)
+        size += len(t or "")
+        if size >= 6 * AT_ONCE:
+            yield now
+            now, size = [], 0
+    if now:
+        yield now
+
+
 def runs_of_texts(lists: list[list[bytes]], least: int = 12) -> list[Runs]:
     """The runs of each list of words."""
     result: list[Runs] = []
@@ -234,11 +247,12 @@ def runs_column(least: int):
 
     @F.pandas_udf("start array<long>, length array<long>, period array<long>, collapsed string")
     def runs(text: pd.Series) -> pd.DataFrame:
-        lists = [(t or "").encode().split() for t in text]
-        found = runs_of_texts(lists, least)
-        columns = {name: pd.Series([getattr(r, name) for r in found], dtype="object") for name in Runs._fields}
-        texts = [collapsed(w, r).decode() for w, r in zip(lists, found, strict=True)]
-        return pd.DataFrame(columns | {"collapsed": pd.Series(texts, dtype="object")})
+        rows = []
+        for some in _blocks(text):  # only these texts' words are held at once
+            lists = [(t or "").encode().split() for t in some]
+            found = runs_of_texts(lists, least)
+            rows += [(*r, collapsed(w, r).decode()) for w, r in zip(lists, found, strict=True)]
+        return pd.DataFrame(rows, columns=["start", "length", "period", "collapsed"], dtype="object")
 
     return runs
 
@@ -249,7 +263,7 @@ def find_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     Words are what ASCII white space parts. A null or empty text has no words, no runs and the collapsed text ''.
     Null ids and repeated rows stay as they are; other columns play no part; an empty table gives an empty result.
     """
-    found = docs.select(F.col(id_col).alias("doc_id"), runs_column(least)(whole_text(text_col)).alias("_r"))
+    found = docs.select(F.col(id_col).alias("doc_id"), runs_column(least)(F.col(text_col)).alias("_r"))
     return found.select(
         "doc_id",
         F.arrays_zip(F.col("_r.start").alias("start"), F.col("_r.length").alias("length"), F.col("_r.period").alias("period")).alias("runs"),
