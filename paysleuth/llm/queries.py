@@ -13,6 +13,7 @@ from paysleuth.llm import (
     pii,
     sharding,
     simhash_dedup,
+    suffix_dedup,
     token_alignment,
     token_files,
     toxicity,
@@ -115,3 +116,8 @@ def op13_token_alignment(spark, sf):
 
     byte_level, pieces = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
     return token_alignment.alignment_digest(table(spark, sf, "documents"), byte_level, pieces)
+
+
+@query
+def op11_suffix_dedup(spark, sf):
+    return suffix_dedup.span_digest(table(spark, sf, "documents"))
