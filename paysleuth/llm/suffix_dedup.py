@@ -5,17 +5,22 @@ as bytes and judged on the input. The steps:
 
 1. Chunks. Tasks write a few megabytes of text to a compressed file in the shared folder. Of equal whole texts only those
    of the smallest id go on; the others have an earlier copy of every string they hold.
-2. Anchors. The anchor of a string is the least hash among its shorter substrings (two thirds of its length), so equal
-   strings have equal anchors, and neighbouring strings mostly share one. Chunks send their distinct anchors as sorted
-   differences; those that no second document has cannot belong to a repeated string. Nothing is decided by a hash
-   beyond this: anchors only say which suffixes are sorted.
-3. Runs. Each chunk sorts its candidate suffixes (to the depth of ``length``), keeps one entry per distinct string with
-   the smallest id that has it, and sends the entries front-coded: the length of the prefix they share with the
-   entry before, and the rest. Splitters from a sample of the candidates cut the runs into ranges.
+2. Anchors. The anchor of a string is the shorter substring of least hash in it (two thirds of its length), so equal
+   strings have equal anchors, and neighbouring strings mostly share one: these form a segment. Chunks send their
+   distinct anchors as sorted differences; those that no second document has cannot belong to a repeated string. Nothing
+   is decided by a hash beyond this: anchors only say which suffixes are sorted.
+3. Runs. Each chunk sorts the suffixes that start at its candidate anchors (to the end of the segment, then what
+   precedes the anchor), keeps one entry per distinct string with the smallest id that has it, and sends the
+   entries front-coded: the length of the prefix they share with the entry before, and the rest. Splitters from
+   a sample of the candidates cut the runs into ranges.
 4. Merge. In each range a loser tree merges the runs of all chunks. Every entry carries the length of the prefix it
    shares with the last one that was put out, so a match compares two lengths, and only where these are equal bytes,
-   from there on. Equal entries come out together; each learns whether another run has a smaller id.
-5. Chunks turn what their entries learned into spans.
+   from there on. Strings of one anchor come out together, equal ones as one, and each learns which of its segment's
+   strings a smaller id has.
+5. An anchor with more than ``MOST_STRINGS`` different surroundings (a line that very many texts hold) is left open
+   there. Its segments' single suffixes, of ``length`` bytes each, are sorted, sent and merged in the same way, spread over
+   all ranges.
+6. Chunks turn what their entries learned into spans.
 
 A string that many documents hold is one entry per chunk. Tasks work on a chunk, a range of anchors or a range of
 strings, all of which grow in number, not in size, with the text.
@@ -42,8 +47,9 @@ from paysleuth.session import materialized, scratch_path
 
 LENGTH = 50
 CHUNK_BYTES = 8 << 20  # of text in a chunk
-PART_BYTES = 64 << 20  # of text to a range of anchors
-RANGE_BYTES = 8 << 20  # of text to a range of strings
+PART_BYTES = 16 << 20  # of text to a range of anchors
+RANGE_BYTES = 16 << 20  # of text to a range of strings
+MOST_STRINGS = 4096  # of one anchor that a merge holds at once
 SAMPLE_CHUNKS, SAMPLE_STRINGS = 16, 2000  # for splitters: at most so many chunks, strings of each
 NULL_ID = (1 << 63) - 1  # null ids are after all others
 _BLOCK = 1 << 16
@@ -51,13 +57,16 @@ _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 _FACTORS = [np.uint64(x) for x in (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
-def _minimum_over(values: np.ndarray, width: int) -> np.ndarray:
-    """The least of each ``width`` neighbours."""
-    span = 1
-    while 2 * span <= width:
-        values = np.minimum(values[:-span], values[span:])
-        span *= 2
-    return np.minimum(values[: len(values) - (width - span)], values[width - span :]) if span < width else values
+def _first_least(values: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The least of each ``width`` neighbours and the place of the first such."""
+    at, span = np.arange(len(values), dtype=np.int32), 1
+    while span < width:
+        step = min(span, width - span)  # the last two stretches overlap
+        right = values[step:] < values[: len(values) - step]
+        at = np.where(right, at[step:], at[: len(at) - step])
+        values = np.minimum(values[step:], values[: len(values) - step])
+        span += step
+    return values, at
 
 
 def _hashes(text: np.ndarray, gram: int) -> np.ndarray:
@@ -78,46 +87,57 @@ def _hashes(text: np.ndarray, gram: int) -> np.ndarray:
     return found
 
 
-def anchor_changes(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(places, anchors): the string at a place, and those after it up to the next place, have this anchor."""
-    gram = max(1, 2 * length // 3 - 1)
-    places, anchors = [], []
-    last = None
+def gram_of(length: int) -> int:
+    """Bytes of an anchor: about two thirds, and at most 61 strings to an anchor."""
+    return max(1, 2 * length // 3 - 1, length - 60)
+
+
+def anchor_changes(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places, hashes, anchors): the string at a place, and those after it up to the next, have the anchor that starts there."""
+    gram = gram_of(length)
+    places, hashes, anchors = [], [], []
+    last = -1
     for low in range(0, len(text) - length + 1, _BLOCK):
-        least = _minimum_over(_hashes(text[low : low + _BLOCK + length - 1], gram), length - gram + 1)
-        new = np.flatnonzero(least[1:] != least[:-1]) + 1
-        if last is None or least[0] != last:
-            new = np.concatenate([[0], new])
-        last = least[-1]
+        least, at = _first_least(_hashes(text[low : low + _BLOCK + length - 1], gram), length - gram + 1)
+        new = np.flatnonzero(np.diff(at, prepend=last - low))
+        last = at[-1] + low
         places.append(new + low)
-        anchors.append(least[new])
+        hashes.append(least[new])
+        anchors.append(at[new].astype(np.int64) + low)
     if not places:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
-    return np.concatenate(places), np.concatenate(anchors)
+        none = np.zeros(0, dtype=np.int64)
+        return none, none.view(np.uint64), none
+    return np.concatenate(places), np.concatenate(hashes), np.concatenate(anchors)
 
 
 class Segments(NamedTuple):
-    """Neighbouring strings of one document with one anchor: first start, start after the last, anchor, document."""
+    """Neighbouring strings of one document with one anchor: first start, start after the last, anchor, its hash, document."""
 
     start: np.ndarray
     end: np.ndarray
+    at: np.ndarray
     anchor: np.ndarray
     doc: np.ndarray
 
 
 def segments(text: np.ndarray, starts: np.ndarray, sizes: np.ndarray, use: np.ndarray, length: int, bits: int) -> Segments:
-    """The segments of the documents in use; anchors keep their upper ``bits``."""
-    places, anchors = anchor_changes(text, length)
+    """The segments of the documents in use; hashes keep their upper ``bits``."""
+    places, hashes, at = anchor_changes(text, length)
     long = np.flatnonzero(use & (sizes >= length))
     if not len(long) or not len(places):
         none = np.zeros(0, dtype=np.int64)
-        return Segments(none, none, none, none)
-    points = np.union1d(places, starts[long])
-    doc = long[np.maximum(np.searchsorted(starts[long], points, side="right") - 1, 0)]
+        return Segments(none, none, none, none, none)
+    first = np.searchsorted(places, starts[long], side="right") - 1  # the segment that a document's start is in
+    inner = starts[long] != places[first]
+    points = np.insert(places, first[inner] + 1, starts[long][inner])
+    of = np.insert(np.arange(len(places)), first[inner] + 1, first[inner])
+    begins = np.append(np.searchsorted(points, starts[long]), len(points))
+    doc = np.concatenate([np.full(begins[0], -1), np.repeat(long, np.diff(begins))])
     end = np.minimum(np.append(points[1:], len(text)), starts[doc] + sizes[doc] - length + 1)
-    kept = (points >= starts[doc]) & (end > points)
-    anchor = anchors[np.searchsorted(places, points[kept], side="right") - 1] >> np.uint64(64 - bits)
-    return Segments(points[kept], end[kept], anchor.astype(np.int64), doc[kept])
+    kept = np.flatnonzero((doc >= 0) & (end > points))
+    of = of[kept]
+    anchor = (hashes[of] >> np.uint64(64 - bits)).astype(np.int64)
+    return Segments(points[kept], end[kept], at[of], anchor, doc[kept])
 
 
 class Chunk(NamedTuple):
@@ -154,21 +174,25 @@ def scale(total: int, length: int, part_bytes: int, range_bytes: int) -> Scale:
 
 
 class Anchors(NamedTuple):
-    """Distinct anchors of a chunk, ascending, and whether two of its documents have them; and the range of each."""
+    """Distinct anchors of a chunk, ascending, whether two of its documents have them, the range of each; each segment's."""
 
     value: np.ndarray
     several: np.ndarray
     part: np.ndarray
+    number: np.ndarray
 
 
 def chunk_anchors(chunk: Chunk, found: Segments, by: Scale) -> Anchors:
     order = np.lexsort((chunk.ids[found.doc], found.anchor))
     value, ids = found.anchor[order], chunk.ids[found.doc][order]
-    first = np.flatnonzero(np.diff(value, prepend=-1))
-    last = np.append(first[1:], len(value)) - 1
+    new = np.diff(value, prepend=-1) != 0
+    number = np.empty(len(order), dtype=np.int64)
+    number[order] = np.cumsum(new) - 1
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(value))[: len(first)] - 1
     value = value[first]
     part = (value.astype(np.float64) * (by.parts / 2.0**by.bits)).astype(np.int64)
-    return Anchors(value, ids[first] != ids[last], part) if len(first) else Anchors(value, np.zeros(0, dtype=bool), part)
+    return Anchors(value, ids[first] != ids[last], part, number)
 
 
 def shared_anchors(runs: list[tuple[bytes, bytes]]) -> list[np.ndarray]:
@@ -184,23 +208,72 @@ def shared_anchors(runs: list[tuple[bytes, bytes]]) -> list[np.ndarray]:
     return found
 
 
-class Entries(NamedTuple):
-    """Distinct candidate strings of a chunk in order: where one stands, least id; of all places the string's number."""
+def shared_segments(found: Segments, anchors: Anchors, shared: dict[int, np.ndarray]) -> Segments:
+    """Those whose anchor a second document has."""
+    flags = np.concatenate([np.zeros(0, dtype=bool), *[shared[p] for p in np.unique(anchors.part).tolist()]])
+    of = np.flatnonzero(flags[anchors.number])
+    return Segments(*[x[of] for x in found])
 
+
+class SegmentEntries:
+    """Distinct segments of a chunk in order of their strings: least id of each; of all segments the entry's number.
+
+    The string is what stands from the anchor to the segment's end, then what precedes the anchor, backwards, both
+    filled up with zeros, then both lengths; so strings of one anchor begin alike and are neighbours.
+    """
+
+    def __init__(self, chunk: Chunk, found: Segments, length: int):
+        before = length - gram_of(length)
+        width = length + before + 4
+        made = np.zeros((len(found.start), width), dtype=np.uint8)
+        text = np.concatenate([chunk.text, np.zeros(length, dtype=np.uint8)])
+        right, left = found.end - 1 + length - found.at, found.at - found.start
+        for k in range(length):
+            made[:, k] = np.where(k < right, text[found.at + k], 0)
+        for k in range(before):
+            made[:, length + k] = np.where(k < left, text[found.at - 1 - k], 0)
+        made[:, -4:] = np.stack([right, left], axis=1).astype(">u2").view(np.uint8)
+        order = np.argsort(made.view(f"S{width}").ravel()) if len(made) else np.zeros(0, dtype=np.int64)
+        made = made[order]
+        new = np.ones(len(made), dtype=bool)
+        new[1:] = (made[1:] != made[:-1]).any(axis=1)
+        self.number = np.empty(len(made), dtype=np.int64)
+        self.number[order] = np.cumsum(new) - 1
+        ids = chunk.ids[found.doc]
+        self.least = np.minimum.reduceat(ids[order], np.flatnonzero(new)) if len(made) else ids
+        self.made = made[new]
+
+    def string(self, k: int) -> bytes:
+        return self.made[k].tobytes()
+
+    def strings(self, low: int, high: int) -> np.ndarray:
+        return self.made[low:high]
+
+
+class WindowEntries(NamedTuple):
+    """Distinct single strings of a chunk in order: where one stands, least id; of all places the entry's number."""
+
+    text: np.ndarray
+    length: int
     at: np.ndarray
     least: np.ndarray
     place: np.ndarray
     number: np.ndarray
     doc: np.ndarray
 
+    def string(self, k: int) -> bytes:
+        return self.text[self.at[k] : self.at[k] + self.length].tobytes()
+
+    def strings(self, low: int, high: int) -> np.ndarray:
+        return self.text[self.at[low:high, None] + np.arange(self.length)]
 
-def candidates(chunk: Chunk, found: Segments, anchors: Anchors, shared: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(places, documents) of the strings whose anchor a second document has."""
-    flags = np.concatenate([np.zeros(0, dtype=bool), *[shared[p] for p in np.unique(anchors.part).tolist()]])
-    of = np.flatnonzero(flags[np.searchsorted(anchors.value, found.anchor)]) if len(found.start) else found.start
-    many = found.end[of] - found.start[of]
-    place = np.repeat(found.start[of] - (np.cumsum(many) - many), many) + np.arange(many.sum())
-    return place, np.repeat(found.doc[of], many)
+
+def _every_place(found: Segments) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places, which segment, which string of it) of all strings of the segments."""
+    many = found.end - found.start
+    of = np.repeat(np.arange(len(many)), many)
+    turn = np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
+    return found.start[of] + turn, of, turn
 
 
 def _ranks(key: np.ndarray) -> np.ndarray:
@@ -219,11 +292,12 @@ def _covered(place: np.ndarray, length: int, size: int) -> np.ndarray:
     return np.cumsum(change)[:-1] > 0
 
 
-def sorted_entries(chunk: Chunk, place: np.ndarray, doc: np.ndarray, length: int) -> Entries:
-    """Sort the strings at ``place`` by ranks of ever longer prefixes, as long as their covered places."""
+def sorted_windows(chunk: Chunk, found: Segments, length: int) -> WindowEntries:
+    """Sort all strings of the segments by ranks of ever longer prefixes."""
+    place, of, _ = _every_place(found)
+    doc = found.doc[of]
     if not len(place):
-        none = np.zeros(0, dtype=np.int64)
-        return Entries(none, none, none, none, doc)
+        return WindowEntries(chunk.text, length, place, place, place, place, doc)
     text = np.concatenate([chunk.text, np.zeros(length + 8, dtype=np.uint8)])
     at = np.flatnonzero(_covered(place, length, len(chunk.text)))
     index = np.zeros(len(text), dtype=np.int32)
@@ -247,39 +321,42 @@ def sorted_entries(chunk: Chunk, place: np.ndarray, doc: np.ndarray, length: int
     np.minimum.at(least, rank, ids)
     where = np.empty(distinct, dtype=np.int64)
     where[rank] = place
-    return Entries(where, least, place, rank, doc)
+    return WindowEntries(chunk.text, length, where, least, place, rank, doc)
 
 
-def front_coded(text: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, bytes]:
-    """Of strings in order: how long a prefix each shares with the one before, and all the rests one after another."""
-    strings = text[at[:, None] + np.arange(length)]
-    shared = np.zeros(len(at), dtype=np.int64)
-    if len(at) > 1:
+def front_coded(strings: np.ndarray) -> tuple[np.ndarray, bytes]:
+    """Of distinct strings in order: how long a prefix each shares with the one before, and all the rests one after another."""
+    shared = np.zeros(len(strings), dtype=np.int64)
+    if len(strings) > 1:
         shared[1:] = (strings[1:] != strings[:-1]).argmax(axis=1)
-    return shared, strings[np.arange(length) >= shared[:, None]].tobytes()
+    return shared, strings[np.arange(strings.shape[1]) >= shared[:, None]].tobytes()
 
 
-def run_ranges(chunk: Chunk, entries: Entries, splitters: list[bytes], length: int) -> Iterator[dict]:
-    """The chunk's run, cut at the splitters: a front-coded piece for each range that has entries."""
-    raw = chunk.text.tobytes()
+class _InOrder:
+    """An entries' strings as a sequence, for bisection."""
 
-    class Strings:  # the sorted strings, without making them
-        def __len__(self):
-            return len(entries.at)
+    def __init__(self, entries):
+        self.entries = entries
 
-        def __getitem__(self, k):
-            return raw[entries.at[k] : entries.at[k] + length]
+    def __len__(self):
+        return len(self.entries.least)
 
-    cuts = [0, *[bisect.bisect_left(Strings(), s) for s in splitters], len(entries.at)]
+    def __getitem__(self, k):
+        return self.entries.string(k)
+
+
+def run_ranges(entries, splitters: list[bytes]) -> Iterator[dict]:
+    """The chunk's run, cut at the splitters: a front-coded piece for each range that has entries."""
+    cuts = [0, *[bisect.bisect_left(_InOrder(entries), s) for s in splitters], len(entries.least)]
     for k, (low, high) in enumerate(itertools.pairwise(cuts)):
         if high > low:
-            shared, rest = front_coded(chunk.text, entries.at[low:high], length)
+            shared, rest = front_coded(entries.strings(low, high))
             ids = entries.least[low:high]
             base = int(ids.min())
             yield {
                 "range": k,
                 "shared": pack(shared),
-                "rest": zstandard.ZstdCompressor(level=1).compress(rest),
+                "rest": zstandard.ZstdCompressor(level=3).compress(rest),
                 "base": base,
                 "ids": pack((ids - base).view(np.uint64)),
             }
@@ -341,21 +418,23 @@ class LoserTree:
         self.losers[node] = a
         return b
 
-    def groups(self) -> Iterator[list[tuple[int, int]]]:
-        """(run, place in the run) of equal strings, in ascending order of the strings."""
+    def groups(self) -> Iterator[tuple[bytes, list[tuple[int, int]]]]:
+        """Each string, in ascending order, with (run, place in the run) wherever it stands."""
         known, losers, now = self.known, self.losers, self.now
         length, size = self.length, self.size
         shared, rest, following, upto = self.shared, self.rest, self.next, self.upto
         ends = [len(s) for s in shared] + [0] * (size - len(shared))
         group: list[tuple[int, int]] = []
+        string = b""
         r = self.winner
         while True:
             h = known[r]
-            if h != length and group:
-                yield group
-                group = []
-            if h < 0:
-                return
+            if h != length:
+                if group:
+                    yield string, group
+                if h < 0:
+                    return
+                group, string = [], now[r]
             k = following[r]
             group.append((r, k))
             k += 1
@@ -389,28 +468,105 @@ class LoserTree:
                 node >>= 1
 
 
-def merge_runs(pieces: list[dict], length: int) -> list[np.ndarray]:
+def _opened(pieces: list[dict], length: int) -> tuple[LoserTree, list[list[int]]]:
+    unzip = zstandard.ZstdDecompressor()
+    ids = [(unpack(p["ids"]) + p["base"]).tolist() for p in pieces]
+    return LoserTree([(unpack(p["shared"]).tolist(), unzip.decompress(p["rest"])) for p in pieces], length), ids
+
+
+def merge_windows(pieces: list[dict], length: int) -> list[np.ndarray]:
     """For each piece of a range whether another run has its strings with a smaller id."""
-    ids = [(unpack(p["ids"]).astype(np.int64) + p["base"]) for p in pieces]
-    lists = [i.tolist() for i in ids]
+    tree, ids = _opened(pieces, length)
     beaten = [np.zeros(len(i), dtype=bool) for i in ids]
-    unzip = zstandard.ZstdDecompressor()
-    tree = LoserTree([(unpack(p["shared"]).tolist(), unzip.decompress(p["rest"])) for p in pieces], length)
-    for group in tree.groups():
+    for _, group in tree.groups():
         if len(group) > 1:
-            least = min([lists[r][k] for r, k in group])
+            least = min([ids[r][k] for r, k in group])
             for r, k in group:
-                if lists[r][k] > least:
+                if ids[r][k] > least:
                     beaten[r][k] = True
     return beaten
 
 
-def removed_spans(chunk: Chunk, entries: Entries, beaten: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(starts, ends) of the maximal stretches that go; those of copies are their whole texts."""
-    gone = beaten[entries.number] | (entries.least[entries.number] < chunk.ids[entries.doc])
+class Learned(NamedTuple):
+    """Of a piece's segments: a bit for each of their strings that a smaller id has, and whether it was left open."""
+
+    beaten: np.ndarray
+    open: np.ndarray
+
+
+def _windows(string: bytes, length: int) -> list[bytes]:
+    """The strings of a segment, in order."""
+    before = length - gram_of(length)
+    right, left = int.from_bytes(string[-4:-2], "big"), int.from_bytes(string[-2:], "big")
+    text = string[length : length + before][:left][::-1] + string[:right]
+    return [text[i : i + length] for i in range(len(text) - length + 1)]
+
+
+def merge_segments(pieces: list[dict], length: int, most: int) -> list[Learned]:
+    """For each piece of a range what its segments learn from all others with their anchors."""
+    gram = gram_of(length)
+    tree, ids = _opened(pieces, 2 * length - gram + 4)
+    found = [Learned(np.zeros(len(i), dtype=np.int64), np.zeros(len(i), dtype=bool)) for i in ids]
+
+    def close(same: list[tuple[bytes, list[tuple[int, int]], int]]) -> None:
+        """All strings of one anchor are here."""
+        if len(same) == 1:
+            string, group, least = same[0]
+            every = (1 << len(_windows(string, length))) - 1 if len(group) > 1 else 0
+            for r, k in group:
+                if ids[r][k] > least:
+                    found[r].beaten[k] = every
+            return
+        windows = [_windows(string, length) for string, _, _ in same]
+        first: dict[bytes, int] = {}
+        for strings, (_, _, least) in zip(windows, same, strict=True):
+            for w in strings:
+                if first.get(w, least) >= least:
+                    first[w] = least
+        for strings, (_, group, _) in zip(windows, same, strict=True):
+            earliest = [first[w] for w in strings]
+            for r, k in group:
+                own = ids[r][k]
+                bits = 0
+                for i, e in enumerate(earliest):
+                    if e < own:
+                        bits |= 1 << i
+                found[r].beaten[k] = bits
+
+    same: list[tuple[bytes, list[tuple[int, int]], int]] = []
+    anchor, is_open = None, False
+    for string, group in tree.groups():
+        if string[:gram] != anchor:
+            if same:
+                close(same)
+            same, anchor, is_open = [], string[:gram], False
+        same.append((string, group, min([ids[r][k] for r, k in group])))
+        if len(same) > most or is_open:
+            is_open = True
+            for _, members, _ in same:
+                for r, k in members:
+                    found[r].open[k] = True
+            same = []
+    if same:
+        close(same)
+    return found
+
+
+def removed_spans(
+    chunk: Chunk, found: Segments, entries: SegmentEntries, learned: Learned, windows: WindowEntries, beaten: np.ndarray, length: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ends) of the maximal stretches that go; those of copies are their whole texts.
+
+    A string goes if its entry learned so, or if its own chunk has the entry with a smaller id.
+    """
+    place, of, turn = _every_place(found)
+    entry = entries.number[of]
+    gone = (learned.beaten[entry] >> turn & 1 == 1) | (entries.least[entry] < chunk.ids[found.doc[of]])
+    late = beaten[windows.number] | (windows.least[windows.number] < chunk.ids[windows.doc])
     change = np.zeros(len(chunk.text) + 1, dtype=np.int32)
-    np.add.at(change, entries.place[gone], 1)
-    np.add.at(change, entries.place[gone] + length, -1)
+    for starts in (place[gone], windows.place[late]):
+        np.add.at(change, starts, 1)
+        np.add.at(change, starts + length, -1)
     whole = np.flatnonzero(~chunk.use & (chunk.sizes >= length))
     np.add.at(change, chunk.starts[whole], 1)
     np.add.at(change, chunk.starts[whole] + chunk.sizes[whole], -1)
@@ -474,6 +630,14 @@ def _with_copies(meta: DataFrame) -> DataFrame:
     return meta.drop("digests").join(copies, "chunk", "left")
 
 
+def _listed(value) -> list:
+    return [] if value is None else list(value)
+
+
+def _joined(arrays: list[np.ndarray], kind) -> np.ndarray:
+    return np.concatenate([np.zeros(0, dtype=kind), *arrays])
+
+
 def _rows(batches: Iterator[pd.DataFrame]) -> Iterator[dict]:
     for batch in batches:
         yield from batch.to_dict("records")
@@ -487,6 +651,7 @@ def repeated_spans(
     chunk_bytes: int = CHUNK_BYTES,
     part_bytes: int = PART_BYTES,
     range_bytes: int = RANGE_BYTES,
+    most_strings: int = MOST_STRINGS,
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_bytes, spans (array of start, end: bytes that go, maximal), kept (binary).
 
@@ -530,56 +695,81 @@ def repeated_spans(
     flags = flags.groupBy("chunk").agg(F.collect_list(F.struct("part", "flags")).alias("shared"))
     meta = materialized(meta.join(flags, "chunk", "left"), "suffix-anchors")
 
-    def open_candidates(row: dict):
+    def open_segments(row: dict) -> tuple[Chunk, Segments]:
         chunk = read_chunk(folder, row)
         found = segments(chunk.text, chunk.starts, chunk.sizes, chunk.use, by.length, by.bits)
         own = chunk_anchors(chunk, found, by)
-        shared = {x["part"]: unpack_bits(x["flags"]) for x in (row["shared"] if row["shared"] is not None else [])}
-        return chunk, *candidates(chunk, found, own, shared)
-
-    def sample(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for row in _rows(batches):
-            chunk, place, _ = open_candidates(row)
-            some = np.random.default_rng(0).choice(place, min(len(place), SAMPLE_STRINGS), replace=False)
-            yield pd.DataFrame({"string": [chunk.text[p : p + by.length].tobytes() for p in some.tolist()]})
-
-    some = spread(meta.orderBy("chunk").limit(SAMPLE_CHUNKS))
-    strings = sorted(bytes(r[0]) for r in some.mapInPandas(sample, "string binary").collect())
-    splitters = sorted({strings[len(strings) * k // by.ranges] for k in range(1, by.ranges)}) if strings else []
-    cuts = spark.sparkContext.broadcast(splitters)
-
-    def runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for row in _rows(batches):
-            chunk, place, doc = open_candidates(row)
-            entries = sorted_entries(chunk, place, doc, by.length)
-            for piece in run_ranges(chunk, entries, cuts.value, by.length):
-                yield pd.DataFrame([{"chunk": row["chunk"], **piece}])
-
-    def merge(group: pd.DataFrame) -> pd.DataFrame:
-        beaten = merge_runs(group.to_dict("records"), by.length)
+        return chunk, shared_segments(found, own, {x["part"]: unpack_bits(x["flags"]) for x in _listed(row["shared"])})
+
+    def open_windows(row: dict) -> tuple[Chunk, Segments, SegmentEntries, Learned, WindowEntries]:
+        chunk, found = open_segments(row)
+        entries = SegmentEntries(chunk, found, by.length)
+        pieces = sorted(_listed(row["learned"]), key=lambda x: x["range"])
+        learned = Learned(_joined([unpack(x["beaten"]) for x in pieces], np.int64), _joined([unpack_bits(x["open"]) for x in pieces], bool))
+        rest = Segments(*[x[learned.open[entries.number]] for x in found])
+        return chunk, found, entries, learned, sorted_windows(chunk, rest, by.length)
+
+    def segment_entries(row: dict) -> SegmentEntries:
+        return SegmentEntries(*open_segments(row), by.length)
+
+    def window_entries(row: dict) -> WindowEntries:
+        return open_windows(row)[-1]
+
+    def sent_runs(chunks: DataFrame, entries_of, cut: int) -> DataFrame:
+        """The chunks' runs, cut into ranges by a sample of their strings, of which ``cut`` bytes count."""
+
+        def sample(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for row in _rows(batches):
+                entries = entries_of(row)
+                n = len(entries.least)
+                some = np.random.default_rng(0).choice(n, min(n, SAMPLE_STRINGS), replace=False)
+                yield pd.DataFrame({"string": [entries.string(k)[:cut] for k in some.tolist()]})
+
+        def runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for row in _rows(batches):
+                for piece in run_ranges(entries_of(row), cuts.value):
+                    yield pd.DataFrame([{"chunk": row["chunk"], **piece}])
+
+        some = spread(chunks.orderBy("chunk").limit(SAMPLE_CHUNKS)).mapInPandas(sample, "string binary")
+        strings = sorted(bytes(r[0]) for r in some.collect())
+        splitters = sorted({strings[len(strings) * k // by.ranges] for k in range(1, by.ranges)}) if strings else []
+        cuts = spark.sparkContext.broadcast(splitters)
+        return spread(chunks).mapInPandas(runs, "chunk string, range long, shared binary, rest binary, base long, ids binary")
+
+    def merge_anchored(group: pd.DataFrame) -> pd.DataFrame:
+        found = merge_segments(group.to_dict("records"), by.length, most_strings)
+        answers = {"beaten": [pack(f.beaten) for f in found], "open": [pack_bits(f.open) for f in found], "opened": [int(f.open.sum()) for f in found]}
+        return pd.DataFrame({"chunk": group["chunk"].to_numpy(), "range": group["range"].to_numpy(), **answers})
+
+    def merge_single(group: pd.DataFrame) -> pd.DataFrame:
+        beaten = merge_windows(group.to_dict("records"), by.length)
         return pd.DataFrame({"chunk": group["chunk"].to_numpy(), "range": group["range"].to_numpy(), "beaten": [pack_bits(b) for b in beaten]})
 
-    sent = spread(meta).mapInPandas(runs, "chunk string, range long, shared binary, rest binary, base long, ids binary")
-    learned = sent.groupBy("range").applyInPandas(merge, "chunk string, range long, beaten binary")
-    learned = learned.groupBy("chunk").agg(F.collect_list(F.struct("range", "beaten")).alias("learned"))
-    meta = materialized(meta.join(learned, "chunk", "left"), "suffix-ranges")
+    # strings of one anchor stay in one range
+    sent = sent_runs(meta, segment_entries, gram_of(length))
+    answers = sent.groupBy("range").applyInPandas(merge_anchored, "chunk string, range long, beaten binary, open binary, opened long")
+    answers = answers.groupBy("chunk").agg(F.collect_list(F.struct("range", "beaten", "open")).alias("learned"), F.sum("opened").alias("opened"))
+    meta = materialized(meta.join(answers, "chunk", "left"), "suffix-segments")
+    left = meta.filter("opened > 0")
+    if left.isEmpty():
+        meta = meta.withColumn("last", F.lit(None).cast("array<struct<range: long, beaten: binary>>"))
+    else:
+        answers = sent_runs(left, window_entries, length).groupBy("range").applyInPandas(merge_single, "chunk string, range long, beaten binary")
+        answers = answers.groupBy("chunk").agg(F.collect_list(F.struct("range", "beaten")).alias("last"))
+        meta = materialized(meta.join(answers, "chunk", "left"), "suffix-windows")
 
     def spans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for row in _rows(batches):
-            chunk, place, doc = open_candidates(row)
-            entries = sorted_entries(chunk, place, doc, by.length)
-            pieces = sorted(row["learned"] if row["learned"] is not None else [], key=lambda x: x["range"])
-            beaten = np.concatenate([np.zeros(0, dtype=bool), *[unpack_bits(x["beaten"]) for x in pieces]])
-            low, high = removed_spans(chunk, entries, beaten, by.length)
-            cuts = np.searchsorted(low, np.append(chunk.starts, len(chunk.text)))
+            chunk, found, entries, learned, windows = open_windows(row)
+            beaten = _joined([unpack_bits(x["beaten"]) for x in sorted(_listed(row["last"]), key=lambda x: x["range"])], bool)
+            low, high = removed_spans(chunk, found, entries, learned, windows, beaten, by.length)
+            at = np.searchsorted(low, np.append(chunk.starts, len(chunk.text)))
             begins, ends, kept = [], [], []
             for k, (begin, size) in enumerate(zip(chunk.starts.tolist(), chunk.sizes.tolist(), strict=True)):
-                a, b = low[cuts[k] : cuts[k + 1]], high[cuts[k] : cuts[k + 1]]
-                if not size:
-                    a = b = low[:0]
-                begins.append(a - begin)
-                ends.append(b - begin)
-                stays = zip([begin, *b.tolist()], [*a.tolist(), begin + size], strict=True)
+                gone = slice(at[k], at[k + 1] if size else at[k])
+                begins.append(low[gone] - begin)
+                ends.append(high[gone] - begin)
+                stays = zip([begin, *high[gone].tolist()], [*low[gone].tolist(), begin + size], strict=True)
                 kept.append(b"".join([chunk.text[x:y].tobytes() for x, y in stays]))
             for i in range(0, len(kept), 2000):
                 of = slice(i, i + 2000)

@@ -55,8 +55,8 @@ def test_documents_equal_brute_force(spark):
     docs = spark.createDataFrame([(i, t, 1, "k") for i, t in rows], "doc_id long, text string, chunk int, kept string").repartition(3)
     want = sorted(plain(rows), key=str)
     assert sum(r[2] for r in want) > 10_000 and any(r[3] > 2 for r in want)
-    for sizes in ((4000, 5000, 3000), (sd.CHUNK_BYTES, sd.PART_BYTES, sd.RANGE_BYTES)):
-        found = sd.repeated_spans(docs, chunk_bytes=sizes[0], part_bytes=sizes[1], range_bytes=sizes[2]).collect()
+    for sizes in ((4000, 5000, 3000, 3), (9000, 5000, 9000, 40), (sd.CHUNK_BYTES, sd.PART_BYTES, sd.RANGE_BYTES, 0), (1 << 20, 1 << 20, 1 << 20, 1 << 20)):
+        found = sd.repeated_spans(docs, chunk_bytes=sizes[0], part_bytes=sizes[1], range_bytes=sizes[2], most_strings=sizes[3]).collect()
         got = []
         for r in found:
             gone = sum(s["end"] - s["start"] for s in r["spans"])
@@ -89,12 +89,12 @@ def test_loser_tree_compares_no_known_prefix():
     runs = [sorted({bytes(rng.choice(b"ab") for _ in range(24)) for _ in range(200)}) for _ in range(5)] + [[]]
     coded = []
     for run in runs:
-        buffer = np.frombuffer(b"".join(run), dtype=np.uint8)
-        shared, rest = sd.front_coded(buffer, np.arange(len(run)) * 24, 24)
+        shared, rest = sd.front_coded(np.frombuffer(b"".join(run), dtype=np.uint8).reshape(-1, 24))
         coded.append((shared.tolist(), rest))
     tree = sd.LoserTree(coded, 24)
-    out = [[runs[r][k] for r, k in group] for group in tree.groups()]
-    assert all(len(set(group)) == 1 for group in out)
+    found = list(tree.groups())
+    out = [[runs[r][k] for r, k in group] for _, group in found]
+    assert all({string} == set(group) for (string, _), group in zip(found, out, strict=True))
     assert [g[0] for g in out] == sorted({s for run in runs for s in run})
     assert sum(map(len, out)) == sum(map(len, runs))
     # each byte of a run is looked at a bounded number of times: known lengths only grow while a string waits
@@ -105,8 +105,11 @@ def test_equal_strings_have_equal_anchors():
     rng = np.random.default_rng(1)
     piece = rng.integers(97, 100, 300).astype(np.uint8)
     text = np.concatenate([rng.integers(97, 123, 150_000).astype(np.uint8), piece, rng.integers(97, 123, 777).astype(np.uint8), piece])
-    places, anchors = sd.anchor_changes(text, 50)
+    places, hashes, anchors = sd.anchor_changes(text, 50)
+
     def anchor(p):
-        return anchors[np.searchsorted(places, p, side="right") - 1]
+        of = np.searchsorted(places, p, side="right") - 1
+        return hashes[of], anchors[of] - p
+
     for k in range(250):
         assert anchor(150_000 + k) == anchor(151_077 + k)
