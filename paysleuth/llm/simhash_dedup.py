@@ -71,6 +71,11 @@ def _remainder(word: int) -> int:
     return word
 
 
+def golay_word(number: int) -> int:
+    """The code word with this number in its upper 12 bits."""
+    return number << 11 ^ _remainder(number << 11)
+
+
 @lru_cache(maxsize=1)
 def golay_tables() -> tuple[np.ndarray, np.ndarray]:
     """(remainder of each byte value at each of three places; per remainder the error patterns of weight 4 or less).
@@ -203,9 +208,12 @@ def simhash_dedup(
     # rows that have to go, by (id, hash of the text): those of a component that are not its first
     last = F.col("rank") != F.col("first")
     gone = prints.join(groups, "fp").filter(last).select(F.xxhash64("rank._null", "rank._id").alias("_a"), F.col("rank._hash").alias("_b")).distinct()
-    keyed = docs.withColumns(
-        {"_a": F.xxhash64(F.col(id_col).isNull(), F.col(id_col)), "_b": F.xxhash64(whole_text(text_col)), "_tie": row_fingerprint(docs, docs.columns)}
+    keyed = docs.select(
+        F.struct(*docs.columns).alias("row"),
+        F.xxhash64(F.col(id_col).isNull(), F.col(id_col)).alias("_a"),
+        F.xxhash64(whole_text(text_col)).alias("_b"),
+        row_fingerprint(docs, docs.columns).alias("tie"),
     )
     kept = keyed.join(gone, ["_a", "_b"], "left_anti")
-    again = Window.partitionBy("_a", "_b").orderBy("_tie")
-    return kept.withColumn("_n", F.row_number().over(again)).filter("_n = 1").select(*docs.columns)
+    nth = F.row_number().over(Window.partitionBy("_a", "_b").orderBy("tie"))
+    return kept.withColumn("nth", nth).filter("nth = 1").select("row.*")

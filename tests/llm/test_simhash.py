@@ -162,3 +162,85 @@ def test_near_copies_meet_wherever_they_differ(spark):
         rows += [(2 * g, " ".join(text)), (2 * g + 1, " ".join(other))]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(r["doc_id"] for r in near.near_dedup(docs).collect()) == list(range(0, 160, 2))
+
+
+def jaccard(a, b, k=5):
+    x, y = [{tuple(w[i : i + k]) for i in range(len(w) - k + 1)} for w in (a, b)]
+    return len(x & y) / len(x | y)
+
+
+def edited(rng, text, kind, new):
+    """A variant of the text: words appended, cut off, replaced as a block, repeated after others, or edited one by one."""
+    n = len(text)
+    if kind == "appended":
+        return text + new[: int(n * rng.uniform(0.17, 0.24))]
+    if kind == "cut":
+        return text[: int(n * rng.uniform(0.81, 0.85))]
+    if kind == "replaced":
+        m = int(n * rng.uniform(0.075, 0.1))
+        return text[: n // 3] + new[:m] + text[n // 3 + m :]
+    if kind == "repeated":
+        return text + [w for w in text[: n // 2] for _ in range(1)] + new[: int(n * rng.uniform(0.16, 0.22))]
+    words = list(text)
+    for at in rng.sample(range(n), round(n * rng.uniform(0.017, 0.024))):
+        words[at] = new[at]
+    return words
+
+
+def test_recall_between_080_and_085(spark):
+    """The share of pairs found among those that the exact similarity puts at 0.80 to 0.85, by kind of edit."""
+    rng = random.Random(17)
+    rows, pairs = [], []
+    for kind in ("appended", "cut", "replaced", "repeated", "words"):
+        made = 0
+        while made < 60:
+            text = [f"w{rng.randrange(30_000)}" for _ in range(rng.randint(60, 500))]
+            other = edited(rng, text, kind, [f"n{rng.randrange(30_000)}" for _ in range(500)])
+            if 0.8 <= jaccard(text, other) <= 0.85:
+                pairs.append((kind, 2 * len(pairs)))
+                rows += [(pairs[-1][1], " ".join(text)), (pairs[-1][1] + 1, " ".join(other))]
+                made += 1
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for per_key in (2, 3):
+        kept = {r["doc_id"] for r in near.near_dedup(docs, per_key=per_key).collect()}
+        assert {i for _, i in pairs} <= kept
+        found = [kind for kind, i in pairs if i + 1 not in kept]
+        shares = {kind: found.count(kind) / 60 for kind, _ in pairs}
+        print("recall", per_key, shares)
+        assert min(shares.values()) >= 0.95
+
+
+def test_texts_of_one_form_are_linked_where_they_are_near_only(spark):
+    """Hundreds of texts share two thirds of their words; a few are near copies of one another."""
+    rng = random.Random(5)
+    form = [f"f{i}" for i in range(200)]
+    rows = []
+    for i in range(160):
+        own = [f"o{i}x{j}" for j in range(40)]
+        rows.append((i, form + own))
+    for i in range(0, 40, 4):  # one word of their own differs
+        words = list(rows[i][1])
+        words[-3] = "other"
+        rows.append((1000 + i, words))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for _, w in rows]
+    nodes = range(len(rows))
+    linked = [(a, b) for a in nodes for b in nodes if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8]
+    root = components(nodes, linked)
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string").repartition(3)
+    want = sorted({rows[r][0] for r in root.values()})
+    assert 1 < len(linked) < 100
+    for bucket, rounds in ((16, 8), (4, 2)):
+        got = near.near_dedup(docs, bucket=bucket, rounds=rounds)
+        assert sorted(r["doc_id"] for r in got.collect()) == want
+
+
+def test_columns_of_any_name_come_back(spark):
+    names = ["node", "check", "_check", "_node", "tie", "_tie", "row", "rank", "nth", "_a", "_b", "_n", "_asked", "key", "fp", "text_hash"]
+    rows = [(i, f"a b c d e f g h {i % 3}" + " x" * 50, *range(100 * i, 100 * i + len(names))) for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{n}` long" for n in names))
+    given = {r["doc_id"]: tuple(r) for r in docs.collect()}
+    for stage in (near.near_dedup, sim.simhash_dedup):
+        kept = stage(docs)
+        assert kept.columns == docs.columns
+        found = kept.collect()
+        assert found and all(tuple(r) == given[r["doc_id"]] for r in found)
