@@ -1092,12 +1092,39 @@ def stream_features(spark, sf):
     return _behaviour(streams.run_to_table(sfeat.stream_features(_tx_stream(spark, sf))))
 
 
+def _deliveries(spark, sf, parts, late):
+    """The transactions arrive in ``parts`` by time, as a stream: (stream, its offsets) after each arrival.
+
+    With ``late``, one row in twenty comes with the part after its own.
+    """
+    tx = views.transactions(spark, sf)
+    path, offsets = scratch_path(spark, "arrivals"), scratch_path(spark, "offsets")
+    first, last = tx.agg(F.min(F.unix_micros("timestamp")), F.max(F.unix_micros("timestamp"))).first()
+    width = (last - first) // parts + 1
+    part = F.floor((F.unix_micros("timestamp") - F.lit(first)) / F.lit(width))
+    if late:
+        part = F.least(part + F.when(F.pmod(F.xxhash64("transaction_id"), F.lit(20)) == 0, 1).otherwise(0), F.lit(parts - 1))
+    for k in range(parts):
+        tx.filter(part == k).write.mode("append").parquet(path)
+        yield spark.readStream.schema(tx.schema).parquet(path), offsets
+
+
+@query
+def stream_features_batches(spark, sf):
+    """Five micro-batches with the state of the users in between."""
+    out = scratch_path(spark, "sink")
+    for stream, offsets in _deliveries(spark, sf, 5, late=False):
+        result = streams.run_to_table(sfeat.stream_features(stream), offsets, out)
+    return _behaviour(result)
+
+
 @query
 def stream_features_history(spark, sf):
-    """The same by the stored-history path, which splits busy users."""
-    raw, out = scratch_path(spark, "raw"), scratch_path(spark, "features")
-    streams.run_batches(_tx_stream(spark, sf), history.feature_batches(raw, out))
-    return _behaviour(spark.read.parquet(out))
+    """The same by the stored history, which splits busy users; rows come late by days and change later ones."""
+    store = history.HistoryStore(spark, scratch_path(spark, "history"), buckets=8)
+    for stream, offsets in _deliveries(spark, sf, 5, late=True):
+        streams.run_batches(stream, store.write, offsets)
+    return _behaviour(store.features())
 
 
 @query

@@ -605,7 +605,7 @@ AS message, make_timestamp(us) AS triggered_at FROM cand JOIN walk USING (us)"""
 
 # ---- streams
 
-SQL["stream_features"] = SQL["stream_features_history"] = _FEATURES + _BEHAVIOUR
+SQL["stream_features"] = SQL["stream_features_batches"] = SQL["stream_features_history"] = _FEATURES + _BEHAVIOUR
 SQL["compressed_history"] = _FEATURES + _BEHAVIOUR + f' WHERE "timestamp" >= {MIDDLE}'
 # predictions without a label come out once the seven days have passed
 SQL["stream_label_backfill"] = with_(PH) + """SELECT transaction_id, prediction_label, actual_label FROM ph

@@ -1,86 +1,208 @@
-"""Streaming features over a stored history: for streams in which single users are very busy.
+"""Streaming features over a stored history, bucketed by user and day.
 
-``streaming.features`` keeps a user's last 7 days in the state of one key. Where one user can hold a
-large part of the stream, that state and its task grow with them. Here each micro-batch is stored
-first and its features are computed by the batch operator over the history of the users in it, which
-splits busy users by time. The history that no window reaches any more is kept compressed.
+``streaming.features`` keeps a user's last 7 days in the state of one key. Where one user can hold a large part of the
+stream, that state and its task grow with them, and a row that comes late gets no features. Here the history is a
+table, and each micro-batch computes its features with the batch operator, which splits busy users by time.
 
-Every write goes to a folder of its micro-batch or to a new snapshot, so a replayed batch overwrites itself.
+Below ``path``:
+
+* ``rows/batch=N/bucket=B/event_date=D``: the rows of each micro-batch, bucket = hash of the user.
+* ``files/batch=N``: which (bucket, day) folders the batch has written. A micro-batch picks the folders it needs
+  from this list; no folder is listed and no other file opened.
+* ``profiles/version=N/bucket=B``: everything of a bucket before a time, one weighted row per (user, country, merchant),
+  and ``profile_index/version=N``: bucket, that time (``until``), and the last batch it holds (``upto``).
+* ``features/batch=N``: rows with their features. A later batch supersedes an earlier one for the same transaction.
+
+A micro-batch reads the folders of its buckets since their ``until`` (7 days of windows and ``slack_days``) and their
+profiles; both are bounded by the users and the rows of the last days, however long the stream has run. A row that comes
+late changes what was said about later rows of its user: these are computed again from the first such row on, and
+written anew. If it is so late that a profile has swallowed its windows, that user's rows are read from the start.
+
+Every write goes to a folder of its micro-batch, and a micro-batch reads only what earlier ones wrote, so a replayed
+batch overwrites itself with the same result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from paysleuth.functions.scalars import null_as_text, ts
+from paysleuth.functions.scalars import null_as_text
 from paysleuth.operators.features import WEIGHT, behaviour_features, compress_history
 from paysleuth.plans.ordered import DEFAULT_POLICY, SplitPolicy
-from paysleuth.sources.streams import batch_dir
 from paysleuth.sources.tables import DATE, path_exists, with_date
 
+WINDOW_DAYS = 7  # the longest window
 NEEDED = ["transaction_id", "user_id", "merchant_id", "country", "amount", "timestamp"]
+_DAY = 86_400_000_000  # times are microseconds since 1970 here
+_NEVER = -(1 << 62)
+_FILES = "bucket int, event_date date, n long, oldest long, newest long"
+_INDEX = "bucket int, until long, upto long"
+
+
+def _days_from(us: int) -> Column:
+    """Folders that may hold rows from this time on, in whatever time zone their day was named."""
+    return F.unix_date(DATE) >= F.lit(max(us // _DAY - 1, -(1 << 31)))
+
 
+class HistoryStore:
+    """The stored history of a stream of transactions, and a foreachBatch writer that features it.
 
-def _snapshot(spark: SparkSession, rollup_path: str) -> DataFrame | None:
-    """The newest compressed snapshot; its ``until`` is the time up to which rows are in it."""
-    if not path_exists(spark, rollup_path):
-        return None
-    table = spark.read.parquet(rollup_path)
-    newest = table.agg(F.max("version")).head()[0]
-    return table.filter(F.col("version") == F.lit(newest)).drop("version")
-
-
-def compress_older(spark: SparkSession, raw_path: str, rollup_path: str, until, version: int) -> None:
-    """Write a snapshot of everything before ``until`` (at least 7 days and the lateness behind the stream)."""
-    raw = spark.read.parquet(raw_path).filter((F.col("timestamp") < ts(until)) & (F.col(DATE) <= F.to_date(ts(until))))
-    rows = raw.select(*NEEDED)
-    before = _snapshot(spark, rollup_path)
-    if before is not None:
-        reached = before.agg(F.max("until")).head()[0]
-        rows = rows.filter(F.col("timestamp") >= F.lit(reached))
-        rows = rows.withColumn(WEIGHT, F.lit(1).cast("long")).unionByName(before.select(*NEEDED, WEIGHT))
-    compressed = compress_history(rows).withColumn("until", ts(until))
-    compressed.write.mode("overwrite").parquet(f"{rollup_path.rstrip('/')}/version={version}")
-
-
-def feature_batches(
-    raw_path: str,
-    out_path: str,
-    rollup_path: str | None = None,
-    velocity: str = "per_hour",
-    policy: SplitPolicy = DEFAULT_POLICY,
-):
-    """foreachBatch writer: store the micro-batch, then write its rows with their 12 features."""
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        here = batch_dir(raw_path, batch_id)
-        dated = with_date(batch.withColumn("user_id", null_as_text("user_id")))
-        dated.write.mode("overwrite").partitionBy(DATE).parquet(here)
-        stored = spark.read.parquet(here)
-        if stored.limit(1).count() == 0:
+    buckets: into how many the users are dealt. slack_days: how late a row may come before it needs more than its
+    bucket's last days. roll_days: how often a bucket's profile moves on, in days of event time.
+    """
+
+    def __init__(
+        self,
+        spark: SparkSession,
+        path: str,
+        buckets: int = 64,
+        slack_days: int = 1,
+        roll_days: int = 1,
+        velocity: str = "per_hour",
+        policy: SplitPolicy = DEFAULT_POLICY,
+    ):
+        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
+        self.slack_days, self.roll_days, self.velocity, self.policy = slack_days, roll_days, velocity, policy
+
+    def _at(self, name: str, batch_id: int | None = None, key: str = "batch") -> str:
+        return f"{self.path}/{name}" if batch_id is None else f"{self.path}/{name}/{key}={batch_id}"
+
+    def _list(self, name: str, schema: str, batch_id: int, key: str) -> DataFrame | None:
+        """What batches before this one have noted."""
+        if not path_exists(self.spark, self._at(name)):
+            return None
+        table = self.spark.read.schema(f"{schema}, {key} long").parquet(self._at(name))
+        return table.filter(F.col(key) < batch_id)
+
+    def write(self, batch: DataFrame, batch_id: int) -> None:
+        """Store a micro-batch and write the features of its rows and of the rows they change."""
+        spark = self.spark
+        bucket = F.pmod(F.xxhash64("user_id"), F.lit(self.buckets)).cast("int")
+        dated = with_date(batch.withColumn("user_id", null_as_text("user_id"))).withColumn("bucket", bucket)
+        here = self._at("rows", batch_id)
+        dated.hint("rebalance", "bucket", DATE).write.mode("overwrite").partitionBy("bucket", DATE).parquet(here)
+        fresh = spark.read.schema(dated.schema).parquet(here)
+        time = F.unix_micros("timestamp")
+        noted = fresh.groupBy("bucket", DATE).agg(
+            F.count(F.lit(1)).alias("n"), F.min(time).alias("oldest"), F.max(time).alias("newest")
+        )
+        noted.write.mode("overwrite").parquet(self._at("files", batch_id))
+        own = spark.read.schema(_FILES).parquet(self._at("files", batch_id)).collect()  # at most buckets x days rows
+        if not own:
             return
-        users = stored.select("user_id").distinct()
-        past = spark.read.option("basePath", raw_path).parquet(raw_path).filter(F.col("batch_id") < batch_id)
-        weighted = None
-        snapshot = _snapshot(spark, rollup_path) if rollup_path else None
-        if snapshot is not None:
-            until = snapshot.agg(F.max("until")).head()[0]
-            oldest = stored.agg(F.min("timestamp")).head()[0]
-            if (oldest - until).days < 7:
-                raise ValueError("the compressed history must end 7 days before the rows of the stream")
-            past = past.filter((F.col("timestamp") >= F.lit(until)) & (F.col(DATE) >= F.lit(until.date())))
-            weighted = snapshot.select(*NEEDED, WEIGHT)
+        reach = self._reach(batch_id, {r["bucket"] for r in own})
+        firsts = self._firsts(fresh, reach)
+        deep = {r["bucket"] for r in firsts.filter("deep").select("bucket").distinct().collect()}
+        rows = self._rows(batch_id, dated.schema, reach, own, deep)
+        featured = self._featured(rows, firsts, reach, batch_id, batch.columns)
+        featured.write.mode("overwrite").parquet(self._at("features", batch_id))
+        self._roll(batch_id, dated.schema, reach, own)
+
+    def _reach(self, batch_id: int, buckets: set[int]) -> dict[int, tuple[int, int, int | None]]:
+        """Of each bucket: until when and up to which batch its profile goes, and the profile's version."""
+        reach = dict.fromkeys(buckets, (_NEVER, -1, None))
+        index = self._list("profile_index", _INDEX, batch_id, "version")
+        if index is not None:
+            newest = F.max(F.struct("version", "until", "upto")).alias("_p")
+            for r in index.filter(F.col("bucket").isin(sorted(buckets))).groupBy("bucket").agg(newest).collect():
+                reach[r["bucket"]] = (r["_p"]["until"], r["_p"]["upto"], r["_p"]["version"])
+        return reach
+
+    def _reach_table(self, reach: dict) -> DataFrame:
+        """At most one row per bucket."""
+        rows = [(b, until, upto) for b, (until, upto, _) in reach.items()]
+        return F.broadcast(self.spark.createDataFrame(rows, _INDEX))
+
+    def _firsts(self, fresh: DataFrame, reach: dict) -> DataFrame:
+        """user_id, bucket, first (earliest row of the batch), deep (its windows reach into the profile)."""
+        firsts = fresh.groupBy("user_id", "bucket").agg(F.min(F.unix_micros("timestamp")).alias("first"))
+        wide = F.col("first") - F.lit(WINDOW_DAYS * _DAY)
+        return firsts.join(self._reach_table(reach), "bucket").withColumn("deep", wide < F.col("until"))
+
+    def _paths(self, batch_id: int, wanted) -> list[str]:
+        """Folders of earlier batches; ``wanted`` is a condition on batch, bucket, event_date."""
+        files = self._list("files", _FILES, batch_id, "batch")
+        if files is None:
+            return []
+        picked = files.filter(wanted).select("batch", "bucket", DATE).collect()
+        return [f"{self._at('rows', r['batch'])}/bucket={r['bucket']}/{DATE}={r[DATE]}" for r in picked]
+
+    def _read_rows(self, paths: list[str], schema: T.StructType) -> DataFrame:
+        schema = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
+        if not paths:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).option("basePath", self._at("rows")).parquet(*paths)
+
+    def _rows(self, batch_id: int, schema: T.StructType, reach: dict, own: list, deep: set[int]) -> DataFrame:
+        """The stored rows of the batch's buckets that the profiles do not hold, and all rows of buckets in ``deep``."""
+        wanted = F.lit(False)
+        for bucket, (until, upto, _) in reach.items():
+            recent = _days_from(until) | (F.col("batch") > upto)
+            wanted = wanted | ((F.col("bucket") == bucket) & (F.lit(True) if bucket in deep else recent))
+        paths = self._paths(batch_id, wanted)
+        paths += [f"{self._at('rows', batch_id)}/bucket={r['bucket']}/{DATE}={r[DATE]}" for r in own]
+        return self._read_rows(paths, schema)
+
+    def _profiles(self, reach: dict) -> DataFrame | None:
+        paths = [f"{self._at('profiles', v, 'version')}/bucket={b}" for b, (_, _, v) in reach.items() if v is not None]
+        return self.spark.read.option("basePath", self._at("profiles")).parquet(*paths) if paths else None
+
+    def _featured(self, rows: DataFrame, firsts: DataFrame, reach: dict, batch_id: int, columns: list[str]) -> DataFrame:
         one = F.lit(1).cast("long")
-        known = past.select(*NEEDED).withColumn(WEIGHT, one)
-        known = known if weighted is None else known.unionByName(weighted)
-        known = known.join(users, "user_id", "left_semi").withColumn("_new", F.lit(False))
-        fresh = stored.withColumns({WEIGHT: one, "_new": F.lit(True)})
-        # rows of the batch carry all their columns, history only what the features need
-        together = fresh.unionByName(known, allowMissingColumns=True)
-        featured = behaviour_features(together, velocity, policy=policy)
-        result = featured.filter("_new").drop("_new", WEIGHT, DATE)
-        result.write.mode("overwrite").parquet(batch_dir(out_path, batch_id))
-
-    return write
+        mine = rows.join(firsts.drop("bucket"), "user_id")
+        time = F.unix_micros("timestamp")
+        outside = F.col("deep") | (time >= F.col("until")) | (F.col("batch") > F.col("upto"))
+        mine = mine.filter(outside).withColumns({WEIGHT: one, "_emit": time >= F.col("first")})
+        mine = mine.select(*columns, WEIGHT, "_emit")
+        profiles = self._profiles(reach)
+        if profiles is not None:
+            users = firsts.filter(~F.col("deep")).select("user_id")
+            old = profiles.select(*NEEDED, WEIGHT).join(users, "user_id", "left_semi").withColumn("_emit", F.lit(False))
+            mine = mine.unionByName(old, allowMissingColumns=True)
+        return behaviour_features(mine, self.velocity, policy=self.policy).filter("_emit").drop("_emit", WEIGHT)
+
+    def _roll(self, batch_id: int, schema: T.StructType, reach: dict, own: list) -> None:
+        """Move the profiles of the batch's buckets on, where their newest row is far enough ahead."""
+        due: dict[int, int] = {}
+        for r in own:
+            target = (r["newest"] // _DAY - WINDOW_DAYS - self.slack_days) * _DAY
+            until = reach[r["bucket"]][0]
+            if target >= until + self.roll_days * _DAY:
+                due[r["bucket"]] = max(target, due.get(r["bucket"], target))
+        if not due:
+            return
+        wanted = F.lit(False)
+        for bucket, target in due.items():
+            until, upto, _ = reach[bucket]
+            span = ~_days_from(target + 2 * _DAY) & (_days_from(until) | (F.col("batch") > upto))
+            wanted = wanted | ((F.col("bucket") == bucket) & span)
+        paths = self._paths(batch_id, wanted)
+        paths += [f"{self._at('rows', batch_id)}/bucket={r['bucket']}/{DATE}={r[DATE]}" for r in own if r["bucket"] in due]
+        moved = {b: reach[b] for b in due}
+        targets = self.spark.createDataFrame(list(due.items()), "bucket int, target long")
+        rows = self._read_rows(paths, schema).join(self._reach_table(moved), "bucket").join(F.broadcast(targets), "bucket")
+        time = F.unix_micros("timestamp")
+        left = (time >= F.col("until")) | (F.col("batch") > F.col("upto"))
+        rows = rows.filter((time < F.col("target")) & left)
+        rows = rows.select(*NEEDED, F.lit(1).cast("long").alias(WEIGHT))
+        before = self._profiles(moved)
+        if before is not None:
+            rows = rows.unionByName(before.select(*NEEDED, WEIGHT))
+        bucket = F.pmod(F.xxhash64("user_id"), F.lit(self.buckets)).cast("int")
+        profiles = compress_history(rows).withColumn("bucket", bucket)
+        at = self._at("profiles", batch_id, "version")
+        profiles.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(at)
+        written = {r[0] for r in self.spark.read.schema(profiles.schema).parquet(at).select("bucket").distinct().collect()}
+        # a bucket without rows before its target has no profile yet
+        entries = [(b, t, batch_id) for b, t in due.items() if b in written]
+        index = self.spark.createDataFrame(entries, _INDEX)
+        index.coalesce(1).write.mode("overwrite").parquet(self._at("profile_index", batch_id, "version"))
+
+    def features(self) -> DataFrame:
+        """Every transaction with its features as they are now: of several batches the latest."""
+        table = self.spark.read.parquet(self._at("features"))
+        columns = [c for c in table.columns if c != "batch"]
+        latest = table.groupBy("transaction_id", "timestamp").agg(F.max_by(F.struct(*columns), "batch").alias("_row"))
+        return latest.select("_row.*").drop("bucket", DATE)

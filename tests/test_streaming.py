@@ -139,34 +139,88 @@ def test_enriched_messages_round_trip(make, spark, tmp_path):
     assert set(tables.decode(spark.createDataFrame([("{}",)], "value string")).columns) >= {"_bad", "_tx"}
 
 
+@pytest.fixture
+def days(make):
+    """Forty days of rows; in ``order`` of delivery some come late by hours, days or weeks."""
+    rng = random.Random(21)
+    rows = random_rows(320, 31)
+    for i, r in enumerate(rows):
+        r["at"] = BASE + timedelta(days=40 * i / len(rows), seconds=rng.randrange(3600))
+        r["id"] = f"t{i:04d}"
+    late = {i: rng.choice([0.2, 3, 9, 20]) for i in rng.sample(range(len(rows)), 40)}
+    arrival = sorted(range(len(rows)), key=lambda i: (rows[i]["at"] + timedelta(days=late.get(i, 0)), i))
+    return make(rows), arrival
+
+
+def deliver(df, arrival, path, files):
+    rows = {r["transaction_id"]: r for r in df.collect()}
+    size = -(-len(arrival) // files)
+    for i in range(0, len(arrival), size):
+        some = [rows[f"t{k:04d}"] for k in arrival[i : i + size]]
+        df.sparkSession.createDataFrame(some, df.schema).coalesce(1).write.mode("append").parquet(path)
+
+
 @pytest.mark.parametrize("large", [False, True])
-def test_stored_history_equals_batch(tx, spark, tmp_path, large):
-    """Three micro-batches with a snapshot of the old rows in between, busy users cut or not."""
+def test_stored_history_equals_batch(days, spark, tmp_path, large):
+    """Eight micro-batches with rows late by up to weeks, profiles in between, busy users cut or not."""
     from helpers import TINY
 
-    path, raw, out, rollup = (str(tmp_path / n) for n in ("in", "raw", "out", "rollup"))
+    df, arrival = days
+    path = str(tmp_path / "in")
+    deliver(df, arrival, path, 8)
     policy = {"policy": TINY} if large else {}
-    write = history.feature_batches(raw, out, rollup, **policy)
-    offsets = str(tmp_path / "offsets")
-    for i, _ in enumerate(in_files(tx, path, 3)):
-        streams.run_batches(stream_of(spark, tx, path), write, offsets)
-        if i == 1:
-            # 7 days before the rows still to come
-            oldest = tx.orderBy("timestamp", "transaction_id").collect()[108]["timestamp"]
-            history.compress_older(spark, raw, rollup, oldest - timedelta(days=7), 1)
-    result = spark.read.parquet(out)
-    assert result.count() == 160
-    assert values(result) == values(feat.behaviour_features(tx))
-
-
-def test_compressed_history_grows_and_guards_its_reach(make, spark, tmp_path):
-    raw, rollup = str(tmp_path / "raw"), str(tmp_path / "rollup")
-    df = make([{"minute": 1440 * i, "amount": 10.0 + i} for i in range(6)])
-    history.feature_batches(raw, str(tmp_path / "out"))(df, 0)
-    for version, until in ((1, "2025-01-17 00:00:00"), (2, "2025-01-19 00:00:00")):
-        history.compress_older(spark, raw, rollup, until, version)
-    (row,) = history._snapshot(spark, rollup).collect()
-    assert (row["tx_weight"], row["amount"]) == (4, 46.0)
-    write = history.feature_batches(raw, str(tmp_path / "out"), rollup)
-    with pytest.raises(ValueError, match="7 days"):
-        write(make([{"minute": 1440 * 7}]), 1)
+    store = history.HistoryStore(spark, str(tmp_path / "store"), buckets=4, **policy)
+    streams.run_batches(stream_of(spark, df, path), store.write)
+    batches = spark.read.parquet(f"{store.path}/files").select("batch").distinct().count()
+    versions = spark.read.parquet(f"{store.path}/profile_index").select("version").distinct().count()
+    written = spark.read.parquet(f"{store.path}/features").count()
+    assert batches == 8 and versions > 3 and written > 320  # rows after a late one were written again
+    assert store.features().count() == 320
+    assert values(store.features()) == values(feat.behaviour_features(df))
+
+
+def test_a_replayed_batch_changes_nothing(days, spark, tmp_path):
+    df, arrival = days
+    rows = {r["transaction_id"]: r for r in df.collect()}
+    parts = [[rows[f"t{k:04d}"] for k in arrival[i : i + 80]] for i in range(0, 320, 80)]
+    store = history.HistoryStore(spark, str(tmp_path / "store"), buckets=4)
+    for n, part in enumerate(parts):
+        batch = spark.createDataFrame(part, df.schema)
+        for _ in range(2 if n in (1, 3) else 1):  # as after a failure before the commit
+            store.write(batch, n)
+        store.write(batch.limit(0), 100 + n) if n == 3 else None
+    assert values(store.features()) == values(feat.behaviour_features(df))
+
+
+def test_a_batch_reads_its_buckets_last_days_only(make, spark, tmp_path, monkeypatch):
+    """What a micro-batch opens does not grow with the history: the rows since the profile, of the users' buckets."""
+    df = make([{"user": f"u{i % 6}", "minute": 360 * i, "id": f"t{i:04d}"} for i in range(400)])  # 100 days
+    rows = sorted(df.collect(), key=lambda r: r["timestamp"])
+    store = history.HistoryStore(spark, str(tmp_path / "store"), buckets=8)
+    opened = []
+    read = store._read_rows
+    monkeypatch.setattr(store, "_read_rows", lambda paths, schema: opened.append(paths) or read(paths, schema))
+    sizes = []
+    for n in range(10):
+        opened.clear()
+        store.write(spark.createDataFrame(rows[40 * n : 40 * n + 40], df.schema), n)
+        sizes.append(len(opened[0]))
+    assert max(sizes[3:]) <= 1.3 * min(sizes[3:]) and sizes[-1] < 160
+    one = spark.createDataFrame([rows[-1]], df.schema)
+    opened.clear()
+    store.write(one.withColumn("transaction_id", F.lit("one")), 10)
+    buckets = {p.split("bucket=")[1].split("/")[0] for p in opened[0]}
+    assert len(buckets) == 1
+    assert values(store.features().filter("transaction_id != 'one'")) == values(feat.behaviour_features(df))
+
+
+def test_profiles_grow_and_hold_late_rows(make, spark, tmp_path):
+    store = history.HistoryStore(spark, str(tmp_path / "store"), buckets=1)
+    store.write(make([{"minute": 1440 * i, "amount": 10.0 + i} for i in range(12)]), 0)
+    late = make([{"id": "late", "minute": 700, "amount": 5.0}])
+    store.write(late, 1)  # before the profile's end: its user is read from the start
+    store.write(make([{"id": "next", "minute": 1440 * 14, "amount": 1.0}]), 2)
+    profile = spark.read.parquet(f"{store.path}/profiles/version=2").collect()
+    assert [(r["tx_weight"], r["amount"]) for r in profile] == [(7, 80.0)]  # six days and the late row
+    last = store.features().filter("transaction_id = 'next'").first()
+    assert last["amount_ratio_vs_user_avg"] == pytest.approx(1.0 / ((sum(range(10, 22)) + 5) / 13))
