@@ -74,6 +74,37 @@ def test_nearest_rows_equal_brute_force(spark, block):
         assert sorted(found[key]) == pytest.approx(want)
 
 
+def test_cells_are_one_block_each_or_equal_rows(spark):
+    rng = random.Random(6)
+    points = [(i, [rng.gauss(i % 5, 1), rng.random(), 7.0]) for i in range(3000)] + [(5000 + i, [0.5, 0.5, 7.0]) for i in range(700)]
+    df = spark.createDataFrame(points, "key long, vec array<double>")
+    cells, rounds = imbalance.space_cells(df, 20)
+    by = {}
+    for r in cells.collect():
+        by.setdefault(r["cell"], []).append(tuple(r["vec"]))
+    assert rounds >= 2 and sum(map(len, by.values())) == 3700 and len(by) > 150
+    for vectors in by.values():
+        assert len(vectors) <= 20 or len(set(vectors)) == 1
+
+
+def test_visits_a_row_do_not_grow_with_the_table(spark):
+    """Four times the rows: as many blocks looked at for each."""
+    rng = np.random.default_rng(3)
+    visits = []
+    for n in (2000, 8000):
+        rows = [(i, *map(float, x)) for i, x in enumerate(rng.normal(size=(n, 3)))]
+        df = spark.createDataFrame(rows, "id long, x double, y double, z double")
+        imbalance.nearest_rows(df, "id", ["x", "y", "z"], 5, block_rows=32, visits=visits).count()
+    assert visits[1] / 8000 <= 1.3 * visits[0] / 2000
+
+
+def test_nearest_rows_of_few_and_of_none(spark):
+    df = spark.createDataFrame([("a", 1.0), ("b", 2.0)], "id string, x double")
+    got = imbalance.nearest_rows(df, "id", ["x"], 5).collect()
+    assert sorted((r["key"], r["neighbour"], r["distance"]) for r in got) == [("a", "b", 1.0), ("b", "a", 1.0)]
+    assert imbalance.nearest_rows(df.limit(0), "id", ["x"], 5).count() == 0
+
+
 def test_smote_grows_the_minority(spark):
     rng = random.Random(9)
     rows = [(i, rng.random(), rng.random(), int(i < 12)) for i in range(400)]
