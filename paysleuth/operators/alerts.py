@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,60 +56,90 @@ def fraud_rate_points(
     return rated.filter(F.col("fraud_rate") > threshold)
 
 
-def _next_after(candidates: DataFrame, gap_us: int, policy: SplitPolicy) -> DataFrame:
-    """(at, next): the first candidate more than ``gap_us`` after each candidate."""
-    mirrored = candidates.select(
-        F.explode(
-            F.array(
-                F.struct(
-                    (-F.col("at")).alias("back"),
-                    (-F.col("at")).alias("own"),
-                    F.lit(None).cast("long").alias("q"),
-                ),
-                F.struct(
-                    (-(F.col("at") + F.lit(gap_us))).alias("back"),
-                    F.lit(None).cast("long").alias("own"),
-                    F.col("at").alias("q"),
-                ),
-            )
-        ).alias("p")
-    ).select("p.*")
-    merged = mirrored.groupBy("back").agg(F.max("own").alias("own"), F.max("q").alias("q"))
-    # walking back in time, the last candidate seen is the first one after the point
-    seen = running(merged, [], "back", {"_own": ("max", "own")}, policy=policy)
-    return seen.filter(F.col("q").isNotNull()).select(F.col("q").alias("at"), (-F.col("_own")).alias("next"))
+def _walk(times: np.ndarray, entry: int, gap_us: int) -> np.ndarray:
+    """The times kept from ``entry`` on: the first, the first one after its gap, and so on. times: ascending."""
+    kept = []
+    while (i := int(np.searchsorted(times, entry))) < len(times):
+        kept.append(int(times[i]))
+        entry = kept[-1] + gap_us + 1
+    return np.array(kept, dtype=np.int64)
+
+
+def _exits(times: np.ndarray, gap_us: int) -> tuple[np.ndarray, np.ndarray]:
+    """(entries, exits): who enters after the entry before and up to an entry leaves at its exit.
+
+    Only the first candidates can be entered at: those up to the gap after the first, and one more. All their walks go on
+    together and become one where they meet.
+    """
+    entries = times[: int(np.searchsorted(times, times[0] + gap_us, side="right")) + 1]
+    exits = entries + gap_us + 1
+    now, back = np.unique(exits, return_inverse=True)
+    while True:
+        at = np.searchsorted(times, now)
+        inside = at < len(times)
+        if not inside.any():
+            break
+        further = np.where(inside, times[np.minimum(at, len(times) - 1)] + gap_us + 1, now)
+        now, merged = np.unique(further, return_inverse=True)
+        back = merged[back]
+    exits = now[back]
+    last = np.append(exits[1:] != exits[:-1], True)
+    return entries[last], exits[last]
+
+
+_MOST_EXITS = 200_000  # rows that the driver composes at once
+
+
+def _compose(exits: DataFrame, blocks: list[int], now: int) -> list[tuple[int, int]]:
+    """(block, time of entry) of the blocks one after another, the first entered at ``now``."""
+    steps: dict[int, list] = {}
+    if exits.count() <= _MOST_EXITS:
+        for r in exits.collect():
+            steps.setdefault(r["block"], []).append((r["entry"], r["exit"]))
+        steps = {b: sorted(rows) for b, rows in steps.items()}
+    entered = []
+    for block in blocks:
+        if block in steps:
+            after = next((r for r in steps[block] if r[0] >= now), None)
+        else:  # one look-up a block
+            own = exits.filter((F.col("block") == block) & (F.col("entry") >= now))
+            after = own.agg(F.min(F.struct("entry", "exit"))).first()[0]
+        if after is not None:
+            entered.append((block, now))
+            now = after[1]
+    return entered
 
 
 def suppress_chain(candidates: DataFrame, gap_us: int, policy: SplitPolicy = DEFAULT_POLICY) -> DataFrame:
     """The candidates that remain if each one kept mutes the next ``gap_us`` microseconds.
 
-    Keeping is a walk: first candidate, then the first one after the gap, and so on. It is done by
-    pointer doubling at every size: with the table "2^k steps on" the kept set doubles per round, so
-    100,000 kept alerts take 17 joins on (time, time) pairs and no task or driver walks them one by one.
+    Keeping is a walk: first candidate, then the first one after the gap, and so on. Time is cut into blocks longer than
+    the gap. What a block does depends on when it is entered only: all blocks at once work out for each entry when
+    it would be left, a short scan over the blocks composes these, and all blocks at once walk from their real entry.
     """
-    times = candidates.select("at").distinct()
-    hop = materialized(_next_after(times, gap_us, policy), "hop")
-    edge = hop.agg(F.min("at").alias("a"), F.max("next").alias("b")).collect()[0]
-    # kept alerts are more than the gap apart, which bounds the length of the walk
-    steps = 1 if edge["b"] is None else max(1, (edge["b"] - edge["a"]) // (gap_us + 1) + 1)
-    jumps = [hop.filter(F.col("next").isNotNull())]
-    for turn in range(math.ceil(math.log2(steps + 1)) - 1):
-        last = jumps[-1]
-        twice = last.alias("x").join(last.alias("y"), F.col("x.next") == F.col("y.at"))
-        further = twice.select(F.col("x.at").alias("at"), F.col("y.next").alias("next"))
-        if turn % 2:  # every other table is written, the one between is a join of it
-            further = materialized(further, "hop")
-            if further.isEmpty():
-                break
-        jumps.append(further)
-    kept = materialized(hop.agg(F.min("at").alias("at")).filter("at IS NOT NULL"), "kept")
-    for turn, jump in enumerate(reversed(jumps), 1):
-        # the set holds positions that are multiples of 2^(k+1); one jump of 2^k fills the halves
-        onward = jump.join(kept, "at").select(F.col("next").alias("at"))
-        kept = kept.unionByName(onward)
-        if turn % 3 == 0 or turn == len(jumps):  # the plan doubles each time
-            kept = materialized(kept, "kept")
-    return kept
+    times = candidates.select("at")
+    n, first, last = times.agg(F.count(F.lit(1)), F.min("at"), F.max("at")).first()
+    if not n:
+        return times
+    blocks = min(math.ceil(n / policy.rows_per_segment), policy.max_segments)
+    width = max(gap_us + 1, (last - first) // blocks + 1)
+    times = times.withColumn("block", F.floor((F.col("at") - F.lit(first)) / F.lit(width)).cast("long"))
+
+    def leave(block: pd.DataFrame) -> pd.DataFrame:
+        entries, exits = _exits(np.unique(block["at"].to_numpy()), gap_us)
+        return pd.DataFrame({"block": block["block"].iloc[0], "entry": entries, "exit": exits})
+
+    if last - first < width:  # one block, entered at its start
+        entered = [(0, first)]
+    else:
+        exits = materialized(times.groupBy("block").applyInPandas(leave, "block long, entry long, exit long"), "block-exits")
+        entered = _compose(exits, sorted(r[0] for r in exits.select("block").distinct().collect()), first)
+    entries = candidates.sparkSession.createDataFrame(entered, "block long, entry long")  # one row a block at most
+
+    def walk(block: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"at": _walk(np.unique(block["at"].to_numpy()), int(block["entry"].iloc[0]), gap_us)})
+
+    return times.join(F.broadcast(entries), "block").groupBy("block").applyInPandas(walk, "at long")
 
 
 def fraud_rate_alerts(

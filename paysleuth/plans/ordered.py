@@ -81,17 +81,24 @@ def _plain(value):
 
 
 def with_segments(
-    df: DataFrame, by: list[str], order: str, policy: SplitPolicy = DEFAULT_POLICY, hot: list[tuple] | None = None
+    df: DataFrame,
+    by: list[str],
+    order: str,
+    policy: SplitPolicy = DEFAULT_POLICY,
+    hot: list[tuple] | None = None,
+    total: int | None = None,
 ) -> tuple[DataFrame, bool]:
     """Add the segment number ``_seg``; the flag tells whether any group was cut.
 
+    total: the rows of the table, if the caller has counted them already.
+
     Cut points come from a hash sample of the keys, which only balances the segments: the result
     does not depend on where they lie.
     """
     spark = df.sparkSession
     dtype = df.schema[order].dataType
     if not by:
-        total = df.count()
+        total = df.count() if total is None else total
         parts = min(math.ceil(total / policy.rows_per_segment), policy.max_segments)
         if parts <= 1:
             return df.withColumn(SEG, F.lit(0)), False
@@ -158,15 +165,18 @@ def running(
     aggs: {output: ("sum" | "max" | "min", input column)}.
     hot: the groups to cut as (key..., rows), if the caller has counted them already.
 
-    When a group is cut, the input is written down once: the cut points, the totals and the result
-    all read it.
+    The rows are counted first. Only when a group is cut, the input is written down once: the cut points, the totals
+    and the result all read it.
     """
     spark = df.sparkSession
-    if by and hot is None:
-        hot = large_groups(df, by, policy)
-    if hot or not by:
+    total = None
+    if by:
+        hot = large_groups(df, by, policy) if hot is None else hot
+    else:
+        total = df.count()
+    if hot or (total or 0) > policy.rows_per_segment:
         df = materialized(df, "running")
-    cut, split = with_segments(df, by, order, policy, hot)
+    cut, split = with_segments(df, by, order, policy, hot, total)
     window = Window.partitionBy(*by, SEG).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     local = {out: getattr(F, fn)(col).over(window) for out, (fn, col) in aggs.items()}
     if not split:
@@ -207,24 +217,31 @@ def keys_at_ranks(df: DataFrame, order: list[str], ranks: list[int], policy: Spl
 
     Only the days that hold a wanted position are numbered; the rest of the table is just counted.
     """
-    if df.filter(F.col(order[0]).isNull()).limit(1).count():
-        raise ValueError(f"rows without {order[0]} have no place in the order")
     day = F.floor(F.unix_micros(F.col(order[0])) / F.lit(_DAY_US)).cast("long")
     days = df.groupBy(day.alias("_day")).agg(F.count(F.lit(1)).alias("n")).collect()
+    if any(d["_day"] is None for d in days):
+        raise ValueError(f"rows without {order[0]} have no place in the order")
     found: dict[int, object] = dict.fromkeys(ranks)
-    start, wanted = 0, []
-    for d in sorted(days, key=lambda r: r["_day"]):
-        inside = [r for r in ranks if start <= r < start + d["n"]]
-        if inside:
-            wanted.append((d["_day"], start, inside))
-        start += d["n"]
-    for number, base, inside in wanted:
+    start, wanted = 0, {}  # day -> its first position
+    sizes = {d["_day"]: d["n"] for d in days}
+    for number in sorted(sizes):
+        if any(start <= r < start + sizes[number] for r in ranks):
+            wanted[number] = start
+        start += sizes[number]
+    if not wanted:
+        return [None] * len(ranks)
+    inside, hit = F.lit(False), F.lit(False)
+    for number, base in wanted.items():
         begin, end = (F.timestamp_micros(F.lit(d * _DAY_US)) for d in (number, number + 1))
-        one_day = df.filter((F.col(order[0]) >= begin) & (F.col(order[0]) < end)).select(*order)
-        numbered = global_index(one_day, order, "_pos", policy)
-        hits = numbered.filter(F.col("_pos").isin([r - base for r in inside])).collect()
-        for h in hits:
-            found[h["_pos"] + base] = tuple(h[c] for c in order)
+        inside = inside | ((F.col(order[0]) >= begin) & (F.col(order[0]) < end))
+        places = [r - base for r in ranks if base <= r < base + sizes[number]]
+        hit = hit | ((F.col("_day") == number) & F.col("_pos").isin(places))
+    some = df.filter(inside).select(F.struct(*order).alias("_key"), day.alias("_day"), F.lit(1).cast("long").alias("_unit"))
+    hot = [(d, sizes[d]) for d in wanted if sizes[d] > policy.rows_per_segment]
+    numbered = running(some, ["_day"], "_key", {"_pos": ("sum", "_unit")}, policy=policy, hot=hot)
+    numbered = numbered.withColumn("_pos", F.coalesce(F.col("_pos"), F.lit(0).cast("long")))
+    for h in numbered.filter(hit).collect():
+        found[h["_pos"] + wanted[h["_day"]]] = tuple(h["_key"])
     return [found[r] for r in ranks]
 
 

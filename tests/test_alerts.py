@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 import pytest
 from helpers import TINY
 
@@ -27,6 +29,27 @@ def test_suppression_is_the_greedy_walk(spark, policy):
     assert sorted(r["at"] for r in kept.collect()) == walk(times, 15 * MINUTE)
 
 
+@pytest.mark.parametrize("step", [1, 7, 400])
+def test_exits_are_those_of_walks(step):
+    rng = np.random.default_rng(step)
+    for gap in (3, 50, 1000):
+        times = np.unique(rng.integers(0, 300 * step, 300))
+        entries, exits = alerts._exits(times, gap)
+        for e in range(int(times[0]) - 2, int(times[0]) + gap + 1):
+            kept = alerts._walk(times, e, gap)
+            k = int(np.searchsorted(entries, e))
+            assert (exits[k] if k < len(entries) else None) == (kept[-1] + gap + 1 if len(kept) else None)
+
+
+def test_many_exits_are_looked_up_one_by_one(spark, monkeypatch):
+    monkeypatch.setattr(alerts, "_MOST_EXITS", 0)
+    rng = random.Random(8)
+    times = sorted({rng.randrange(400 * MINUTE) for _ in range(60)})
+    df = spark.createDataFrame([(t,) for t in times], "at long")
+    kept = alerts.suppress_chain(df, 15 * MINUTE, TINY)
+    assert sorted(r["at"] for r in kept.collect()) == walk(times, 15 * MINUTE)
+
+
 def test_suppression_of_few(spark):
     for times in ([], [5], [5, 6]):
         df = spark.createDataFrame([(t,) for t in times], "at long")
