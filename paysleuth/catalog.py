@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from paysleuth.functions import scalars
 from paysleuth.operators import aggregates as agg
-from paysleuth.operators import alerts, deploy, detect, drift, imbalance, learn, maintain, metrics, monitor, quality
+from paysleuth.operators import alerts, continuous, deploy, detect, drift, imbalance, learn, maintain, metrics, monitor, quality
 from paysleuth.operators import encoders as enc
 from paysleuth.operators import features as feat
 from paysleuth.operators import selection as sel
@@ -64,7 +64,7 @@ def scan_recent(spark, sf):
 
 @query
 def user_history_7d(spark, sf):
-    return tables.user_history_7d(views.transactions(spark, sf), "user_0007", AS_OF)
+    return tables.user_history_7d(views.transactions(spark, sf, user_id="user_0007"), "user_0007", AS_OF)
 
 
 def _messages_folder(spark, sf):
@@ -497,10 +497,24 @@ def fraud_volume_hourly(spark, sf):
     return agg.fraud_volume_hourly(views.transactions(spark, sf))
 
 
+_AGGREGATES = {}
+
+
+def _continuous(spark, sf, name, rollup):
+    """The stored aggregate of this folder's transactions, refreshed up to a day before ``AS_OF`` when first asked for."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _AGGREGATES:
+        stored = continuous.ContinuousAggregate(spark, scratch_path(spark, name), rollup)
+        stored.refresh(views.transactions(spark, sf), "2024-01-30 00:05:00")
+        _AGGREGATES[key] = stored
+    return _AGGREGATES[key]
+
+
 @query
 def fraud_volume_24h(spark, sf):
-    tx = tables.time_range(views.transactions(spark, sf), "2024-01-30 00:00:00")
-    return agg.fraud_volume_24h(agg.fraud_volume_hourly(tx), AS_OF)
+    """Stored hours and the raw rows of the last day."""
+    hourly = _continuous(spark, sf, "fraud-hourly", continuous.FRAUD_HOURLY)
+    return agg.fraud_volume_24h(hourly.read(views.transactions(spark, sf), since="2024-01-30 00:00:00"), AS_OF)
 
 
 @query
@@ -510,8 +524,22 @@ def merchant_amount_daily(spark, sf):
 
 @query
 def merchant_daily_top50(spark, sf):
-    tx = tables.time_range(views.transactions(spark, sf), "2024-01-24 00:00:00")
-    return agg.merchant_daily_top50(agg.merchant_amount_daily(tx), AS_OF)
+    """Stored days and the raw rows of the last one."""
+    daily = _continuous(spark, sf, "merchant-daily", continuous.MERCHANT_DAILY)
+    return agg.merchant_daily_top50(daily.read(views.transactions(spark, sf), since="2024-01-24 00:00:00"), AS_OF)
+
+
+@query
+def continuous_hourly(spark, sf):
+    """A stored aggregate through three refreshes, a late row's addition and a second look at the last days."""
+    tx = views.transactions(spark, sf)
+    late = (F.pmod(F.xxhash64("transaction_id"), F.lit(50)) == 0) & (F.col("timestamp") < F.lit("2024-01-05").cast("timestamp"))
+    hourly = continuous.ContinuousAggregate(spark, scratch_path(spark, "hourly"), continuous.FRAUD_HOURLY)
+    hourly.refresh(tx.filter(~late), "2024-01-10 07:30:00")
+    hourly.add(tx.filter(late))
+    hourly.refresh(tx.filter(~late), "2024-01-20 00:00:00")
+    hourly.refresh(tx, "2024-01-25 12:00:00", days=7)
+    return hourly.read(tx)
 
 
 @query

@@ -303,7 +303,7 @@ SELECT {_K}, string_agg(DISTINCT p, ',' ORDER BY p) AS patterns, count(*) AS pat
 # ---- aggregations
 
 _HV = "bucket_hour, total_transactions, total_fraud_transactions, round(fraud_rate, 6) AS fraud_rate FROM hv"
-SQL["fraud_volume_hourly"] = with_(TX, _HOURLY) + f"SELECT {_HV}"
+SQL["fraud_volume_hourly"] = SQL["continuous_hourly"] = with_(TX, _HOURLY) + f"SELECT {_HV}"
 SQL["fraud_volume_24h"] = with_(TX, _HOURLY) + f"SELECT {_HV} WHERE bucket_hour >= {NOW} - INTERVAL 24 HOUR"
 _DAILY = """dd AS (SELECT date_trunc('day', "timestamp")::TIMESTAMP AS bucket_day, merchant_id,
   round(CAST(sum(c) AS BIGINT) / CAST(100 AS DOUBLE), 6) AS total_amount, count(*) AS transaction_count FROM tx GROUP BY 1, 2)"""

@@ -33,8 +33,19 @@ def _number_in_props() -> Column:
     return F.get_json_object("props", "$.k").cast("int")
 
 
-def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return transactions_of(table(spark, sf_dir, "events"))
+def stored_user(user_id: str) -> int | None:
+    """The key of the stored table that the view shows as this user, if there is one."""
+    digits = user_id.removeprefix("user_")
+    number = int(digits) if digits.isdecimal() else None
+    return number if number is not None and user_id == f"user_{number:04d}" else None
+
+
+def transactions(spark: SparkSession, sf_dir: str, user_id: str | None = None) -> DataFrame:
+    """All transactions, or one user's: that condition is put to the stored key, where the file scan can use it."""
+    source = table(spark, sf_dir, "events")
+    if user_id is not None:
+        source = source.filter(F.col("user_id") == F.lit(stored_user(user_id)))
+    return transactions_of(source)
 
 
 def transactions_of(source: DataFrame) -> DataFrame:
