@@ -34,6 +34,13 @@ def others(df: DataFrame, *used: str) -> list[str]:
     return [c for c in df.columns if c not in used]
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name with as many underscores in front as it takes to be no column of ``df``."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name = f"_{name}"
+    return name
+
+
 def open_folder(uri: str) -> tuple[pafs.FileSystem, str]:
     """File system and path of a shared folder, on whichever store ``spark.checkpoint.dir`` names."""
     if "://" not in uri and not uri.startswith("file:"):

@@ -26,7 +26,7 @@ from paysleuth.session import materialized
 
 BLOCKS, BLOCK_BITS, BLOCK_RADIUS = 4, 16, 4
 RADIUS = BLOCKS * (BLOCK_RADIUS + 1) - 1
-BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 64 << 20
 
 
 def with_shingles(df: DataFrame, text: Column, k: int) -> DataFrame:
@@ -76,9 +76,13 @@ def _blocks(fp: Column) -> Column:
     )
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """Broadcast a materialised table if it has at most BROADCAST_ROWS rows; else Spark chooses the join."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+def _small(df: DataFrame, cells: Column) -> DataFrame:
+    """Broadcast a materialised table if its rows take at most BROADCAST_BYTES; else Spark chooses the join.
+
+    cells: the 8-byte values of a row.
+    """
+    size = df.agg(F.coalesce(F.sum(8 * cells + 32), F.lit(0))).first()[0]
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
 def benchmark_shingles(benchmark: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
@@ -158,10 +162,10 @@ def find_leaks(
     owners = near.select("doc_id", "text_hash").distinct()
     bodies = materialized(near.select("text_hash", "shingles").dropDuplicates(["text_hash"]), "anchored-bodies")
     hits = bodies.select("text_hash", F.explode(F.filter(F.array_distinct("shingles"), marked)).alias("h"))
-    asked = hits.join(_small(anchors), "h").select("text_hash", "item", "size").distinct()
+    asked = hits.join(_small(anchors, F.lit(3)), "h").select("text_hash", "item", "size").distinct()
     # an upper bound of what text and item have in common, before places are looked at
     wanted = distinct.select("item", "size", F.col("shingles").alias("_item"))
-    pairs = asked.join(_small(wanted), ["item", "size"]).join(bodies, "text_hash")
+    pairs = asked.join(_small(wanted, F.col("size") + 2), ["item", "size"]).join(bodies, "text_hash")
     length = F.least(F.size("shingles"), F.col("size"))
     fewest = F.ceil((length + F.col("size")) * (similarity / (1 + similarity)) - 1e-9).cast("int")
     shared = F.size(F.array_intersect("shingles", "_item")) + F.col("size") - F.size(F.array_distinct("_item"))
@@ -229,9 +233,13 @@ def find_leaks(
 def decontaminate(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters
 ) -> DataFrame:
-    """The rows of ``docs`` that leak no item, with all their columns."""
+    """The rows of ``docs`` that leak no item, with all their columns, whatever their names.
+
+    Null and empty texts leak nothing; repeated rows and rows of one id and text share their fate, a null id is a value
+    like any other. An empty table of either kind changes nothing.
+    """
     leaks = materialized(find_leaks(docs, benchmark, id_col=id_col, text_col=text_col, **parameters), "leaks")
     gone = leaks.select(F.col("text_hash").alias("_hash"), F.col("doc_id").alias("_id")).distinct()
-    keyed = docs.withColumn("_hash", F.xxhash64(whole_text(text_col)))
-    same = (keyed["_hash"] == gone["_hash"]) & keyed[id_col].eqNullSafe(gone["_id"])
-    return keyed.join(gone, same, "left_anti").select(*docs.columns)
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64(whole_text(text_col)).alias("hash"), F.col(id_col).alias("id"))
+    same = (keyed["hash"] == gone["_hash"]) & keyed["id"].eqNullSafe(gone["_id"])
+    return keyed.join(gone, same, "left_anti").select("row.*")

@@ -17,14 +17,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paysleuth.plans.sizing import as_lookup
 from paysleuth.session import materialized
 
 BUCKETS = 1 << 16
 TEMPER = 0.1  # neighbouring trigrams repeat each other's evidence
 STRENGTH = 5.0  # rows that a prior of the level above counts for
-# Country suffixes that speak for a language, and how much more often than for others.
-SUFFIXES = {"de": "de", "at": "de", "fr": "fr", "es": "es", "mx": "es", "ar": "es", "uk": "en", "us": "en", "it": "it"}
-SUFFIX_ODDS = 20.0
+LOOKUP_VALUES = 2_000_000  # numbers of a table of sums that is sent to all tasks at most
 
 _DROP = re.compile(r"<!--.*?-->|<(script|style|nav|head|template)\b.*?</\1\s*>", re.S | re.I)
 _TAG = re.compile(r"<[^>]*>")
@@ -104,8 +103,8 @@ def page_rows(spark: SparkSession, pages: DataFrame, table: np.ndarray, id_col="
         F.lit("page").alias("kind"),
         F.col(id_col).cast("long").alias("id"),
         host.alias("host"),
-        F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1).alias("domain"),
-        F.regexp_extract(host, r"([^.]+)$", 1).alias("suffix"),
+        F.nullif(F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1), F.lit("")).alias("domain"),
+        F.nullif(F.regexp_extract(host, r"\.([^.]+)$", 1), F.lit("")).alias("suffix"),
         F.nullif(declared, F.lit("")).alias("declared"),
         _evidence(spark, table, True)(F.coalesce(F.col(html_col), F.lit(""))).alias("evidence"),
     )
@@ -118,8 +117,8 @@ def document_rows(spark: SparkSession, docs: DataFrame, table: np.ndarray, id_co
         F.lit("document").alias("kind"),
         F.col(id_col).cast("long").alias("id"),
         F.coalesce(F.col(source_col), F.lit("")).alias("host"),
-        F.lit("").alias("domain"),
-        F.lit("").alias("suffix"),
+        none.alias("domain"),
+        none.alias("suffix"),
         none.alias("declared"),
         _evidence(spark, table, False)(F.coalesce(F.col(text_col), F.lit(""))).alias("evidence"),
     )
@@ -151,38 +150,42 @@ def fuse(rows: DataFrame, languages: list[str]) -> DataFrame:
     total = float(every["_n"] or 0) + n
     base = [(float(every[f"_s{i}"] or 0.0) + 1.0) / total for i in range(n)]
 
-    def level(key: str, name: str) -> DataFrame:
-        table = soft.groupBy("kind", key).agg(F.count(F.lit(1)).alias(f"_n_{name}"), F.array(*_sums(n)).alias(f"_sum_{name}"))
-        return table.withColumnsRenamed({key: f"_key_{name}", "kind": f"_kind_{name}"})
+    def looked_up(table: DataFrame) -> DataFrame:
+        """Few hosts, many rows of each: the sums go to the rows, unless they are too many for that."""
+        return as_lookup(table, max(1000, LOOKUP_VALUES // (n + 3)))
 
     out = soft
     for key, name in (("host", "h"), ("domain", "d")):
-        table = level(key, name)
+        known = soft.filter(F.col(key).isNotNull())
+        table = known.groupBy("kind", key).agg(F.count(F.lit(1)).alias(f"_n_{name}"), F.array(*_sums(n)).alias(f"_sum_{name}"))
+        table = table.withColumnsRenamed({key: f"_key_{name}", "kind": f"_kind_{name}"})
         same = (F.col(key) == F.col(f"_key_{name}")) & (F.col("kind") == F.col(f"_kind_{name}"))
-        out = out.join(table, same).drop(f"_kind_{name}", f"_key_{name}")
-    declared = soft.filter(F.col("declared").isNotNull()).groupBy("declared").agg(F.array(*_sums(n)).alias("_sum_l"))
-    out = out.join(declared, "declared", "left")
-    given = soft.filter(F.col("declared").isNotNull()).agg(*_sums(n)).first()
-    kinds = soft.filter(F.col("declared").isNotNull()).agg(F.count_distinct("declared")).first()[0]
+        out = out.join(looked_up(table), same, "left").drop(f"_kind_{name}", f"_key_{name}")
+    whole, values = {}, {}
+    for key in ("declared", "suffix"):
+        given = soft.filter(F.col(key).isNotNull())
+        table = given.groupBy(key).agg(F.array(*_sums(n)).alias(f"_sum_{key}"))
+        out = out.join(looked_up(table), key, "left")
+        *sums, values[key] = given.agg(*_sums(n), F.count_distinct(key)).first()
+        whole[key] = [float(x or 0.0) for x in sums]
 
     def prior(i: int) -> Column:
         own = F.col("soft")[i]
-        domain = (F.col("_sum_d")[i] - own + F.lit(STRENGTH * base[i])) / (F.col("_n_d") - 1 + STRENGTH)
-        return (F.col("_sum_h")[i] - own + STRENGTH * domain) / (F.col("_n_h") - 1 + STRENGTH)
+        smoothed = (F.col("_sum_d")[i] - own + F.lit(STRENGTH * base[i])) / (F.col("_n_d") - 1 + STRENGTH)
+        domain = F.coalesce(smoothed, F.lit(base[i]))
+        return F.coalesce((F.col("_sum_h")[i] - own + STRENGTH * domain) / (F.col("_n_h") - 1 + STRENGTH), domain)
 
-    def stated(i: int) -> Column:
-        """P(declared | language), the row itself left out."""
-        whole = float(given[f"_s{i}"] or 0.0)
-        own = F.col("soft")[i]
-        p = (F.col("_sum_l")[i] - own + F.lit(0.5)) / (F.lit(whole) - own + F.lit(0.5 * (kinds + 1)))
-        return F.coalesce(F.log(F.greatest(p, F.lit(1e-6))), F.lit(0.0))
+    def stated(key: str, i: int) -> Column:
+        """log P(value of the key | language) from the sums of all rows but this one; nothing where there is no value.
 
-    def address(i: int) -> Column:
-        known = [s for s, lang in SUFFIXES.items() if lang == languages[i]]
-        return F.when(F.col("suffix").isin(known), F.lit(float(np.log(SUFFIX_ODDS)))).otherwise(F.lit(0.0)) if known else F.lit(0.0)
+        Before any row is seen, a value that is the language's own code (de, fr) counts as ``STRENGTH`` rows.
+        """
+        own, before = F.col("soft")[i], F.when(F.col(key) == F.lit(languages[i]), STRENGTH).otherwise(0.0) + 0.5
+        p = (F.col(f"_sum_{key}")[i] - own + before) / (F.lit(whole[key][i] + STRENGTH + 0.5 * (values[key] + 1)) - own)
+        return F.coalesce(F.log(F.greatest(p, F.lit(1e-6))), F.lit(0.0))
 
     scores = F.array(
-        *[F.col("_scores")[i] + F.log(F.greatest(prior(i), F.lit(1e-6))) + stated(i) + address(i) for i in range(n)]
+        *[F.col("_scores")[i] + F.log(F.greatest(prior(i), F.lit(1e-6))) + stated("declared", i) + stated("suffix", i) for i in range(n)]
     )
     names = F.array(*[F.lit(x) for x in languages])
 

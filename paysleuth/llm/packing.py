@@ -18,14 +18,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paysleuth.llm.common import whole_text
-from paysleuth.llm.tokens import broadcast_spec, ids_with_end
+from paysleuth.llm.tokens import MAX_WORDS, broadcast_spec, ids_with_end
 from paysleuth.session import materialized
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
 def pieces_of(
-    docs: DataFrame, tokenizer: str, window: int, end_id: int, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame,
+    tokenizer: str,
+    window: int,
+    end_id: int,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    max_words: int = MAX_WORDS,
 ) -> DataFrame:
     """The pieces of all texts (null: empty): whole documents, long ones cut at multiples of the window."""
     spec = broadcast_spec(docs.sparkSession, tokenizer)
@@ -33,7 +39,7 @@ def pieces_of(
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = []
-            ids = ids_with_end(spec.value, batch["_text"], end_id)
+            ids = ids_with_end(spec.value, batch["_text"], end_id, max_words)
             for key, raw in zip(batch["doc_id"], ids, strict=True):
                 total = len(raw) // 4
                 for start in range(0, total, window):
@@ -201,14 +207,16 @@ def pack(
     cells: int = 2000,
     id_col: str = "doc_id",
     text_col: str = "text",
+    max_words: int = MAX_WORDS,
 ) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A null text is an empty one and still holds its end id. Repeated rows and null ids are packed like any other; an
     empty table gives an empty result. Sequences are meant to be padded to the window. Other columns play no part.
+    max_words: words whose ids a worker keeps at most; it changes speed and memory only.
     """
     spark = docs.sparkSession
-    pieces = materialized(pieces_of(docs, tokenizer, window, end_id, id_col, text_col), "pieces")
+    pieces = materialized(pieces_of(docs, tokenizer, window, end_id, id_col, text_col, max_words), "pieces")
     steps = -(-window // quantum)
     bins = pieces.withColumn("_bin", F.ceil(F.col("length") / quantum).cast("int"))
     histogram = np.zeros(steps + 1, dtype=np.int64)

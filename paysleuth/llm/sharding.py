@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paysleuth.llm.common import whole_text
+from paysleuth.llm.common import free_name, whole_text
 from paysleuth.session import materialized
 
 _LEAST = -(2**63)
@@ -156,8 +156,9 @@ def shard_rows(
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 16, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Write the records as Parquet folders ``shard=N``, in slot order inside each file.
+    """Write the records as Parquet folders ``shard=N``, in slot order inside each file, with a column ``slot``.
 
+    If the records have columns of these names already, ours get underscores in front. Null texts are empty, null ids a value like any other; an empty table gives an empty folder.
     Rows meet their place by id, size and checksum; rows that agree in these keep their own columns.
     """
     text = whole_text(text_col)
@@ -169,7 +170,8 @@ def write_shards(docs: DataFrame, path: str, shards: int = 16, id_col: str = "do
     places = shard_rows(docs, shards, id_col, text_col)
     places = places.groupBy(F.col("doc_id").alias("_id"), F.col("size").alias("_bytes"), F.col("text_crc32").alias("_sum"))
     places = places.agg(F.min(F.struct("shard", "slot")).alias("_at"))
-    named = docs.withColumns(keys)
+    named = docs.select(F.struct(*docs.columns).alias("row"), *[c.alias(k) for k, c in keys.items()])
     on = [named[k].eqNullSafe(places[k]) for k in keys]
-    placed = named.join(places, on).select(*docs.columns, F.col("_at.shard").alias("shard"), F.col("_at.slot").alias("slot"))
-    placed.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    shard, slot = (free_name(docs, name) for name in ("shard", "slot"))
+    placed = named.join(places, on).select("row.*", F.col("_at.shard").alias(shard), F.col("_at.slot").alias(slot))
+    placed.sortWithinPartitions(shard, slot).write.partitionBy(shard).parquet(path)

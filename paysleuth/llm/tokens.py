@@ -39,13 +39,13 @@ def broadcast_spec(spark: SparkSession, path: str):
 
 
 @lru_cache(maxsize=2)
-def _encoder(_key: str, spec: str) -> Encoder:
-    return Encoder(spec)
+def _encoder(_key: str, spec: str, max_words: int) -> Encoder:
+    return Encoder(spec, max_words)
 
 
-def encoder(spec: str) -> Encoder:
+def encoder(spec: str, max_words: int = MAX_WORDS) -> Encoder:
     """The worker's encoder for a tokenizer; it lives as long as the worker, so later tasks find the words known."""
-    return _encoder(hashlib.sha256(spec.encode()).hexdigest(), spec)
+    return _encoder(hashlib.sha256(spec.encode()).hexdigest(), spec, max_words)
 
 
 class Encoder:
@@ -134,8 +134,8 @@ class Encoder:
         return b"".join(map(self.words.__getitem__, words))
 
 
-def ids_with_end(spec: str, texts, end_id: int):
+def ids_with_end(spec: str, texts, end_id: int, max_words: int = MAX_WORDS):
     """Ids of each text with the end id, as little-endian unsigned 32-bit integers."""
     end = np.asarray([end_id], dtype="<u4").tobytes()
-    known = encoder(spec)
+    known = encoder(spec, max_words)
     return itertools.chain.from_iterable(([known.encode(t or "") + end]) for t in texts)

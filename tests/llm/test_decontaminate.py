@@ -2,6 +2,7 @@ import random
 import re
 from collections import Counter
 
+from paysleuth.llm import decontaminate as module
 from paysleuth.llm.decontaminate import decontaminate, find_leaks
 
 
@@ -86,3 +87,27 @@ def test_nothing_to_find(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert find_leaks(docs, none).count() == 0 and decontaminate(docs, none).count() == 1
     assert find_leaks(docs.limit(0), none).count() == 0
+
+
+def test_columns_named_like_helpers_come_back(spark):
+    names = ["_hash", "_id", "hash", "id", "row", "text_hash", "shingles", "h", "item", "size"]
+    item = " ".join(f"leak{i}" for i in range(30))
+    rows = [(i, f"clean text number {i} " * 5 if i else item, *range(100 * i, 100 * i + len(names))) for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{n}` long" for n in names))
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    kept = decontaminate(docs, bench)
+    assert kept.columns == docs.columns and sorted(map(tuple, kept.collect())) == rows[1:]
+
+
+def test_a_pair_at_the_threshold_is_within_the_radius():
+    """Differing bits of fingerprints at a weighted similarity of 0.8: beyond the radius in fewer than one of 1,000."""
+    import numpy as np
+
+    rng, far, turns = np.random.default_rng(4), 0, 4000
+    for _ in range(turns):
+        n = int(rng.integers(20, 200))
+        new = n // 9  # similarity (n - new) / (n + new) = 0.8
+        bits = rng.integers(0, 2, (n + new, 64))
+        a, b = bits[:n].sum(axis=0) * 2 > n, bits[new:].sum(axis=0) * 2 > n
+        far += int((a != b).sum() > module.RADIUS)
+    assert far / turns < 0.001

@@ -28,3 +28,12 @@ def test_written_shards_hold_the_records(spark, awkward, tmp_path):
     write_shards(awkward.dropDuplicates(), str(tmp_path / "s"), shards=3)
     back = spark.read.parquet(str(tmp_path / "s"))
     assert back.count() == awkward.dropDuplicates().count() and {"shard", "slot", "kept"} <= set(back.columns)
+
+
+def test_columns_named_like_ours_come_back(spark, tmp_path):
+    rows = [(i, f"text {i}", 100 + i, 200 + i, 300 + i) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, shard long, slot long, _at long")
+    write_shards(docs, str(tmp_path / "s"), shards=3)
+    back = spark.read.parquet(str(tmp_path / "s"))
+    assert sorted(tuple(r) for r in back.select(*docs.columns).collect()) == rows
+    assert back.select("_shard").distinct().count() == 3 and "_slot" in back.columns
