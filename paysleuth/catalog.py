@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from paysleuth.functions import scalars
 from paysleuth.operators import aggregates as agg
-from paysleuth.operators import alerts, continuous, deploy, detect, drift, imbalance, learn, maintain, metrics, monitor, quality
+from paysleuth.operators import alerts, continuous, deploy, detect, drift, imbalance, learn, maintain, metrics, monitor, quality, search, training
 from paysleuth.operators import encoders as enc
 from paysleuth.operators import features as feat
 from paysleuth.operators import selection as sel
@@ -349,8 +349,9 @@ def txn_vs_pred_rate(spark, sf):
 
 @query
 def smote_neighbors(spark, sf):
+    """The five nearest frauds of each: how far they are (which of two at the same distance comes first is open)."""
     fraud = _labelled_matrix(spark, sf).filter("label = 1")
-    return imbalance.nearest_rows(fraud, "transaction_id", MODEL_INPUT, 5)
+    return imbalance.nearest_rows(fraud, "transaction_id", MODEL_INPUT, 5).select("key", "rank", "distance")
 
 
 # ---- per-user features
@@ -796,7 +797,7 @@ def select_features(spark, sf):
 
 @query
 def feature_importance(spark, sf):
-    return learn.feature_importance(_training_rows(spark, sf), MODEL_INPUT, trees=5)
+    return learn.feature_importance(_training_rows(spark, sf), MODEL_INPUT, trees=20)
 
 
 def _training_rows(spark, sf):
@@ -804,20 +805,33 @@ def _training_rows(spark, sf):
     return materialized(_labelled_matrix(spark, sf).drop("is_fraud"), "training")
 
 
-def _train_and_validation(spark, sf):
-    parts = cut.temporal_split(_training_rows(spark, sf))
-    return parts.filter("split = 'train'").drop("split"), parts.filter("split = 'validation'").drop("split")
+_PARTS, _MODELS = {}, {}
+
+
+def _parts(spark, sf):
+    """The training parts of this folder's transactions, built when first asked for."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _PARTS:
+        _PARTS[key] = training.training_parts(views.transactions(spark, sf))
+    return _PARTS[key]
+
+
+def _trained(spark, sf):
+    """The model trained on them with the default parameters, once for all queries that use it."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _MODELS:
+        _MODELS[key] = training.train_and_evaluate(_parts(spark, sf))
+    return _MODELS[key]
 
 
 @query
 def forest_importance(spark, sf):
-    return learn.forest_importance(_training_rows(spark, sf), MODEL_INPUT, trees=10)
+    return learn.forest_importance(_training_rows(spark, sf), MODEL_INPUT, trees=50)
 
 
 @query
 def shadow_feature_test(spark, sf):
-    rows = _training_rows(spark, sf)
-    return learn.shadow_feature_test(rows, ["log_amount", "hour_of_day", "tx_count_7d"], rounds=3, trees=5)
+    return learn.shadow_feature_test(_parts(spark, sf).train, MODEL_INPUT, trees=20)
 
 
 @query
@@ -838,8 +852,8 @@ def smote_class_counts(spark, sf):
 
 @query
 def imbalance_compare(spark, sf):
-    train, validation = _train_and_validation(spark, sf)
-    return learn.imbalance_compare(train, validation, MODEL_INPUT)
+    parts = _parts(spark, sf)
+    return learn.imbalance_compare(parts.train, parts.validation, MODEL_INPUT)
 
 
 @query
@@ -870,29 +884,54 @@ def global_row_index(spark, sf):
     return global_index(tx.select("transaction_id", "timestamp"), ["timestamp", "transaction_id"], policy=FORCED)
 
 
-def _trained(spark, sf, trees=5):
-    train, validation = _train_and_validation(spark, sf)
-    return learn.train_model(train, validation, MODEL_INPUT, trees=trees, depth=3), validation
+@query
+def train_model(spark, sf):
+    """Up to 300 trees of depth 6 with patience, the threshold of least cost, and figures on the test part."""
+    return _trained(spark, sf).report
 
 
 @query
-def train_model(spark, sf):
-    """Metrics of a trained model on the validation part."""
-    model, validation = _trained(spark, sf)
-    scored = learn.score(validation, model, keep=("label",))
-    return metrics.binary_metrics(scored.select("label", F.col("prediction_score").alias("score")))
+def training_parts(spark, sf):
+    """Sizes and frauds of the three parts, and the codes of the encoders that saw the first one only."""
+    parts = _parts(spark, sf)
+    counted = [
+        getattr(parts, name).agg(F.lit(name).alias("part"), F.count(F.lit(1)).alias("n"), F.sum("label").alias("frauds"), F.sum("country_encoded").alias("codes"))
+        for name in ("train", "validation", "test")
+    ]
+    return counted[0].unionByName(counted[1]).unionByName(counted[2])
+
+
+@query
+def register_model(spark, sf):
+    """The deployments after the trained model's promotion; its figures are in ``train_model``."""
+    parts, trained = _parts(spark, sf), _trained(spark, sf)
+    table = training.register(views.model_deployments(spark, sf), trained, parts, "run_new", "new", AS_OF)
+    return table.select("id", "run_id", "version", "is_active", "training_data_from", "training_data_to")
 
 
 @query
 def tune_model(spark, sf):
-    train, validation = _train_and_validation(spark, sf)
-    return learn.tune_model(train, validation, MODEL_INPUT, trials=2, max_trees=15)
+    parts = _parts(spark, sf)
+    return search.tune_boosted(parts.train, parts.validation, MODEL_INPUT, trials=12, trees=(10, 30))
 
 
 @query
 def score(spark, sf):
-    model, _ = _trained(spark, sf)
-    return learn.score(_matrix(spark, sf), model, model_version="2")
+    matrix = feat.featurize(views.transactions(spark, sf), _parts(spark, sf).encoders)
+    return learn.score(matrix, _trained(spark, sf).model, model_version="2")
+
+
+@query
+def score_facts(spark, sf):
+    """Every transaction is scored once, between 0 and 1, and labelled by the threshold."""
+    scored = score(spark, sf)
+    return scored.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_distinct("transaction_id").alias("ids"),
+        F.count_if(F.col("prediction_score").between(0, 1)).alias("in_range"),
+        F.count_if(F.col("prediction_label") == (F.col("prediction_score") >= 0.5)).alias("labelled"),
+        F.count_if(F.col("model_version") == "2").alias("versioned"),
+    )
 
 
 # ---- evaluation
@@ -1206,9 +1245,7 @@ def stream_dedup(spark, sf):
 
 
 def _scored_stream(spark, sf):
-    model, _ = _trained(spark, sf)
-    tx = views.transactions(spark, sf)
-    encoders = enc.EncoderSet.fit(tx)
+    model, encoders = _trained(spark, sf).model, _parts(spark, sf).encoders
     enriched = sfeat.on_time(sfeat.stream_features(_tx_stream(spark, sf)))
     predictions, found = scratch_path(spark, "predictions"), scratch_path(spark, "alerts")
     prepare = lambda batch: encoders.transform(feat.direct_features(batch))
@@ -1225,6 +1262,21 @@ def stream_score(spark, sf):
     )
 
 
+@query
+def stream_score_facts(spark, sf):
+    """The stream scores every transaction once, as the batch does, and alerts on those labelled fraud."""
+    predictions, found = _scored_stream(spark, sf)
+    batch = score(spark, sf).select("transaction_id", F.col("prediction_score").alias("batch_score"))
+    same = F.abs(F.col("prediction_score") - F.col("batch_score")) < 1e-6
+    both = predictions.join(batch, "transaction_id").join(found.select("transaction_id", "severity"), "transaction_id", "left")
+    return both.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_distinct("transaction_id").alias("ids"),
+        F.count_if(same).alias("as_in_batch"),
+        F.count_if(F.col("severity").isNotNull() == F.col("prediction_label")).alias("alerted"),
+    )
+
+
 @query
 def publish_predictions(spark, sf):
     predictions, _ = _scored_stream(spark, sf)

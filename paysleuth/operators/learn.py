@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import random
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
@@ -40,6 +39,8 @@ def train_model(
     tolerance: float = 0.001,
     subsample: float = 1.0,
     feature_share: str = "all",
+    least_rows: int = 1,
+    least_gain: float = 0.0,
     seed: int = 42,
 ) -> PipelineModel:
     """Boosted trees with weighted positives; with a validation part, boosting stops when it no longer gains."""
@@ -54,6 +55,8 @@ def train_model(
         stepSize=rate,
         subsamplingRate=subsample,
         featureSubsetStrategy=feature_share,
+        minInstancesPerNode=least_rows,
+        minInfoGain=least_gain,
         seed=seed,
     )
     if validation is not None:
@@ -104,47 +107,6 @@ def forest_importance(df: DataFrame, features: list[str], label: str = "label",
     return _importances(df, Pipeline(stages=[assembler, forest]).fit(df.select(*features, label)), features)
 
 
-def _uniform(low: float, high: float, u: float, log: bool = False) -> float:
-    return math.exp(math.log(low) + u * (math.log(high) - math.log(low))) if log else low + u * (high - low)
-
-
-def tune_model(
-    train: DataFrame,
-    validation: DataFrame,
-    features: list[str],
-    label: str = "label",
-    trials: int = 5,
-    seed: int = 42,
-    max_trees: int = 60,
-) -> DataFrame:
-    """Seeded random search for the best average precision on the validation part.
-
-    One row per trial with its parameters; ``best`` marks the winner.
-    """
-    rng = random.Random(seed)
-    weight = positive_weight(train, label)
-    results = []
-    for trial in range(trials):
-        params = {
-            "trees": int(_uniform(10, max_trees, rng.random())),
-            "depth": int(_uniform(3, 9, rng.random())),
-            "rate": _uniform(0.01, 0.3, rng.random(), log=True),
-            "subsample": _uniform(0.6, 1.0, rng.random()),
-            "weight": _uniform(weight * 0.5, weight * 2.0, rng.random()),
-        }
-        model = train_model(train, validation, features, label, seed=seed, **params)
-        scored = score(validation, model, keep=(label,)).select(
-            F.col(label).alias("label"), F.col("prediction_score").alias("score")
-        )
-        value = metrics.pr_auc(scored).collect()[0][0]
-        results.append((trial, *params.values(), value))
-    top = max(range(len(results)), key=lambda i: (results[i][-1] or 0.0, -i))
-    schema = (
-        "trial int, trees int, depth int, rate double, subsample double, weight double, pr_auc double, best boolean"
-    )
-    return train.sparkSession.createDataFrame([(*r, i == top) for i, r in enumerate(results)], schema)
-
-
 def imbalance_compare(
     train: DataFrame,
     validation: DataFrame,
@@ -178,43 +140,53 @@ def imbalance_compare(
     return train.sparkSession.createDataFrame(out, schema)
 
 
+def _decision(hits: int, rounds: int, alpha: float) -> str:
+    """Two-sided binomial test at 1/2."""
+    tail = lambda n: sum(math.comb(rounds, i) for i in range(n, rounds + 1)) / 2**rounds
+    if tail(hits) <= alpha:
+        return "confirmed"
+    return "rejected" if tail(rounds - hits) <= alpha else "tentative"
+
+
 def shadow_feature_test(
     df: DataFrame,
     features: list[str],
     key: str = "transaction_id",
     label: str = "label",
-    rounds: int = 10,
-    trees: int = 20,
+    rounds: int = 20,
+    trees: int = 50,
     seed: int = 42,
     confidence: float = 0.05,
 ) -> DataFrame:
     """(feature, hits, rounds, decision): does a feature beat the best shuffled copy more often than by chance?
 
-    The shuffled copies give each row the feature values of another row: rows in hash order are
-    paired with rows in key order by position, a permutation that needs no collecting.
+    One forest a round over the features and their shuffled copies; after each round every open feature is tested, at
+    ``confidence`` divided by the number of features and of looks. Rejected features leave with their copies, confirmed
+    ones stay in the forest for the others to compete with; when none is open the test ends. The copies give each row the
+    values of another row: rows in hash order are paired with rows in key order by position, a permutation that
+    needs no collecting.
     """
     rows = df.select(F.col(key).alias("_key"), *features, F.col(label).alias(label))
     in_order = materialized(global_index(rows, ["_key"], "_at"), "shadow")
-    hits = dict.fromkeys(features, 0)
+    alpha = confidence / (len(features) * rounds)
+    hits, seen = dict.fromkeys(features, 0), dict.fromkeys(features, 0)
+    decided = dict.fromkeys(features, "tentative")
     for r in range(rounds):
+        inside = [c for c in features if decided[c] != "rejected"]
+        open_ = [c for c in features if decided[c] == "tentative"]
+        if not open_:
+            break
         hashed = rows.withColumn("_h", F.xxhash64("_key", F.lit(seed + r)))
         moved = global_index(hashed, ["_h", "_key"], "_at").select(
-            "_at", *[F.col(c).alias("shadow_" + c) for c in features]
+            "_at", *[F.col(c).alias("shadow_" + c) for c in inside]
         )
-        both = in_order.join(moved, "_at")
-        names = features + ["shadow_" + c for c in features]
+        both = materialized(in_order.join(moved, "_at"), "shadow-round")  # the forest reads it many times
+        names = inside + ["shadow_" + c for c in inside]
         scores = {x["feature"]: x["importance"] for x in forest_importance(both, names, label, seed + r, trees).collect()}
-        best = max(scores["shadow_" + c] for c in features)
-        for c in features:
+        best = max(scores["shadow_" + c] for c in inside)
+        for c in open_:
             hits[c] += scores[c] > best
-    # two-sided binomial test at 1/2, corrected for the number of features
-    alpha = confidence / len(features)
-    tail = lambda n: sum(math.comb(rounds, i) for i in range(n, rounds + 1)) / 2**rounds
-
-    def decide(n: int) -> str:
-        if tail(n) <= alpha:
-            return "confirmed"
-        return "rejected" if tail(rounds - n) <= alpha else "tentative"
-
-    out = [(c, hits[c], rounds, decide(hits[c])) for c in features]
+            seen[c] += 1
+            decided[c] = _decision(hits[c], seen[c], alpha)
+    out = [(c, hits[c], seen[c], decided[c]) for c in features]
     return df.sparkSession.createDataFrame(out, "feature string, hits int, rounds int, decision string")

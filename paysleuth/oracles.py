@@ -1,6 +1,7 @@
 """For each query the SQL that DuckDB runs on the same tables."""
 
 from paysleuth.oracle_views import AL, BUY, CODES, DR, MATRIX, MD, PH, SHIP, TX, behaviour, with_
+from paysleuth.schemas import MODEL_INPUT
 
 SQL: dict[str, str] = {}
 
@@ -631,3 +632,42 @@ SQL["partition_daily"] = with_(TX) + 'SELECT CAST("timestamp" AS DATE) AS event_
 SQL["compact_old"] = with_(TX) + f"SELECT {_TX_COLUMNS}, is_fraud FROM tx"
 SQL["retention"] = with_(SHIP) + """SELECT date_trunc('month', "timestamp")::TIMESTAMP AS month, count(*) AS n FROM ship
 WHERE "timestamp" >= TIMESTAMP '1998-01-01 00:00:00' GROUP BY 1"""
+
+
+# ---- learning: what can be said about the results without fitting
+
+_FRAUDS = _FULL + f""", fr AS (SELECT transaction_id AS id, [{", ".join(f"CAST({c} AS DOUBLE)" for c in MODEL_INPUT)}] AS v FROM mx WHERE is_fraud),
+nn AS (SELECT a.id AS key, list_distance(a.v, b.v) AS distance FROM fr a JOIN fr b ON a.id <> b.id),
+rk AS (SELECT *, CAST(row_number() OVER (PARTITION BY key ORDER BY distance) - 1 AS INTEGER) AS rank FROM nn)"""
+SQL["smote_neighbors"] = _FRAUDS + " SELECT key, rank, round(distance, 6) AS distance FROM rk WHERE rank < 5"
+_SELECTED = [*_CORRELATED, "tx_count_24h", "tx_count_1h"]
+SQL["select_features"] = (
+    _WIDE
+    + _corr(_SELECTED, lambda i, j: i < j)
+    + ", ws AS ("
+    + " UNION ALL ".join(
+        f"SELECT {i} AS position, '{c}' AS feature, avg(CAST({c} > 0 AS INTEGER)) AS importance FROM wide" for i, c in enumerate(_SELECTED)
+    )
+    + """), red AS (SELECT DISTINCT CASE WHEN x.importance <= y.importance THEN a ELSE b END AS feature
+  FROM cm JOIN ws x ON x.feature = a JOIN ws y ON y.feature = b WHERE abs(r) > 0.5),
+why AS (SELECT position, feature, importance, CASE WHEN importance < 0.1 THEN 'low_importance'
+  WHEN feature IN (SELECT feature FROM red) THEN 'redundant' WHEN feature = 'hour_of_day' THEN 'shadow_rejected' END AS drop_reason FROM ws)
+SELECT CAST(position AS INTEGER) AS position, feature, round(importance, 6) AS importance, drop_reason IS NULL AS selected, drop_reason FROM why"""
+)
+_SPLIT = with_(
+    TX,
+    _NUMBERED.format(src="tx", more=""),
+    f"parts AS (SELECT *, {_PART} FROM num)",
+    """late AS (SELECT min("timestamp") AS first FROM parts WHERE split <> 'train')""",
+)
+SQL["training_parts"] = _SPLIT + """, seen AS (SELECT tx.* FROM tx, late WHERE is_fraud IS NOT NULL AND "timestamp" < first),
+gs AS (SELECT avg(CAST(is_fraud AS INTEGER)) AS g FROM seen),
+cs AS (SELECT country AS cat, (sum(CAST(is_fraud AS INTEGER)) + 10 * any_value(g)) / (count(*) + 10) AS code FROM seen, gs GROUP BY 1)
+SELECT split AS part, count(*) AS n, CAST(sum(CAST(is_fraud AS INTEGER)) AS BIGINT) AS frauds, round(sum(coalesce(code, g)), 6) AS codes
+FROM parts CROSS JOIN gs LEFT JOIN cs ON cat = country GROUP BY split"""
+SQL["register_model"] = _SPLIT + f""", {MD.strip()},
+span AS (SELECT date_trunc('second', min("timestamp")) AS a, date_trunc('second', max("timestamp")) AS b FROM parts WHERE split = 'train')
+SELECT id, run_id, version, false AS is_active, training_data_from, training_data_to FROM md
+UNION ALL SELECT (SELECT max(id) + 1 FROM md), 'run_new', 'new', true, a, b FROM span"""
+SQL["score_facts"] = with_(TX) + "SELECT count(*) AS n, count(*) AS ids, count(*) AS in_range, count(*) AS labelled, count(*) AS versioned FROM tx"
+SQL["stream_score_facts"] = with_(TX) + "SELECT count(*) AS n, count(*) AS ids, count(*) AS as_in_batch, count(*) AS alerted FROM tx"

@@ -10,8 +10,8 @@ from paysleuth.oracles import SQL
 SF = "/root/testdata/sf0.001"
 ROWS_ONLY = {
     # fits, searches and synthetic rows: no SQL gives the same values
-    "feature_importance", "forest_importance", "imbalance_compare", "publish_predictions", "score", "select_features",
-    "shadow_feature_test", "smote", "smote_neighbors", "stream_score", "train_model", "tune_model",
+    "feature_importance", "forest_importance", "imbalance_compare", "publish_predictions", "score",
+    "shadow_feature_test", "smote", "stream_score", "train_model", "tune_model",
 }
 RENAMED = {"encoder_pipeline": "encoder_set", "state": None, "late": "late_data"}
 
