@@ -21,7 +21,7 @@ from paysleuth.plans.ordered import SplitPolicy, global_index
 from paysleuth.plans.sizing import with_row
 from paysleuth.schemas import FEATURES, MODEL_INPUT, PROFILE_FEATURES, RAW_TRANSACTION, WINDOW_FEATURES
 from paysleuth.session import materialized, scratch_path
-from paysleuth.sources import streams, tables, views
+from paysleuth.sources import daytable, streams, tables, views
 from paysleuth.streaming import aggregates as sagg
 from paysleuth.streaming import features as sfeat
 from paysleuth.streaming import history
@@ -88,7 +88,7 @@ def stream_source_features(spark, sf):
     shown.select(F.to_json(F.struct(*shown.columns))).write.text(path)
     decoded = streams.good_rows(streams.stream_source_features(spark, path))
     table = streams.run_to_table(decoded)
-    return table.select("transaction_id", "timestamp", F.col("features")["tx_count_7d"].alias("tx_count_7d"))
+    return table.select("transaction_id", "timestamp", *[F.col("features")[n].alias(n) for n in WINDOW_FEATURES + PROFILE_FEATURES])
 
 
 @query
@@ -188,23 +188,41 @@ def reference_snapshot(spark, sf):
     return tables.reference_snapshot(matrix, scratch_path(spark, "reference"))
 
 
+_REFERENCES = {}
+
+
+def _reference(spark, sf):
+    """(matrix with the stored encoders, path of the stored reference): the first half of the month, stored once."""
+    key = (spark.sparkContext.applicationId, sf)
+    tx = views.transactions(spark, sf)
+    if key not in _REFERENCES:
+        path = scratch_path(spark, "drift-reference")
+        enc.EncoderSet.fit(tx, until=MIDDLE).save(f"{path}/encoders")
+        matrix = feat.featurize(tx, enc.EncoderSet.load(spark, f"{path}/encoders"))
+        drift.store_reference(matrix.filter(F.col("timestamp") < F.lit(MIDDLE).cast("timestamp")), MODEL_INPUT, path)
+        _REFERENCES[key] = path
+    path = _REFERENCES[key]
+    return feat.featurize(tx, enc.EncoderSet.load(spark, f"{path}/encoders")), path
+
+
+def _input_drift(spark, sf, **parameters):
+    """All model inputs of the second half, featured over their whole history, against the stored counts of the first."""
+    matrix, path = _reference(spark, sf)
+    current = matrix.filter(F.col("timestamp") >= F.lit(MIDDLE).cast("timestamp"))
+    return drift.counted_drift(drift.reference_counts(spark, path), drift.value_counts(current, MODEL_INPUT), **parameters)
+
+
 @query
 def drift_report_sink(spark, sf):
-    tx = views.transactions(spark, sf)
-    columns = ["amount", "log_amount", "hour_of_day"]
-    sides = feat.direct_features(tx)
-    reference = sides.filter(F.col("timestamp") < F.lit(MIDDLE).cast("timestamp"))
-    current = sides.filter(F.col("timestamp") >= F.lit(MIDDLE).cast("timestamp"))
-    current = current.withColumn("amount", F.col("amount") * 5)
-    per = drift.data_drift(reference, current, columns)
+    """Drift as one job: stored encoders and reference, all inputs, the model's figures, policy, stored report."""
     ph, md = views.predictions_history(spark, sf), views.model_deployments(spark, sf)
-    row = drift.drift_report_row(per, drift.model_drift(ph, md, 2, AS_OF), 2, AS_OF)
+    row = drift.drift_report_row(_input_drift(spark, sf), drift.model_drift(ph, md, 2, AS_OF), 2, AS_OF)
     path = scratch_path(spark, "drift-reports")
     tables.append(row, path)
     stored = spark.read.schema(row.schema).parquet(path)
     return stored.select(
-        "report_date", "model_version_id", "drift_score", "alert_triggered", "remediation_action", "severity",
-        F.get_json_object("feature_drifts", "$.data_drift.amount.drift_score").cast("double").alias("amount_drift"),
+        "report_date", "model_version_id", "drift_score", "alert_triggered", "remediation_action", "severity", "alert_message",
+        F.get_json_object("feature_drifts", "$.data_drift.tx_count_1h.drift_score").cast("double").alias("tx_count_1h_drift"),
         F.get_json_object("feature_drifts", "$.model_drift.detected").alias("model_drift_detected"),
     )
 
@@ -439,7 +457,7 @@ def user_profile(spark, sf):
 
 @query
 def user_window(spark, sf):
-    return feat.user_window(views.transactions(spark, sf), AS_OF, newest=10).select("transaction_id", "user_id")
+    return feat.user_window(views.transactions(spark, sf), AS_OF).select("transaction_id", "user_id")
 
 
 @query
@@ -1042,8 +1060,19 @@ def _drift_query(test, policy=None):
     return run
 
 
-query(_drift_query("ks"), "data_drift")
-query(_drift_query("ks", FORCED), "data_drift_large_groups")
+query(_drift_query("ks"), "data_drift_direct")
+
+
+@query
+def data_drift(spark, sf):
+    return _input_drift(spark, sf)
+
+
+@query
+def data_drift_large_groups(spark, sf):
+    return _input_drift(spark, sf, policy=FORCED)
+
+
 query(_drift_query("wasserstein"), "data_drift_wasserstein")
 query(_drift_query("jensen_shannon"), "data_drift_jensen_shannon")
 query(_drift_query("psi"), "data_drift_psi")
@@ -1051,9 +1080,7 @@ query(_drift_query("psi"), "data_drift_psi")
 
 @query
 def dataset_drift(spark, sf):
-    reference, current = _drift_sides(spark, sf)
-    per = drift.data_drift(reference, current.withColumn("amount", F.col("amount") * 5), DRIFT_COLUMNS)
-    one = drift.dataset_drift(per, 0.25)
+    one = drift.dataset_drift(_input_drift(spark, sf), 0.25)
     return one.select("drift_share", "dataset_drift", F.array_join("drifted_features", ",").alias("drifted_features"))
 
 
@@ -1315,6 +1342,30 @@ def compact_old(spark, sf):
     )
 
 
+@query
+def upsert_stream(spark, sf):
+    """The transactions through a replay-safe sink, in four batches whose files come twice."""
+    tx = views.transactions(spark, sf)
+    table = daytable.DayTable(spark, scratch_path(spark, "upserts"), tx.schema)
+    for stream, offsets in _deliveries(spark, sf, 4, late=True):
+        streams.run_batches(stream, table.insert, offsets)
+    streams.run_batches(stream, table.insert)  # all files again, as one batch of another stream
+    return table.read().drop("event_date")
+
+
+@query
+def compact_incremental(spark, sf):
+    """Two inserts with a compaction after each: only days with new rows are rewritten."""
+    tx = views.transactions(spark, sf)
+    table = daytable.DayTable(spark, scratch_path(spark, "days"), tx.schema)
+    for k, as_of in enumerate(("2024-01-20 00:00:00", AS_OF)):
+        table.insert(tx.filter(F.pmod(F.xxhash64("transaction_id"), F.lit(2)) == k), k)
+        table.compact(as_of)
+    if table.compact(AS_OF):
+        raise RuntimeError("a second compaction found days to rewrite")
+    return table.read().drop("event_date")
+
+
 @query
 def retention(spark, sf):
     return maintain.retention(views.shipments(spark, sf), "2000-01-01 00:00:00").groupBy(

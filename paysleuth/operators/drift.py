@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paysleuth.functions.scalars import ts
@@ -31,18 +31,32 @@ def drift_rows_guard(current: DataFrame, minimum: int = 100) -> DataFrame:
     return current.agg(F.count(F.lit(1)).alias("row_count")).withColumn("enough", F.col("row_count") >= minimum)
 
 
-def _sides(reference: DataFrame, current: DataFrame, columns: list[str]) -> DataFrame:
-    """(column, value, ref, cur): how often each value occurs on either side, combined before the shuffle."""
-    parts = []
-    for side, df in (("ref", reference), ("cur", current)):
-        doubles = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-        long = doubles.unpivot([], columns, "column", "value").filter(F.col("value").isNotNull())
-        one, zero = F.lit(1).cast("long"), F.lit(0).cast("long")
-        parts.append(
-            long.withColumns({"ref": one if side == "ref" else zero, "cur": one if side == "cur" else zero})
-        )
-    both = parts[0].unionByName(parts[1])
-    return both.groupBy("column", "value").agg(F.sum("ref").alias("ref"), F.sum("cur").alias("cur"))
+def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, value, n): how often each value occurs, combined before the shuffle; parts of a table add up."""
+    doubles = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    long = doubles.unpivot([], columns, "column", "value").filter(F.col("value").isNotNull())
+    return long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def store_reference(df: DataFrame, columns: list[str], path: str) -> None:
+    """Save a reference matrix with its value counts: drift reports read the counts, never the rows."""
+    df.write.mode("overwrite").parquet(f"{path}/rows")
+    rows = df.sparkSession.read.schema(df.schema).parquet(f"{path}/rows")
+    value_counts(rows, columns).write.mode("overwrite").partitionBy("column").parquet(f"{path}/counts")
+
+
+def reference_counts(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
+    """The stored counts of a reference, of some columns only if asked for."""
+    counts = spark.read.schema("value double, n long, column string").parquet(f"{path}/counts")
+    return counts if columns is None else counts.filter(F.col("column").isin(columns))
+
+
+def _sides(reference: DataFrame, current: DataFrame) -> DataFrame:
+    """(column, value, ref, cur) from the value counts of both sides."""
+    zero = F.lit(0).cast("long")
+    ref = reference.select("column", "value", F.col("n").alias("ref"), zero.alias("cur"))
+    cur = current.select("column", "value", zero.alias("ref"), F.col("n").alias("cur"))
+    return ref.unionByName(cur).groupBy("column", "value").agg(F.sum("ref").alias("ref"), F.sum("cur").alias("cur"))
 
 
 def _totals(counts: DataFrame) -> DataFrame:
@@ -117,7 +131,19 @@ def data_drift(
     bins: int = 20,
     policy: SplitPolicy = DEFAULT_POLICY,
 ) -> DataFrame:
-    """Per column: the distance between both sides (larger is more drift) and whether it exceeds the threshold.
+    """Per column: the distance between both tables (larger is more drift) and whether it exceeds the threshold."""
+    return counted_drift(value_counts(reference, columns), value_counts(current, columns), test, threshold, bins, policy)
+
+
+def counted_drift(
+    reference: DataFrame,
+    current: DataFrame,
+    test: str = "ks",
+    threshold: float | None = None,
+    bins: int = 20,
+    policy: SplitPolicy = DEFAULT_POLICY,
+) -> DataFrame:
+    """The same from the value counts of both sides (``value_counts``, ``reference_counts``).
 
     Measures: "ks" (largest gap of the distribution functions), "wasserstein" (area between them over
     the reference deviation), "jensen_shannon" and "psi" (on equal-width bins over both sides).
@@ -125,7 +151,7 @@ def data_drift(
     if test not in TESTS:
         raise ValueError(f"test must be one of {sorted(TESTS)}")
     limit = TESTS[test] if threshold is None else threshold
-    counts = _sides(reference, current, columns)
+    counts = _sides(reference, current)
     totals = _totals(counts)
     if test in ("ks", "wasserstein"):
         scores = _cdf_scores(counts, totals, test, policy)

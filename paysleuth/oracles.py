@@ -53,8 +53,8 @@ SQL["user_history_7d"] = with_(TX) + f"""SELECT {_TX_COLUMNS}, is_fraud FROM tx
 WHERE user_id = 'user_0007' AND "timestamp" >= {NOW} - INTERVAL 7 DAY"""
 SQL["stream_source"] = with_(TX) + f"""SELECT {_TX_COLUMNS} FROM tx
 WHERE CAST(transaction_id AS BIGINT) % 10 NOT IN (1, 2, 3, 5)"""
-SQL["stream_source_features"] = _FEATURES + """SELECT transaction_id, "timestamp",
-CAST(tx_count_7d AS DOUBLE) AS tx_count_7d FROM feat"""
+SQL["stream_source_features"] = _FEATURES + f"""SELECT transaction_id, "timestamp",
+{", ".join(f"round(CAST({n} AS DOUBLE), 6) AS {n}" for n in _WINDOW + _PROFILE)} FROM feat"""
 SQL["dead_letter_split"] = with_(TX) + """SELECT
 CASE WHEN CAST(transaction_id AS BIGINT) % 10 IN (1, 2, 3, 5) THEN 'dead' ELSE 'good' END AS sink, transaction_id,
 CASE WHEN CAST(transaction_id AS BIGINT) % 10 IN (1, 2, 3, 5) THEN NULL ELSE amount END AS amount FROM tx"""
@@ -109,11 +109,21 @@ def _drift(table: str, test: str, limit: float) -> str:
 '{test}' AS stattest_name FROM {table}"""
 
 
-SQL["data_drift"] = SQL["data_drift_large_groups"] = _drift("ks", "ks", 0.1)
+SQL["data_drift_direct"] = _drift("ks", "ks", 0.1)
+_EARLY_CODES = CODES.replace("WHERE is_fraud IS NOT NULL", f'WHERE is_fraud IS NOT NULL AND "timestamp" < {MIDDLE}')
+_INPUTS = (
+    with_(TX, behaviour(), _EARLY_CODES, MATRIX)
+    + f""", sides AS (SELECT "timestamp" >= {MIDDLE} AS cur, {", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in MODEL_INPUT)} FROM mx),
+long AS (UNPIVOT sides ON {", ".join(MODEL_INPUT)} INTO NAME "column" VALUE v),
+"""
+    + _SIDES[_SIDES.index("tot AS") :]
+)
+SQL["data_drift"] = SQL["data_drift_large_groups"] = _INPUTS + """SELECT "column", round(score, 6) AS drift_score,
+score > 0.1 AS drift_detected, 'ks' AS stattest_name FROM ks"""
 SQL["data_drift_wasserstein"] = _drift("ws", "wasserstein", 0.1)
 SQL["data_drift_jensen_shannon"] = _drift("js", "jensen_shannon", 0.1)
 SQL["data_drift_psi"] = _drift("psi", "psi", 0.2)
-SQL["dataset_drift"] = _SIDES + """SELECT round(avg(CAST(score > 0.1 AS INTEGER)), 6) AS drift_share,
+SQL["dataset_drift"] = _INPUTS + """SELECT round(avg(CAST(score > 0.1 AS INTEGER)), 6) AS drift_share,
 avg(CAST(score > 0.1 AS INTEGER)) >= 0.25 AS dataset_drift,
 coalesce(string_agg("column", ',' ORDER BY "column") FILTER (score > 0.1), '') AS drifted_features FROM ks"""
 
@@ -137,14 +147,23 @@ round(reference_f1, 6) AS reference_f1, round(current_f1, 6) AS current_f1,
 round(reference_precision, 6) AS reference_precision, round(current_precision, 6) AS current_precision,
 round(reference_recall, 6) AS reference_recall, round(current_recall, 6) AS current_recall,
 round(f1_degradation, 6) AS f1_degradation FROM mdrift"""
-SQL["drift_report_sink"] = _SIDES + ", " + ", ".join(x.strip() for x in (PH, MD, _MODEL_DRIFT)) + f"""
-, k3 AS (SELECT * FROM ks WHERE "column" <> 'day_of_week'),
-d AS (SELECT avg(CAST(score > 0.1 AS INTEGER)) AS share, max(score) FILTER ("column" = 'amount') AS a FROM k3)
+_CRITICAL = ["amount_ratio_vs_user_avg", "amount_sum_1h", "is_country_new", "seconds_since_last_tx", "tx_count_1h"]
+SQL["drift_report_sink"] = _INPUTS + ", " + ", ".join(x.strip() for x in (PH, MD, _MODEL_DRIFT)) + f"""
+, d AS (SELECT avg(CAST(score > 0.1 AS INTEGER)) AS share, max(score) FILTER ("column" = 'tx_count_1h') AS a,
+  '[' || string_agg('''' || "column" || '''', ', ' ORDER BY "column") FILTER (score > 0.2 AND "column" IN ({", ".join(f"'{c}'" for c in _CRITICAL)})) || ']' AS crit
+  FROM ks)
 SELECT {NOW} AS report_date, CAST(2 AS BIGINT) AS model_version_id, round(share, 6) AS drift_score,
-  drift_detected OR share > 0.3 AS alert_triggered,
-  CASE WHEN drift_detected OR share > 0.3 THEN 'triggered_retraining_dag' END AS remediation_action,
-  CASE WHEN drift_detected THEN 'HIGH' WHEN share > 0.3 THEN 'WARNING' ELSE 'INFO' END AS severity,
-  round(a, 6) AS amount_drift, CASE WHEN drift_detected THEN 'true' ELSE 'false' END AS model_drift_detected
+  crit IS NOT NULL OR drift_detected OR share > 0.3 AS alert_triggered,
+  CASE WHEN crit IS NOT NULL OR drift_detected OR share > 0.3 THEN 'triggered_retraining_dag' END AS remediation_action,
+  CASE WHEN crit IS NOT NULL AND drift_detected THEN 'CRITICAL' WHEN crit IS NOT NULL OR drift_detected THEN 'HIGH'
+    WHEN share > 0.3 THEN 'WARNING' ELSE 'INFO' END AS severity,
+  CASE WHEN crit IS NOT NULL AND drift_detected
+      THEN 'CRITICAL drift: critical features drifted=' || crit || ', model drift detected, global score=' || format('{{:.3f}}', share)
+    WHEN crit IS NOT NULL THEN 'High drift: critical features drifted=' || crit || ', global score=' || format('{{:.3f}}', share)
+    WHEN drift_detected THEN 'High drift: model F1 degradation=' || format('{{:.3f}}', f1_degradation) || ', global score=' || format('{{:.3f}}', share)
+    WHEN share > 0.3 THEN 'Global data drift score=' || format('{{:.3f}}', share) || ' exceeds threshold=0.3'
+    ELSE 'Drift within acceptable bounds: global score=' || format('{{:.3f}}', share) END AS alert_message,
+  round(a, 6) AS tx_count_1h_drift, CASE WHEN drift_detected THEN 'true' ELSE 'false' END AS model_drift_detected
 FROM d, mdrift"""
 
 # ---- scalar functions
@@ -266,7 +285,7 @@ count(*) AS amount_count, string_agg(DISTINCT country, ',' ORDER BY country) AS
 string_agg(DISTINCT merchant_id, ',' ORDER BY merchant_id) AS merchants_seen FROM tx GROUP BY 1"""
 SQL["user_window"] = with_(TX) + f"""SELECT transaction_id, user_id FROM tx
 WHERE "timestamp" BETWEEN {NOW} - INTERVAL 7 DAY AND {NOW}
-QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY us DESC, transaction_id DESC) <= 10"""
+QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY us DESC, transaction_id DESC) <= 500"""
 SQL["hydrate_filter"] = with_(TX) + f"""SELECT transaction_id, user_id, "timestamp" FROM tx
 WHERE "timestamp" BETWEEN {NOW} - INTERVAL 7 DAY AND {NOW}"""
 
@@ -629,7 +648,7 @@ SELECT late, count(*) AS n, CASE WHEN late THEN 0 ELSE count(*) END AS with_feat
 # ---- table maintenance
 
 SQL["partition_daily"] = with_(TX) + 'SELECT CAST("timestamp" AS DATE) AS event_date, count(*) AS n FROM tx GROUP BY 1'
-SQL["compact_old"] = with_(TX) + f"SELECT {_TX_COLUMNS}, is_fraud FROM tx"
+SQL["compact_old"] = SQL["upsert_stream"] = SQL["compact_incremental"] = with_(TX) + f"SELECT {_TX_COLUMNS}, is_fraud FROM tx"
 SQL["retention"] = with_(SHIP) + """SELECT date_trunc('month', "timestamp")::TIMESTAMP AS month, count(*) AS n FROM ship
 WHERE "timestamp" >= TIMESTAMP '1998-01-01 00:00:00' GROUP BY 1"""
 
