@@ -101,14 +101,17 @@ class BitTable:
             words[r["w"]] = r["v"]
         return cls(spark, words)
 
+    def held(self, hashes: pd.Series) -> np.ndarray:
+        """Inside a task: which of the hashes may be in the set."""
+        words = self.shared.value
+        slot = hashes.to_numpy(dtype=np.int64) & (len(words) * 64 - 1)
+        return words[slot >> 6] >> (slot & 63) & 1 == 1
+
     def column(self):
         """Column function: whether a hash may be in the set."""
-        shared = self.shared
 
         @F.pandas_udf("boolean")
         def held(hashes: pd.Series) -> pd.Series:
-            words = shared.value
-            slot = hashes.to_numpy(dtype=np.int64) & (len(words) * 64 - 1)
-            return pd.Series(words[slot >> 6] >> (slot & 63) & 1 == 1, index=hashes.index)
+            return pd.Series(self.held(hashes), index=hashes.index)
 
         return held

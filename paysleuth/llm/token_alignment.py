@@ -20,6 +20,7 @@ import heapq
 import itertools
 import json
 import os
+import re
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
@@ -35,10 +36,16 @@ from paysleuth.llm.packed import pack, pack_bits, pack_sorted, unpack, unpack_bi
 from paysleuth.llm.tokens import tokenizer_spec
 from paysleuth.session import materialized
 
-RUN_BYTES = 16 << 20  # of text in a run
+RUN_BYTES = 8 << 20  # of text in a run
 PART_BYTES = 64 << 20  # of text to a radix part
-BLOCK_BYTES = 4 << 20  # of text aligned at once
+BLOCK_BYTES = 1 << 20  # of text aligned at once
 AT_ONCE = 64  # texts given to a tokenizer in one call
+WORDS_KEPT = 200_000  # whose ids a worker keeps, of each tokenizer
+
+# The byte-level tokenizer's rule for words, on ASCII, and the settings under which words are encoded apart.
+_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII)
+_BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+
 
 
 def byte_level_bytes(token: str) -> bytes:
@@ -82,8 +89,34 @@ class Aligned(NamedTuple):
     b: np.ndarray
 
 
+class Words:
+    """Ids of words met before, as bytes of 32-bit integers; None where the tokens' bytes are not the word's."""
+
+    def __init__(self, encode, table: list[bytes], before: bytes, most: int = WORDS_KEPT):
+        """encode: words -> lists of ids; before: what the tokenizer puts in front of a word."""
+        self.encode, self.table, self.before, self.most = encode, table, before, most
+        self.known: dict[str, bytes | None] = {}
+
+    def ids(self, words: list[str]) -> np.ndarray | None:
+        new = [w for w in set(words) if w not in self.known]
+        if new:
+            if len(self.known) + len(new) > self.most:
+                self.known.clear()
+                new = list(set(words))
+            for w, ids in zip(new, self.encode(new), strict=True):
+                fits = b"".join(map(self.table.__getitem__, ids)) == self.before + w.encode()
+                self.known[w] = np.asarray(ids, dtype=np.int32).tobytes() if fits else None
+        found = [self.known[w] for w in words]
+        return None if None in found else np.frombuffer(b"".join(found), dtype=np.int32)
+
+
 class Aligner:
-    """Both tokenizers of a worker. byte_spec: JSON of the tokenizers library; piece_model: a sentencepiece model."""
+    """Both tokenizers of a worker. byte_spec: JSON of the tokenizers library; piece_model: a sentencepiece model.
+
+    Neither vocabulary has a token that goes on after a space it did not begin with, so the ids of a text are those of its
+    words, and words repeat. Texts in ASCII with single spaces are put together from words; the libraries get new
+    words, and all other texts whole.
+    """
 
     def __init__(self, byte_spec: str, piece_model: bytes):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs as many tasks as there are cores
@@ -98,35 +131,64 @@ class Aligner:
         self.a_bytes = [b""] * (max(vocabulary.values()) + 1)
         for token, i in vocabulary.items():
             self.a_bytes[i] = token.encode() if token in added else byte_level_bytes(token)
-        pieces = ((i, self.piecewise.id_to_piece(i)) for i in range(self.piecewise.get_piece_size()))
+        pieces = [self.piecewise.id_to_piece(i) for i in range(self.piecewise.get_piece_size())]
         self.b_bytes = [
-            bytes([int(p[3:5], 16)]) if self.piecewise.is_byte(i) else p.replace("▁", " ").encode() for i, p in pieces
+            bytes([int(p[3:5], 16)]) if self.piecewise.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)
         ]
         self.a_size = np.array([len(t) for t in self.a_bytes], dtype=np.int64)
         self.b_size = np.array([len(t) for t in self.b_bytes], dtype=np.int64)
         self.a_numerals, self.b_numerals = Numerals(len(self.a_bytes)), Numerals(len(self.b_bytes))
+        settings = json.loads(byte_spec)
+        rule = settings.get("pre_tokenizer") or {}
+        self.wordwise = (
+            settings.get("normalizer") is None
+            and settings.get("post_processor") is None
+            and {k: rule.get(k) for k in _BYTE_LEVEL} == _BYTE_LEVEL
+            and not any("▁" in p[1:] and p.strip("▁") for p in pieces)
+        )
+        self.a_words = Words(self._byte_ids, self.a_bytes, b"")
+        self.b_words = Words(self._piece_ids, self.b_bytes, b" ")
+
+    def _byte_ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.bytewise.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _piece_ids(self, texts: list[str]) -> list[list[int]]:
+        return self.piecewise.encode(texts, num_threads=1)
+
+    def _of_words(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
+        pieces = text.split(" ")
+        if "" in pieces:
+            return None
+        a, b = self.a_words.ids(_WORDS.findall(" " + text)), self.b_words.ids(pieces)
+        return None if a is None or b is None else (a, b)
+
+    def _whole(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        none = np.zeros(0, dtype=np.int32)
+        for text, a, b in zip(texts, self._byte_ids([" " + t for t in texts]), self._piece_ids(texts), strict=True):
+            whole = b" " + text.encode()
+            fits = (
+                text != ""
+                and b"".join(map(self.a_bytes.__getitem__, a)) == whole
+                and b"".join(map(self.b_bytes.__getitem__, b)) == whole
+            )
+            yield (np.asarray(a, dtype=np.int32), np.asarray(b, dtype=np.int32)) if fits else (none, none)
 
-    def tokens(self, texts: list[str]) -> Iterator[tuple[list[int], list[int]]]:
+    def tokens(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """A and B ids of each text; none for an empty one and where the tokens' bytes are not a space and the text."""
-        for i in range(0, len(texts), AT_ONCE):
-            some = texts[i : i + AT_ONCE]
-            byte_ids = self.bytewise.encode_batch_fast([" " + t for t in some], add_special_tokens=False)
-            piece_ids = self.piecewise.encode(some, num_threads=1)
-            for text, a, b in zip(some, byte_ids, piece_ids, strict=True):
-                whole, a = b" " + text.encode(), a.ids
-                fits = (
-                    text != ""
-                    and b"".join(map(self.a_bytes.__getitem__, a)) == whole
-                    and b"".join(map(self.b_bytes.__getitem__, b)) == whole
-                )
-                yield (a, b) if fits else ([], [])
+        found = [self._of_words(t) if self.wordwise and t.isascii() else None for t in texts]
+        rest = [k for k, x in enumerate(found) if x is None]
+        for i in range(0, len(rest), AT_ONCE):
+            some = rest[i : i + AT_ONCE]
+            for k, ids in zip(some, self._whole([texts[k] for k in some]), strict=True):
+                found[k] = ids
+        return found
 
     def align(self, texts: list[str]) -> Aligned:
-        found = list(self.tokens(texts))
+        found = self.tokens(texts)
         n_a = np.array([len(a) for a, _ in found], dtype=np.int64)
         n_b = np.array([len(b) for _, b in found], dtype=np.int64)
-        a = np.fromiter(itertools.chain.from_iterable(x for x, _ in found), dtype=np.int64, count=int(n_a.sum()))
-        b = np.fromiter(itertools.chain.from_iterable(x for _, x in found), dtype=np.int64, count=int(n_b.sum()))
+        a = np.concatenate([np.zeros(0, dtype=np.int64), *[x for x, _ in found]])
+        b = np.concatenate([np.zeros(0, dtype=np.int64), *[x for _, x in found]])
         a_end, b_end = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])  # of a text all bytes are in both
         total = int(a_end[-1]) if len(a_end) else 0
         ends = np.zeros(total + 1, dtype=bool)

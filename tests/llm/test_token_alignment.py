@@ -111,6 +111,20 @@ def test_entries_spell_the_bytes_that_the_library_decodes(files):
     assert sorted(known.a_bytes[i] for t, i in vocabulary.items() if len(t) == 1) == [bytes([b]) for b in range(256)]
 
 
+def test_words_give_the_ids_of_whole_texts(files):
+    """Put together from words or encoded whole: the same ids, also with few words kept."""
+    rng = random.Random(12)
+    known = ta.Aligner(open(files[0], encoding="utf-8").read(), open(files[1], "rb").read())
+    assert known.wordwise
+    known.a_words.most = known.b_words.most = 40
+    marks = ["'s", "'LL", "don't", "a\n\nb", "\n", "\t x", "12ab34", "...!?", "('quoted')", "<|endoftext|>", "<0x41>", "\x1c", "\x00", "'", "_", "A" * 90]
+    words = marks + ["".join(rng.choice("abcdeXYZ019.,'-") for _ in range(rng.randint(1, 9))) for _ in range(300)]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 40))) for _ in range(400)]
+    for text, (a, b), (c, d) in zip(texts, known.tokens(texts), known._whole(texts), strict=True):
+        assert a.tolist() == c.tolist() and b.tolist() == d.tolist(), text
+    assert sum(known._of_words(t) is not None for t in texts) > 350
+
+
 def test_merge_learns_totals_and_ties():
     runs = [np.array([(1 << 4) | 1, (1 << 4) | 2, (2 << 4) | 1]), np.array([(1 << 4) | 2]), np.array([], dtype=np.int64)]
     counts = [np.array([5, 2, 1]), np.array([3]), np.array([], dtype=np.int64)]
