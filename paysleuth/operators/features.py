@@ -26,6 +26,7 @@ from paysleuth.schemas import (
     REQUIRED_COLUMNS,
     WINDOW_FEATURES,
 )
+from paysleuth.session import materialized
 
 HOUR_US = 3_600_000_000
 # optional column: how many transactions a row stands for (its amount is then their sum)
@@ -247,7 +248,7 @@ def behaviour_features(
             [(h[0],) for h in hot], T.StructType([T.StructField("user_id", T.StringType())])
         )
         light = rows.join(F.broadcast(names), "user_id", "left_anti")
-        heavy = rows.join(F.broadcast(names), "user_id", "left_semi")
+        heavy = materialized(rows.join(F.broadcast(names), "user_id", "left_semi"), "heavy-users")  # read several times
         scanned = _light_users(light, ties).unionByName(_heavy_users(heavy, ties, policy, hot))
     else:
         scanned = _light_users(rows, ties)
