@@ -151,6 +151,11 @@ def _of_kinds(spans: Column, *kinds: str) -> Column:
 
 
 def pii_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of ``docs``: counts of the base kinds, their digest, and all spans.
+
+    A null or empty text has none. Null ids and repeated rows are rows like any other; spans of one kind never overlap, so
+    there are no ties. Other columns play no part; an empty table gives an empty result.
+    """
     found = with_spans(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text")), "_text", "_spans")
     found = found.select("doc_id", "_spans")
     spans = F.col("_spans")

@@ -207,5 +207,10 @@ def read_token_files(spark: SparkSession, written: TokenFolder) -> DataFrame:
 
 
 def token_digest(docs: DataFrame, tokenizer: str) -> DataFrame:
+    """Write the token files of all documents and say of each what the files hold.
+
+    A null text is an empty one (its end id remains); null ids come first, repeated rows each have their place, ties of
+    ids go by the text. Other columns play no part; an empty table gives an empty result.
+    """
     spark = docs.sparkSession
     return read_token_files(spark, write_token_files(docs, tokenizer, scratch_path(spark, "token-files")))

@@ -303,7 +303,12 @@ def score_documents(
     text_col: str = "text",
     settings: Settings | None = None,
 ) -> DataFrame:
-    """One row per row of ``docs``: doc_id, held_out, score, predicted. Only the text enters a score."""
+    """One row per row of ``docs``: doc_id, held_out, score, predicted. Only the text enters a score.
+
+    A null text is an empty one and gets the score of no votes. Null ids are held out by the crc of '' and never learned
+    from; equal texts and repeated rows have equal scores. Other columns play no part. An empty table gives an empty
+    result; without labels of both kinds the general lexicon decides.
+    """
     settings = settings or Settings()
     score = scorer(fit(docs, labels, id_col, text_col, settings))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
@@ -318,7 +323,10 @@ def without_toxic(
     text_col: str = "text",
     settings: Settings | None = None,
 ) -> DataFrame:
-    """The rows of ``docs`` whose score stays below the threshold, with all their columns."""
+    """The rows of ``docs`` whose score stays below the threshold, with all their columns, whatever their names.
+
+    Nulls, repeats and empty tables as in ``score_documents``.
+    """
     settings = settings or Settings()
     score = scorer(fit(docs, labels, id_col, text_col, settings))
     return docs.filter(score(F.coalesce(F.col(text_col), F.lit(""))) < settings.threshold)

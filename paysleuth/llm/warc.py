@@ -257,7 +257,11 @@ def assemble(records: DataFrame) -> DataFrame:
 
 
 def archive_digest(pages: DataFrame) -> DataFrame:
-    """Write all pages, read the archives back, and return what the assembled captures say of each page."""
+    """Write all pages, read the archives back, and return what the assembled captures say of each page.
+
+    A null page is an empty one, a null address about:blank. Null ids and repeated rows are captures of their own; of equal
+    payloads the largest id is the response. Other columns play no part; an empty table gives an empty result.
+    """
     spark = pages.sparkSession
     written = write_archives(mark_revisits(pages), scratch_path(spark, "archives"))
     records = materialized(read_records(spark, written, with_payload=False).drop("payload"), "warc-records")

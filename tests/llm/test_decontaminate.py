@@ -111,3 +111,12 @@ def test_a_pair_at_the_threshold_is_within_the_radius():
         a, b = bits[:n].sum(axis=0) * 2 > n, bits[new:].sum(axis=0) * 2 > n
         far += int((a != b).sum() > module.RADIUS)
     assert far / turns < 0.001
+
+
+def test_an_item_in_a_very_long_text(spark):
+    item = " ".join(f"leak{i}" for i in range(60))
+    long_text = "filler words here " * 40_000 + item + " more filler" * 30_000
+    docs = spark.createDataFrame([(1, long_text), (2, "filler words here " * 40_000)], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    (leak,) = find_leaks(docs, bench).collect()
+    assert (leak["doc_id"], leak["item_id"], leak["start"]) == (1, 7, 120_000) and leak["similarity"] == 1.0

@@ -1,3 +1,6 @@
+import math
+import random
+
 from paysleuth.llm import language
 
 WORDS = {"en": "the and of that with there which", "de": "der und nicht auch eine schon über", "fr": "les des une avec être où déjà"}
@@ -55,3 +58,75 @@ def test_rare_languages_are_learned_too(spark):
     p = spark.createDataFrame([(1, None, None)], "page_id long, url string, html string")
     got = {r["doc_id"]: r["text_lang"] for r in language.identify(d, p).collect() if r["page_id"] is None}
     assert got == {i: k for i, _, k, _ in docs}
+
+
+def plain_fusion(rows, names):
+    """The posterior of each row by sums over plain lists."""
+    n = len(names)
+
+    def softmax(scores):
+        top = max(scores)
+        parts = [math.exp(x - top) for x in scores]
+        return [p / sum(parts) for p in parts]
+
+    soft = [softmax([e * language.TEMPER for e in r["evidence"]]) for r in rows]
+    base = [(sum(s[i] for s in soft) + 1) / (len(rows) + n) for i in range(n)]
+    result = []
+    for r, own in zip(rows, soft, strict=True):
+        def others(key):
+            same = [s for q, s in zip(rows, soft, strict=True) if q is not r and q[key] is not None and q[key] == r[key] and (key not in ("host", "domain") or q["kind"] == r["kind"])]
+            return [sum(s[i] for s in same) for i in range(n)], len(same)
+
+        final = []
+        for i in range(n):
+            domain = base[i]
+            if r["domain"] is not None:
+                sums, count = others("domain")
+                domain = (sums[i] + language.STRENGTH * base[i]) / (count + language.STRENGTH)
+            sums, count = others("host")
+            prior = (sums[i] + language.STRENGTH * domain) / (count + language.STRENGTH) if r["host"] is not None else domain
+            score = r["evidence"][i] * language.TEMPER + math.log(max(prior, 1e-6))
+            for key in ("declared", "suffix"):
+                if r[key] is not None:
+                    whole = sum(s[i] for q, s in zip(rows, soft, strict=True) if q[key] is not None and q is not r)
+                    kinds = len({q[key] for q in rows if q[key] is not None})
+                    before = 0.5 + (language.STRENGTH if r[key] == names[i] else 0.0)
+                    p = (others(key)[0][i] + before) / (whole + language.STRENGTH + 0.5 * (kinds + 1))
+                    score += math.log(max(p, 1e-6))
+            final.append(score)
+        posterior = softmax(final)
+        result.append((r["id"], names[posterior.index(max(posterior))], max(posterior)))
+    return result
+
+
+def test_fusion_equals_plain_code(spark):
+    rng = random.Random(15)
+    names = ["de", "en", "fr"]
+    rows = []
+    for i in range(120):
+        page = rng.random() < 0.6
+        domain = rng.choice(["a.de", "b.com", "c.fr"]) if page else None
+        rows.append({
+            "kind": "page" if page else "document",
+            "id": i,
+            "host": (rng.choice(["x.", "y."]) + domain) if page else rng.choice(["s1", "s2", "s1", "s1"]),
+            "domain": domain,
+            "suffix": domain.split(".")[1] if page else None,
+            "declared": rng.choice([None, "de", "en", "xx"]) if page else None,
+            "evidence": [rng.gauss(0, 15) for _ in names],
+        })
+    df = spark.createDataFrame(rows, "kind string, id long, host string, domain string, suffix string, declared string, evidence array<double>").repartition(3)
+    got = {r["id"]: (r["lang"], r["confidence"]) for r in language.fuse(df, names).collect()}
+    assert len(got) == 120
+    for i, lang, confidence in plain_fusion(rows, names):
+        assert got[i][0] == lang and abs(got[i][1] - confidence) < 1e-6
+
+
+def test_repeats_ties_and_long_texts(spark):
+    docs = [(1, "der und nicht " * 40_000, "de", "s"), (2, "the and of " * 5, "en", "s"), (2, "the and of " * 5, "en", "s"), (3, "", None, None)]
+    d = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")
+    p = spark.createDataFrame([(1, "http://a.b/", "<p>the and of</p>")], "page_id long, url string, html string")
+    got = language.identify(d, p).collect()
+    by = [(r["doc_id"], r["text_lang"]) for r in got if r["page_id"] is None]
+    assert sorted(x for x in by if x[0] < 3) == [(1, "de"), (2, "en"), (2, "en")] and len(got) == 5
+    assert dict(by)[3] == "de"  # no evidence: the first in the alphabet
