@@ -322,7 +322,8 @@ def safe_ratio(spark, sf):
 def constraint_audit(spark, sf):
     md = views.model_deployments(spark, sf)
     return monitor.constraint_audit(
-        md, views.predictions_history(spark, sf), views.drift_reports(spark, sf), views.alert_log(spark, sf)
+        md, views.predictions_history(spark, sf), views.drift_reports(spark, sf), views.alert_log(spark, sf),
+        views.transactions(spark, sf),
     )
 
 

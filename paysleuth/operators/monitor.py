@@ -118,10 +118,22 @@ def label_backfill(predictions: DataFrame, truth: DataFrame) -> DataFrame:
     return joined.withColumn("actual_label", filled).drop("_truth")
 
 
+# The columns that may not be null, by table.
+NOT_NULL = {
+    "transactions": ["transaction_id", "user_id", "merchant_id", "amount", "timestamp"],
+    "model_deployments": ["model_name", "version", "run_id", "created_at", "is_active", "training_data_from", "training_data_to"],
+    "predictions_history": [
+        "transaction_id", "model_version_id", "prediction_score", "prediction_label", "timestamp", "latency_ms",
+    ],
+    "drift_reports": ["report_date", "model_version_id", "drift_score", "feature_drifts", "alert_triggered"],
+    "alert_log": ["alert_type", "severity", "message", "triggered_at"],
+}
+
+
 def constraint_audit(
-    deployments: DataFrame, predictions: DataFrame, reports: DataFrame, alert_log: DataFrame
+    deployments: DataFrame, predictions: DataFrame, reports: DataFrame, alert_log: DataFrame, transactions: DataFrame
 ) -> DataFrame:
-    """(table, rule, violations): the table constraints as counts, one pass per table."""
+    """(table, rule, violations): the constraints of all tables as counts, one pass per table and one per key."""
     unit = lambda c: F.col(c).isNotNull() & ~F.col(c).between(0, 1)
     checks = {
         "model_deployments": (
@@ -129,7 +141,6 @@ def constraint_audit(
             {
                 "training_range": F.col("training_data_from") > F.col("training_data_to"),
                 **{f"{c}_range": unit(c) for c in ("f1_score", "precision", "recall", "auc_roc")},
-                "run_id_null": F.col("run_id").isNull(),
             },
         ),
         "predictions_history": (
@@ -141,9 +152,11 @@ def constraint_audit(
             alert_log,
             {"severity_domain": ~F.col("severity").isin("INFO", "WARNING", "HIGH", "CRITICAL")},
         ),
+        "transactions": (transactions, {}),
     }
     parts = []
     for name, (df, rules) in checks.items():
+        rules |= {f"{c}_null": F.col(c).isNull() for c in NOT_NULL[name]}
         counted = df.agg(*[F.count_if(rule).alias(rule_name) for rule_name, rule in rules.items()])
         parts.append(
             counted.unpivot([], list(rules), "rule", "violations").select(F.lit(name).alias("table"), "rule", "violations")
@@ -153,6 +166,8 @@ def constraint_audit(
         "model_deployments_run": (deployments, ["run_id"], "run_id_unique"),
         "predictions_history": (predictions, ["id"], "primary_key"),
         "drift_reports": (reports, ["id"], "primary_key"),
+        "alert_log": (alert_log, ["id"], "primary_key"),
+        "transactions": (transactions, ["transaction_id", "timestamp"], "primary_key"),
     }
     for name, (df, cols, rule_name) in keys.items():
         repeated = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")

@@ -1,6 +1,7 @@
 """For each query the SQL that DuckDB runs on the same tables."""
 
 from paysleuth.oracle_views import AL, BUY, CODES, DR, MATRIX, MD, PH, SHIP, TX, behaviour, with_
+from paysleuth.operators.monitor import NOT_NULL
 from paysleuth.schemas import MODEL_INPUT
 
 SQL: dict[str, str] = {}
@@ -202,12 +203,14 @@ SQL["rate_message"] = with_(TX, _HOURLY) + "SELECT bucket_hour, printf('%.2f', f
 SQL["safe_ratio"] = with_(TX, _HOURLY) + """SELECT bucket_hour,
 round(total_transactions / CAST(nullif(total_fraud_transactions, 0) AS DOUBLE), 6) AS per_fraud FROM hv"""
 _UNIT = "count(*) FILTER ({c} IS NOT NULL AND NOT {c} BETWEEN 0 AND 1)"
-SQL["constraint_audit"] = with_(MD, PH, DR, AL) + " UNION ALL ".join(
+SQL["constraint_audit"] = with_(TX, MD, PH, DR, AL) + " UNION ALL ".join(
     [
         "SELECT 'model_deployments' AS \"table\", 'training_range' AS rule, count(*) FILTER (training_data_from > training_data_to) AS violations FROM md",
         *[f"SELECT 'model_deployments', '{c}_range', {_UNIT.format(c=q)} FROM md"
           for c, q in (("f1_score", "f1_score"), ("precision", '"precision"'), ("recall", "recall"), ("auc_roc", "auc_roc"))],
-        "SELECT 'model_deployments', 'run_id_null', count(*) FILTER (run_id IS NULL) FROM md",
+        *[f"SELECT '{t}', '{c}_null', count(*) FILTER (\"{c}\" IS NULL) FROM {v}"
+          for t, v in (("transactions", "tx"), ("model_deployments", "md"), ("predictions_history", "ph"),
+                       ("drift_reports", "dr"), ("alert_log", "al")) for c in NOT_NULL[t]],
         f"SELECT 'predictions_history', 'score_range', {_UNIT.format(c='prediction_score')} FROM ph",
         "SELECT 'predictions_history', 'latency_negative', count(*) FILTER (latency_ms < 0) FROM ph",
         f"SELECT 'drift_reports', 'score_range', {_UNIT.format(c='drift_score')} FROM dr",
@@ -216,7 +219,9 @@ SQL["constraint_audit"] = with_(MD, PH, DR, AL) + " UNION ALL ".join(
           for t, v, k, rule in (("model_deployments", "md", "id", "primary_key"),
                                 ("model_deployments", "md", "run_id", "run_id_unique"),
                                 ("predictions_history", "ph", "id", "primary_key"),
-                                ("drift_reports", "dr", "id", "primary_key"))],
+                                ("drift_reports", "dr", "id", "primary_key"),
+                                ("alert_log", "al", "id", "primary_key"))],
+        "SELECT 'transactions', 'primary_key', count(*) FROM (SELECT 1 FROM tx GROUP BY transaction_id, \"timestamp\" HAVING count(*) > 1)",
         *[f"SELECT '{t}', 'foreign_key', count(*) FROM {v} WHERE model_version_id NOT IN (SELECT id FROM md)"
           for t, v in (("predictions_history", "ph"), ("drift_reports", "dr"))],
     ]

@@ -22,27 +22,6 @@ ENRICHED_TRANSACTION = T.StructType(
 
 TRANSACTION_TABLE = T.StructType(RAW_TRANSACTION.fields + [T.StructField("is_fraud", T.BooleanType())])
 
-PREDICTION = T.StructType(
-    [
-        T.StructField("transaction_id", T.StringType()),
-        T.StructField("prediction_score", T.DoubleType()),
-        T.StructField("prediction_label", T.BooleanType()),
-        T.StructField("model_version_id", T.LongType()),
-        T.StructField("timestamp", T.TimestampType()),
-        T.StructField("latency_ms", T.DoubleType()),
-    ]
-)
-
-FRAUD_ALERT = T.StructType(
-    [
-        T.StructField("transaction_id", T.StringType()),
-        T.StructField("alert_type", T.StringType()),
-        T.StructField("severity", T.StringType()),
-        T.StructField("prediction_score", T.DoubleType()),
-        T.StructField("timestamp", T.TimestampType()),
-    ]
-)
-
 FEATURE_DRIFTS = T.StructType(
     [
         T.StructField(
