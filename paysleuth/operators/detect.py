@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from paysleuth.functions.scalars import null_as_text, ts
-from paysleuth.plans.ordered import DEFAULT_POLICY, SplitPolicy, large_groups, running
+from paysleuth.plans.ordered import DEFAULT_POLICY, SplitPolicy, hot_groups, running, to_cut
+from paysleuth.plans.sizing import as_lookup
 
 # Region of each country.
 LATAM = ["AR", "BR", "MX", "CL", "CO", "PE", "UY", "PY", "BO"]
@@ -65,13 +65,13 @@ def detect_high_frequency(
     """
     width = F.lit(minutes * 60_000_000)
     rows = df.select(*KEYS, F.unix_micros(F.col("timestamp").cast("timestamp")).alias("_us"))
-    hot = large_groups(rows, ["user_id"], policy)
-    if not hot:
+    hot = hot_groups(rows, ["user_id"], policy)
+    if hot is None:
         return _frequent_light(rows, minimum, width)
-    users = df.sparkSession.createDataFrame([(h[0],) for h in hot], T.StructType([rows.schema["user_id"]]))
-    light = rows.join(F.broadcast(users), "user_id", "left_anti")
-    heavy = rows.join(F.broadcast(users), "user_id", "left_semi")
-    found = _frequent_heavy(heavy, minimum, width, policy, [(u, 2 * n) for u, n in hot])
+    users = as_lookup(hot.select("user_id"))
+    light = rows.join(users, "user_id", "left_anti")
+    heavy = rows.join(users, "user_id", "left_semi")
+    found = _frequent_heavy(heavy, minimum, width, policy, to_cut(hot, policy, 2))
     return _frequent_light(light, minimum, width).unionByName(found)
 
 

@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from paysleuth.functions.scalars import cents, null_as_text, ts
-from paysleuth.plans.ordered import DEFAULT_POLICY, SplitPolicy, large_groups, running
+from paysleuth.plans.ordered import DEFAULT_POLICY, SplitPolicy, hot_groups, running, to_cut
+from paysleuth.plans.sizing import as_lookup
 from paysleuth.schemas import (
     FEATURES,
     MODEL_INPUT,
@@ -166,9 +167,10 @@ def _light_users(rows: DataFrame, ties: str) -> DataFrame:
 
 
 def _heavy_users(rows: DataFrame, ties: str, policy: SplitPolicy, hot: list[tuple]) -> DataFrame:
-    """Scan of users too large for one task: time segments instead of one window per user."""
-    # each row makes four points
-    hot = [(user, 4 * n) for user, n in hot]
+    """Scan of users too large for one task: time segments instead of one window per user.
+
+    hot: the users to cut and their points, four for each row.
+    """
     one = F.lit(1).cast("long")
     when = F.struct("_us", "transaction_id")
     first_c = rows.groupBy("user_id", "_country").agg(F.min(when).alias("_fc"))
@@ -242,14 +244,13 @@ def behaviour_features(
         raise ValueError("ties must be strict or arrival")
     require_columns(df, {"transaction_id", "user_id", "merchant_id", "amount", "country", "timestamp"})
     rows = _prepared(df)
-    hot = large_groups(rows, ["user_id"], policy)
-    if hot:
-        names = df.sparkSession.createDataFrame(
-            [(h[0],) for h in hot], T.StructType([T.StructField("user_id", T.StringType())])
-        )
-        light = rows.join(F.broadcast(names), "user_id", "left_anti")
-        heavy = materialized(rows.join(F.broadcast(names), "user_id", "left_semi"), "heavy-users")  # read several times
-        scanned = _light_users(light, ties).unionByName(_heavy_users(heavy, ties, policy, hot))
+    hot = hot_groups(rows, ["user_id"], policy)
+    if hot is not None:
+        names = as_lookup(hot.select("user_id"))
+        light = rows.join(names, "user_id", "left_anti")
+        heavy = materialized(rows.join(names, "user_id", "left_semi"), "heavy-users")  # read several times
+        cut = to_cut(hot, policy, len(WINDOWS_US) + 1)
+        scanned = _light_users(light, ties).unionByName(_heavy_users(heavy, ties, policy, cut))
     else:
         scanned = _light_users(rows, ties)
 

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from paysleuth.plans.sizing import small_table
 from paysleuth.session import materialized
 
 SEG = "_seg"
@@ -30,9 +31,9 @@ _DAY_US = 86_400_000_000
 class SplitPolicy:
     """When to cut a group.
 
-    rows_per_segment: every group above this many rows is cut.
+    rows_per_segment: groups above this many rows are cut.
     max_segments: about how many segments the cut groups get in all; if their rows are more than
-        ``max_segments`` times ``rows_per_segment``, the segments become larger.
+        ``max_segments`` times ``rows_per_segment``, the segments become larger, and groups of one segment stay whole.
     """
 
     rows_per_segment: int = 1_000_000
@@ -42,13 +43,34 @@ class SplitPolicy:
 DEFAULT_POLICY = SplitPolicy()
 
 
-def large_groups(df: DataFrame, by: list[str], policy: SplitPolicy = DEFAULT_POLICY) -> list[tuple]:
-    """The groups to cut, largest first, as (key..., rows): at most total / rows_per_segment of them.
+def hot_groups(df: DataFrame, by: list[str], policy: SplitPolicy = DEFAULT_POLICY) -> DataFrame | None:
+    """The groups above ``rows_per_segment`` with their rows ``_n``, or None if there are none.
+
+    Up to ``max_segments`` of them are a local table; more are written down and stay distributed. The count combines
+    on the map side, so a hot key costs one row per map task.
+    """
+    counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > policy.rows_per_segment)
+    local = small_table(counts, policy.max_segments)
+    if local is None:
+        return materialized(counts, "hot-groups")
+    return None if local.isEmpty() else local
+
 
-    The count combines on the map side, so a hot key costs one row per map task.
+def to_cut(hot: DataFrame, policy: SplitPolicy = DEFAULT_POLICY, points: int = 1) -> list[tuple]:
+    """Those of the hot groups that get more than one segment, largest first, as (key..., rows): ``max_segments`` at most.
+
+    points: how many rows of the table to cut stand for one counted row.
     """
-    counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    return sorted(map(tuple, counts.filter(F.col("_n") > policy.rows_per_segment).collect()), key=lambda r: -r[-1])
+    rows = F.col("_n") * F.lit(points)
+    total = hot.agg(F.sum(rows)).first()[0] or 0
+    size = max(policy.rows_per_segment, math.ceil(total / policy.max_segments))
+    return sorted(map(tuple, hot.withColumn("_n", rows).filter(F.col("_n") > size).collect()), key=lambda r: -r[-1])
+
+
+def large_groups(df: DataFrame, by: list[str], policy: SplitPolicy = DEFAULT_POLICY) -> list[tuple]:
+    """The groups to cut, largest first, as (key..., rows): ``max_segments`` at most."""
+    hot = hot_groups(df, by, policy)
+    return [] if hot is None else to_cut(hot, policy)
 
 
 def _cuts(sample: list, parts: int) -> list:

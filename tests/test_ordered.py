@@ -67,6 +67,27 @@ def test_segments_are_bounded_and_cover_hot_groups(spark):
     assert cut.filter("g <> 'hot' AND _seg <> 0").count() == 0
 
 
+def test_many_large_groups_stay_out_of_the_driver(spark, monkeypatch):
+    policy = SplitPolicy(rows_per_segment=4, max_segments=8)
+    df = spark.range(6000).selectExpr("id % 600 AS g", "id AS k", "1L AS v")
+    df = df.unionByName(spark.range(5000).selectExpr("1000L AS g", "10000 + id AS k", "1L AS v"))
+    assert ordered.large_groups(df, ["g"], policy) == [(1000, 5000)]
+    most, collect = [0], type(df).collect
+
+    def counted(self):
+        rows = collect(self)
+        most[0] = max(most[0], len(rows))
+        return rows
+
+    monkeypatch.setattr(type(df), "collect", counted)
+    got = running(df, ["g"], "k", {"s": ("sum", "v")}, policy=policy)
+    assert most[0] < 300
+    monkeypatch.undo()
+    small, hot = got.filter("g < 1000"), got.filter("g = 1000")
+    assert small.filter("coalesce(s, 0) <> floor(k / 600)").isEmpty() and small.count() == 6000
+    assert hot.filter("coalesce(s, 0) <> k - 10000").isEmpty() and hot.count() == 5000
+
+
 def test_keys_at_ranks(spark):
     df = spark.sql(
         "SELECT timestamp '2024-01-01' + make_interval(0, 0, 0, cast(id div 10 as int), 0, 0, 0) AS timestamp, "
