@@ -224,3 +224,19 @@ def test_profiles_grow_and_hold_late_rows(make, spark, tmp_path):
     assert [(r["tx_weight"], r["amount"]) for r in profile] == [(7, 80.0)]  # six days and the late row
     last = store.features().filter("transaction_id = 'next'").first()
     assert last["amount_ratio_vs_user_avg"] == pytest.approx(1.0 / ((sum(range(10, 22)) + 5) / 13))
+
+
+def test_one_users_update_works_on_plain_lists():
+    import numpy as np
+
+    from paysleuth.streaming import features as sfeat
+
+    first = sfeat._first_times(["AR", "BR"], [5, 9], ["BR", "CL", "CL"], [7, 8, 6])
+    assert first == {"AR": 5, "BR": 7, "CL": 6}
+    unseen, seen = sfeat._novelty(first, ["BR", "CL", "CL"], np.array([7, 8, 6]))
+    assert unseen.tolist() == [1.0, 0.0, 1.0] and seen.tolist() == [2, 3, 1]
+    live = np.array([True, False, True])
+    assert sfeat._nullable("tx_count_1h", live, np.array([3, 4])).tolist()[::2] == [3, 4]
+    ratio = sfeat._nullable("amount_ratio_vs_user_avg", live, np.array([1.5, np.nan]))
+    assert ratio.isna().tolist() == [False, True, True]
+    assert sfeat._nullable("tx_count_1h", live, None).isna().all()
