@@ -15,8 +15,9 @@ Texts are near-duplicates if their sets of five-word shingles have a Jaccard sim
    before any shingles move; the exact similarity of the rest decides. Heads come first; in small buckets only pairs
    that these have not brought into one component are left.
 4. Larger buckets go on with one representative for each component: heads against all others, round by round, or
-   all of them once they are few. Representatives that stay apart in a crowded bucket then meet through their rarest
-   shingles: texts at 0.8 share one among the first fifth of each, in any common order.
+   all of them once they are few. All texts of crowded buckets that still hold several components then meet through
+   their rarest shingles: texts at 0.8 share one among the first fifth of each, in any common order. Buckets of these go
+   the same way; where components stay apart in a crowded one, all pairs across them are compared, block by block.
 
 Found links are exact. What can be missed is measured in the tests and stated in the README.
 """
@@ -40,6 +41,7 @@ WIDTH = 24  # votes to a segment
 GROUPS = {2: 20, 3: 44, 4: 96}  # groups of segments, by segments to a key
 MOST_TEXTS = {2: 500_000, 3: 200_000_000}  # up to so many texts; beyond, the next
 SAMPLE_ROWS, MOST_COMMON, COMMON_FROM = 20_000, 200_000, 4
+BLOCK = 1024  # members of a bucket that are paired with the others in one group
 _DOCS = 12  # texts decoded together
 
 
@@ -234,13 +236,36 @@ class Linker:
         self.limit = most_bits(least, fingerprint_bits(per_key))
         self.bodies: DataFrame | None = None
 
+    def close(self, size_a: Column, size_b: Column, bits_a: Column, bits_b: Column) -> Column:
+        """Whether sizes and fingerprints allow the similarity."""
+        differing = F.aggregate(F.zip_with(bits_a, bits_b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+        return (F.least(size_a, size_b) >= self.least * F.greatest(size_a, size_b) - 1e-9) & (differing <= self.limit)
+
+    def across(self, members: DataFrame) -> DataFrame:
+        """All possible pairs of different components inside the buckets, of any size. members: key, node, n, root.
+
+        A bucket is cut into blocks, each a group of its own against the whole bucket; what is not close enough goes
+        before any shuffle.
+        """
+        blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("long")
+        light = members.withColumn("_blocks", blocks).join(self.prints, "node")
+
+        def side(x: str, block: Column) -> DataFrame:
+            return light.select("key", block.alias("_block"), *[F.col(c).alias(f"_{c}{x}") for c in ("node", "root", "size", "bits")])
+
+        left = side("a", F.pmod(F.xxhash64("node"), F.col("_blocks")))
+        right = side("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
+        apart = (F.col("_nodea") > F.col("_nodeb")) & (F.col("_roota") != F.col("_rootb"))
+        pairs = left.join(right, ["key", "_block"]).filter(apart)
+        pairs = pairs.filter(self.close(F.col("_sizea"), F.col("_sizeb"), F.col("_bitsa"), F.col("_bitsb")))
+        return pairs.select(F.col("_nodea").alias("a"), F.col("_nodeb").alias("b")).distinct()
+
     def possible(self, pairs: DataFrame) -> DataFrame:
         """Pairs whose sizes and fingerprints allow the similarity."""
         for side in ("a", "b"):
             light = self.prints.select(F.col("node").alias(side), F.col("size").alias(f"_s{side}"), F.col("bits").alias(f"_f{side}"))
             pairs = pairs.join(light, side)
-        differing = F.aggregate(F.zip_with("_fa", "_fb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-        close = (F.least("_sa", "_sb") >= self.least * F.greatest("_sa", "_sb") - 1e-9) & (differing <= self.limit)
+        close = self.close(F.col("_sa"), F.col("_sb"), F.col("_fa"), F.col("_fb"))
         return pairs.filter(close).select("a", "b").distinct()
 
     def links(self, pairs: DataFrame) -> DataFrame:
@@ -250,8 +275,15 @@ class Linker:
         return self.scratch.table(pairs.filter(jaccard("_ha", "_hb") >= self.least).select("a", "b"), "near-links")
 
 
-def crowded_links(members: DataFrame, edges: DataFrame, linker: Linker, bucket: int, rounds: int) -> tuple[DataFrame, DataFrame]:
-    """(edges with those found in crowded buckets, what is still apart there: key, node).
+def _crowded_apart(members: DataFrame, edges: DataFrame, bucket: int) -> DataFrame:
+    """key, node, n, root of the members of crowded buckets that hold more than one component."""
+    labelled = _labelled(members.filter(F.col("n") > bucket), edges)
+    several = labelled.groupBy("key").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).filter("_lo < _hi")
+    return labelled.join(several.select("key"), "key").select("key", "node", "n", "root")
+
+
+def crowded_links(members: DataFrame, edges: DataFrame, linker: Linker, bucket: int, rounds: int) -> DataFrame:
+    """Edges with those found in crowded buckets; the rounds join most of what belongs together, not all.
 
     members: node, key, n, pull. Each bucket takes part with one representative of each component, the one of
     most pull: the head of the round against all others, all of them when they are at most ``bucket``.
@@ -266,14 +298,14 @@ def crowded_links(members: DataFrame, edges: DataFrame, linker: Linker, bucket:
         several = state.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
         live = scratch.table(state.join(several, "key"), "crowded-open")
         if live.isEmpty():
-            return edges, live.select("key", "node")
+            return edges
         few, many = live.filter(F.col("c") <= bucket), live.filter(F.col("c") > bucket)
         # a head that was compared with all others gives way to the next
         free = many.withColumn("pull", F.xxhash64("key", "node", F.lit(_))) if _ else many
         pairs = _paired(few).unionByName(_starred(free)).distinct().join(tried, ["a", "b"], "left_anti")
         pairs = scratch.table(pairs, "crowded-pairs")
         if pairs.isEmpty():
-            return edges, many.select("key", "node")
+            return edges
         found = linker.links(linker.possible(pairs))
         tried = scratch.table(tried.unionByName(pairs), "tried-pairs")
         if not found.isEmpty():
@@ -285,8 +317,7 @@ def crowded_links(members: DataFrame, edges: DataFrame, linker: Linker, bucket:
             state = scratch.table(state, "crowded")
         else:
             state = live.drop("c")
-    several = state.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > bucket)
-    return edges, state.join(several, "key").select("key", "node")
+    return edges
 
 
 def near_links(prints: DataFrame, bodies_of, least: float, per_key: int, bucket: int, rounds: int, scratch: Scratch) -> DataFrame:
@@ -307,8 +338,8 @@ def near_links(prints: DataFrame, bodies_of, least: float, per_key: int, bucket:
     more = bodies_of(ends.join(linker.bodies.select("node"), "node", "left_anti"))
     linker.bodies = linker.bodies.unionByName(more)
     edges = scratch.table(edges.unionByName(linker.links(rest)), "near-edges")
-    edges, apart = crowded_links(members, edges, linker, bucket, rounds)
-    apart = scratch.table(apart.select("node").distinct(), "crowded-apart")
+    edges = crowded_links(members, edges, linker, bucket, rounds)
+    apart = scratch.table(_crowded_apart(members, edges, bucket).select("node").distinct(), "crowded-apart")
     if not apart.isEmpty():
         bodies = scratch.table(linker.bodies.join(apart, "node"), "crowded-bodies")
         keys = rare_keys_column(least, common_shingles(bodies), prints.sparkSession)
@@ -317,7 +348,10 @@ def near_links(prints: DataFrame, bodies_of, least: float, per_key: int, bucket:
         small = _labelled(members.filter(F.col("n") <= bucket), edges)
         pairs = _starred(members).unionByName(_paired(small)).distinct()
         edges = scratch.table(edges.unionByName(linker.links(linker.possible(pairs))), "near-edges")
-        edges, _ = crowded_links(members, edges, linker, bucket, rounds)
+        edges = crowded_links(members, edges, linker, bucket, rounds)
+        rest = scratch.table(linker.across(_crowded_apart(members, edges, bucket)), "crowded-rest")
+        if not rest.isEmpty():
+            edges = scratch.table(edges.unionByName(linker.links(rest)), "near-edges")
     return edges
 
 

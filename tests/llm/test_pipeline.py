@@ -69,3 +69,34 @@ def test_five_stages_and_no_rows(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{folder}/labels.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
     assert corpus_pipeline.run(spark, folder).count() == 0
+
+
+def test_crowded_buckets_are_compared_to_the_end(spark):
+    """Texts that all share their keys and their shingles, more than the rounds get through."""
+    import random
+
+    from paysleuth.llm import fuzzy_near_dedup as fuzzy
+    from paysleuth.llm.common import Scratch
+    from paysleuth.llm.components import connected
+
+    rng = random.Random(11)
+    sets = [sorted(rng.sample(range(1, 25), 10)) for _ in range(60)]
+    for own in sets[:20]:
+        spare = rng.choice([h for h in range(1, 25) if h not in own])
+        sets.append(sorted(own[1:] + [spare]))
+    rng.shuffle(sets)
+    bits = [0] * (fuzzy.fingerprint_bits(2) // 64)
+    rows = [(i, len(own), bits, [7], own) for i, own in enumerate(sets)]
+    all_rows = spark.createDataFrame(rows, "node long, size int, bits array<long>, keys array<long>, hashes array<long>")
+    bodies_of = lambda nodes: all_rows.select("node", "hashes").join(nodes, "node", "left_semi")
+    prints = all_rows.drop("hashes")
+    edges = fuzzy.near_links(prints, bodies_of, 0.8, 2, bucket=4, rounds=1, scratch=Scratch(spark))
+    got = {r["node"]: r["root"] for r in connected(edges).collect()}
+    root = list(range(len(sets)))
+    for _ in sets:
+        for a, x in enumerate(sets):
+            for b, y in enumerate(sets[:a]):
+                if len(set(x) & set(y)) >= 0.8 * len(set(x) | set(y)):
+                    root[a] = root[b] = min(root[a], root[b])
+    assert {i: got.get(i, i) for i in range(len(sets))} == dict(enumerate(root))
+    assert len(set(root)) < len(sets) - 10
