@@ -402,29 +402,34 @@ def featurize_large_groups(spark, sf):
     return feat.featurize(tx, enc.EncoderSet.fit(tx), policy=FORCED)
 
 
+def _new_shipments(spark, sf):
+    """The shipments of distinct keys, computed once: users are counted before their rows are read."""
+    return materialized(tables.new_rows(views.shipments(spark, sf), None), "shipments")
+
+
 @query
 def featurize_ties(spark, sf):
     """Behaviour features over shipments, where many rows share a user and a time."""
-    ship = tables.new_rows(views.shipments(spark, sf), None)
+    ship = _new_shipments(spark, sf)
     return _behaviour(feat.behaviour_features(ship))
 
 
 @query
 def featurize_ties_large_groups(spark, sf):
-    ship = tables.new_rows(views.shipments(spark, sf), None)
+    ship = _new_shipments(spark, sf)
     return _behaviour(feat.behaviour_features(ship, policy=FORCED))
 
 
 @query
 def featurize_arrival(spark, sf):
     """Rows of the same time count in id order; velocity per minute."""
-    ship = tables.new_rows(views.shipments(spark, sf), None)
+    ship = _new_shipments(spark, sf)
     return _behaviour(feat.behaviour_features(ship, velocity="per_minute", ties="arrival"))
 
 
 @query
 def featurize_arrival_large_groups(spark, sf):
-    ship = tables.new_rows(views.shipments(spark, sf), None)
+    ship = _new_shipments(spark, sf)
     return _behaviour(feat.behaviour_features(ship, velocity="per_minute", ties="arrival", policy=FORCED))
 
 

@@ -9,6 +9,7 @@ from paysleuth.functions.scalars import ts
 from paysleuth.operators.metrics import prf
 from paysleuth.plans.ordered import DEFAULT_POLICY, SplitPolicy, running
 from paysleuth.plans.sizing import with_row
+from paysleuth.session import materialized
 
 # The features watched most closely, and the thresholds of the policy.
 CRITICAL_FEATURES = [
@@ -151,7 +152,8 @@ def counted_drift(
     if test not in TESTS:
         raise ValueError(f"test must be one of {sorted(TESTS)}")
     limit = TESTS[test] if threshold is None else threshold
-    counts = _sides(reference, current)
+    # read several times, and far smaller than the rows that both sides are computed from
+    counts = materialized(_sides(reference, current), "drift-counts")
     totals = _totals(counts)
     if test in ("ks", "wasserstein"):
         scores = _cdf_scores(counts, totals, test, policy)

@@ -67,3 +67,10 @@ def test_filters_and_columns_reach_the_scan(spark):
 def test_window_group_limit_prunes_before_the_shuffle(spark):
     plan = QUERIES["user_window"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2
+
+
+def test_shipments_are_computed_once(spark):
+    from paysleuth import catalog
+
+    files = catalog.QUERIES["featurize_ties"](spark, "/root/testdata/sf0.001").inputFiles()
+    assert files and all("shipments-" in f for f in files)

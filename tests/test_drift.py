@@ -106,3 +106,11 @@ def test_model_drift_within_tolerance(spark):
     assert not drift.model_drift(predictions, base, 1, "2024-01-31").collect()[0]["drift_detected"]
     old = drift.model_drift(predictions, base, 1, "2024-03-31").collect()[0]
     assert old["labeled_rows"] == 0 and not old["has_sufficient_data"]
+
+
+def test_the_counts_of_both_sides_are_computed_once(spark):
+    from paysleuth.operators import drift
+
+    sides = [spark.range(n).selectExpr("cast(id as double) AS amount") for n in (50, 80)]
+    scores = drift.data_drift(*sides, ["amount"])
+    assert scores.inputFiles() and all("drift-counts" in f for f in scores.inputFiles())
