@@ -64,7 +64,7 @@ def _nullable(name: str, live: np.ndarray, values: np.ndarray | None):
     whole = name in _WHOLE
     column = np.zeros(len(live), dtype="int64" if whole else "float64")
     if values is None:
-        none = ~live
+        none = np.ones(len(live), dtype=bool)
     elif whole:
         column[live], none = values, ~live
     else:
