@@ -5,14 +5,17 @@ t-w. The second is read off in the same pass by letting each row appear again at
 ("echo"), so the whole feature set is one running window per user and stays linear in the rows, where a sliding
 RANGE frame would recompute each frame.
 
-Users with up to ``rows_per_segment`` rows: one exchange on user_id; the echoes are made after it.
+Users with up to ``rows_per_segment`` rows: one exchange on user_id; the echoes are made after it. A task gets about
+``ROWS_A_TASK`` rows however large the table is.
 Users above that (found by a count, listed by size): their points are combined per (user, time), cut
 into time segments and scanned by ``plans.ordered.running``; the results join back to the rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,6 +35,8 @@ from paysleuth.session import materialized
 HOUR_US = 3_600_000_000
 # optional column: how many transactions a row stands for (its amount is then their sum)
 WEIGHT = "tx_weight"
+# of whole users in one task of the scan; each stands for four points
+ROWS_A_TASK = 100_000
 WINDOWS_US = {"1h": HOUR_US, "24h": 24 * HOUR_US, "7d": 168 * HOUR_US}
 
 
@@ -122,10 +127,18 @@ def _point_columns(count: Column, money: Column, new_country: Column, new_mercha
     }
 
 
-def _light_users(rows: DataFrame, ties: str) -> DataFrame:
-    """Scan of users that fit one task: a single exchange, everything else happens inside it."""
+def _by_user(rows: DataFrame, total: int) -> DataFrame:
+    """Whole users dealt to tasks. The number of tasks is given where Spark, going by bytes, would make larger ones."""
+    tasks = math.ceil(total / ROWS_A_TASK)
+    if tasks <= rows.sparkSession.sparkContext.defaultParallelism:
+        return rows.repartition("user_id")
+    return rows.repartition(tasks, "user_id")
+
+
+def _light_users(rows: DataFrame, ties: str, total: int) -> DataFrame:
+    """Scan of users that fit one task: a single exchange, everything else happens inside it. total: rows of the table."""
     one = F.lit(1).cast("long")
-    spread = rows.repartition("user_id")
+    spread = _by_user(rows, total)
     payload = [c for c in rows.columns if c != "user_id"]
     for value, is_new, first in (("_country", "_new_c", "_first_c"), ("_merchant", "_new_m", "_first_m")):
         seen = Window.partitionBy("user_id", value).orderBy("_us", "transaction_id")
@@ -244,15 +257,17 @@ def behaviour_features(
         raise ValueError("ties must be strict or arrival")
     require_columns(df, {"transaction_id", "user_id", "merchant_id", "amount", "country", "timestamp"})
     rows = _prepared(df)
-    hot = hot_groups(rows, ["user_id"], policy)
+    counted = Observation()  # in the job that counts the users' rows
+    hot = hot_groups(rows.select("user_id").observe(counted, F.count(F.lit(1)).alias("n")), ["user_id"], policy)
+    total = counted.get["n"]
     if hot is not None:
         names = as_lookup(hot.select("user_id"))
         light = rows.join(names, "user_id", "left_anti")
         heavy = materialized(rows.join(names, "user_id", "left_semi"), "heavy-users")  # read several times
         cut = to_cut(hot, policy, len(WINDOWS_US) + 1)
-        scanned = _light_users(light, ties).unionByName(_heavy_users(heavy, ties, policy, cut))
+        scanned = _light_users(light, ties, total).unionByName(_heavy_users(heavy, ties, policy, cut))
     else:
-        scanned = _light_users(rows, ties)
+        scanned = _light_users(rows, ties, total)
 
     count = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long"))
     n1h = count("_n") - count("_n1h")

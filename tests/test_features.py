@@ -186,3 +186,14 @@ def test_user_profile(make):
     (row,) = feat.user_profile(df).collect()
     assert (row["amount_total"], row["amount_count"]) == (30.0, 2)
     assert (row["countries_seen"], row["merchants_seen"]) == (["AR", "BR"], ["a", "m1"])
+
+
+def test_a_task_gets_a_bounded_number_of_rows(make, spark, monkeypatch):
+    """Tasks grow with the rows, and the features do not depend on how many there are."""
+    df = make([{"id": f"t{i}", "user": f"u{i % 150}", "minute": i, "country": f"c{i % 7}"} for i in range(1500)])
+    whole = by_id(feat.behaviour_features(df))
+    monkeypatch.setattr(feat, "ROWS_A_TASK", 30)
+    few = feat.behaviour_features(df)
+    sizes = [r["count"] for r in few.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 1500 and len(sizes) > 30 and max(sizes) <= 100
+    assert by_id(few) == whole
