@@ -58,6 +58,14 @@ def test_shadow_test_confirms_what_is_useful_and_rejects_what_is_not(spark):
     assert "confirmed" not in useless and "rejected" in useless
 
 
+def test_a_round_of_the_shadow_test_is_assembled_once(spark, monkeypatch):
+    df = spark.range(300).select(F.format_string("k%03d", "id").alias("id"), (F.col("id") * 7 % 11).alias("a"), (F.col("id") % 2).cast("int").alias("label"))
+    made, kept = [], learn.materialized
+    monkeypatch.setattr(learn, "materialized", lambda t, label: made.append((label, t.columns)) or kept(t, label))
+    learn.shadow_feature_test(df, ["a"], key="id", rounds=2, trees=3)
+    assert made[1:] == [("vectors", ["label", "_vector"])] * 2
+
+
 def test_stored_counts_give_the_drift_of_the_tables(spark, tmp_path):
     rng = np.random.default_rng(5)
     make = lambda shift: spark.createDataFrame([(float(a), float(round(b, 1))) for a, b in rng.normal(shift, 1, (300, 2))], "a double, b double")
