@@ -14,7 +14,11 @@ into time segments and scanned by ``plans.ordered.running``; the results join ba
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -239,6 +243,132 @@ def _heavy_users(rows: DataFrame, ties: str, policy: SplitPolicy, hot: list[tupl
     return scanned.filter(F.col("_kind") == 0).select("user_id", "_row.*", *_SCAN)
 
 
+def _scan_arrays(user: np.ndarray, us: np.ndarray, weight: np.ndarray, money: np.ndarray, values: dict[str, np.ndarray]):
+    """The outputs of the scan for rows of whole users, strict ties: {output: (values, which are null)}.
+
+    user: ascending numbers from 0, us ascending within a user; money: cents, 0 for null; values: codes of country (c)
+    and merchant (m).
+    """
+    times, rank = np.unique(us, return_inverse=True)
+    span = len(times) + 1
+    place = user * span + rank
+    before = np.searchsorted(place, place)  # the first row of the same user and time
+    start = np.searchsorted(user, user)
+    total = lambda x: np.concatenate([np.zeros(1, dtype=np.int64), np.cumsum(x, dtype=np.int64)])
+    counts, sums = total(weight), total(money)
+    none = before == start
+    outs = {"_n": (counts[before] - counts[start], none), "_c": (sums[before] - sums[start], none)}
+    for name, width in WINDOWS_US.items():
+        left = np.searchsorted(place, user * span + np.searchsorted(times, us - width))
+        outs[f"_n{name}"] = (counts[left] - counts[start], none)
+        if f"_c{name}" in _SCAN:
+            outs[f"_c{name}"] = (sums[left] - sums[start], none)
+    outs["_last"] = (us[np.maximum(before - 1, 0)], none)
+    for x, codes in values.items():
+        _, first, which = np.unique(user * (int(codes.max(initial=0)) + 1) + codes, return_index=True, return_inverse=True)
+        seen = np.zeros(len(us), dtype=np.int64)
+        seen[first] = 1
+        seen = total(seen)
+        outs[f"_d{x}"] = (seen[before] - seen[start], none)
+        outs[f"_new_{x}"] = (us == us[first[which]], np.zeros(len(us), dtype=bool))
+    return outs
+
+
+def _whole_users(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches in which users stand together, as tables of whole users."""
+    kept: list[pa.RecordBatch] = []
+    for batch in tables:
+        if not batch.num_rows:
+            continue
+        user = batch.column("user_id")
+        same = pc.equal(user, user[-1]).to_numpy(zero_copy_only=False)
+        cut = 0 if same.all() else int(np.flatnonzero(~same)[-1]) + 1
+        if kept and (cut or kept[-1].column("user_id")[-1] != user[0]):
+            yield pa.Table.from_batches([*kept, batch.slice(0, cut)] if cut else kept)
+            kept = []
+        elif cut:
+            yield pa.Table.from_batches([batch.slice(0, cut)])
+        kept.append(batch.slice(cut))
+    if kept:
+        yield pa.Table.from_batches(kept)
+
+
+def features_since(
+    rows: DataFrame, batch_id: int, reach: dict[int, tuple[int, int]], columns: list[str], total: int, velocity: str
+) -> DataFrame:
+    """``behaviour_features`` of the rows that a micro-batch says something new about, users small enough for a task.
+
+    rows: columns, tx_weight, bucket, batch, _old (a row of a profile); reach: until when and up to which batch a
+    bucket's profile goes. Of each user with rows of the batch: rows from the first of these on. Earlier ones count as
+    history: the profile and the rows it does not hold, or all rows and no profile, where the windows reach into it.
+    total: rows of the table.
+    """
+    window = WINDOWS_US["7d"]
+    known = np.array(sorted(reach), dtype=np.int64)
+    until, upto = (np.array([reach[b][i] for b in sorted(reach)], dtype=np.int64) for i in (0, 1))
+    prepared = _prepared(rows)
+    kinds = {"_new_c": "boolean", "_new_m": "boolean"}
+    outs = [*_SCAN, *kinds]
+    schema = T.StructType([prepared.schema[c] for c in (*columns, "_us")])
+    for c in outs:
+        schema.add(c, kinds.get(c, "long"))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plain = lambda t, c: t.column(c).to_numpy()
+        coded = lambda t, c: plain(pa.table({c: t.column(c).combine_chunks().dictionary_encode().indices}), c)
+        for t in _whole_users(batches):
+            name, us, batch, old = coded(t, "user_id").astype(np.int64), plain(t, "_us"), plain(t, "batch"), plain(t, "_old")
+            first = np.full(int(name.max()) + 1, np.iinfo(np.int64).max)
+            own = ~old & (batch == batch_id)
+            np.minimum.at(first, name[own], us[own])
+            first = first[name]
+            at = np.searchsorted(known, plain(t, "bucket"))
+            deep = first - window < until[at]
+            held = np.where(old, ~deep, deep | (us >= until[at]) | (batch > upto[at])) & (first < np.iinfo(np.int64).max)
+            order = np.flatnonzero(held)
+            order = order[np.lexsort((us[order], name[order]))]
+            if not len(order):
+                continue
+            money = t.column("_cents").fill_null(0).to_numpy()
+            values = {x: coded(t, c).astype(np.int64)[order] for x, c in (("c", "_country"), ("m", "_merchant"))}
+            found = _scan_arrays(name[order], us[order], plain(t, "_w")[order], money[order], values)
+            said = np.flatnonzero((us >= first)[order] & ~old[order])
+            picked = t.select([*columns, "_us"]).take(pa.array(order[said]))
+            for c in outs:
+                value, null = found[c]
+                picked = picked.append_column(c, pa.array(value[said], mask=null[said]))
+            yield from picked.to_batches(max_chunksize=10_000)
+
+    needed = ["_us", "_w", "_cents", "_country", "_merchant", "bucket", "batch", "_old"]
+    spread = _by_user(prepared.select(*columns, *needed), total)
+    # whole users together; hashes compare faster than names that begin alike
+    together = spread.sortWithinPartitions(F.xxhash64("user_id"), "user_id")
+    return _described(together.mapInArrow(scan, schema), velocity, columns)
+
+
+def _described(scanned: DataFrame, velocity: str, columns: list[str]) -> DataFrame:
+    """The columns and the features that the outputs of the scan give."""
+    count = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long"))
+    n1h = count("_n") - count("_n1h")
+    mean = F.col("_c") / 100.0 / F.col("_n")
+    per = 1.0 if velocity == "per_hour" else 60.0
+    outs = {
+        "tx_count_1h": n1h,
+        "tx_count_24h": count("_n") - count("_n24h"),
+        "tx_count_7d": count("_n") - count("_n7d"),
+        "amount_sum_1h": (count("_c") - count("_c1h")) / 100.0,
+        "amount_sum_24h": (count("_c") - count("_c24h")) / 100.0,
+        "tx_velocity_1h": n1h / F.lit(per),
+        "seconds_since_last_tx": F.coalesce((F.col("_us") - F.col("_last")) / 1e6, F.lit(-1.0)),
+        "amount_ratio_vs_user_avg": F.when(mean > 0, F.col("amount").cast("double") / mean).otherwise(F.lit(1.0)),
+        "is_country_new": F.col("_new_c").cast("double"),
+        "distinct_countries_seen": count("_dc"),
+        "is_merchant_new": F.col("_new_m").cast("double"),
+        "distinct_merchants_seen": count("_dm"),
+    }
+    return scanned.withColumns(outs).select(*columns, *outs)
+
+
 def behaviour_features(
     df: DataFrame,
     velocity: str = "per_hour",
@@ -269,25 +399,7 @@ def behaviour_features(
     else:
         scanned = _light_users(rows, ties, total)
 
-    count = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long"))
-    n1h = count("_n") - count("_n1h")
-    mean = F.col("_c") / 100.0 / F.col("_n")
-    per = 1.0 if velocity == "per_hour" else 60.0
-    outs = {
-        "tx_count_1h": n1h,
-        "tx_count_24h": count("_n") - count("_n24h"),
-        "tx_count_7d": count("_n") - count("_n7d"),
-        "amount_sum_1h": (count("_c") - count("_c1h")) / 100.0,
-        "amount_sum_24h": (count("_c") - count("_c24h")) / 100.0,
-        "tx_velocity_1h": n1h / F.lit(per),
-        "seconds_since_last_tx": F.coalesce((F.col("_us") - F.col("_last")) / 1e6, F.lit(-1.0)),
-        "amount_ratio_vs_user_avg": F.when(mean > 0, F.col("amount").cast("double") / mean).otherwise(F.lit(1.0)),
-        "is_country_new": F.col("_new_c").cast("double"),
-        "distinct_countries_seen": count("_dc"),
-        "is_merchant_new": F.col("_new_m").cast("double"),
-        "distinct_merchants_seen": count("_dm"),
-    }
-    return scanned.withColumns(outs).select(*df.columns, *outs)
+    return _described(scanned, velocity, df.columns)
 
 
 def compress_history(df: DataFrame) -> DataFrame:

@@ -24,13 +24,15 @@ batch overwrites itself with the same result.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from paysleuth.functions.scalars import null_as_text
-from paysleuth.operators.features import WEIGHT, behaviour_features, compress_history
-from paysleuth.plans.ordered import DEFAULT_POLICY, SplitPolicy
+from paysleuth.operators.features import WEIGHT, behaviour_features, compress_history, features_since
+from paysleuth.plans.ordered import DEFAULT_POLICY, SplitPolicy, hot_groups
+from paysleuth.plans.sizing import as_lookup, small_table
+from paysleuth.session import materialized
 from paysleuth.sources.tables import DATE, path_exists, with_date
 
 WINDOW_DAYS = 7  # the longest window
@@ -93,7 +95,7 @@ class HistoryStore:
         if not own:
             return
         reach = self._reach(batch_id, {r["bucket"] for r in own})
-        firsts = self._firsts(fresh, reach)
+        firsts = materialized(self._firsts(fresh, reach), "history-firsts")
         deep = {r["bucket"] for r in firsts.filter("deep").select("bucket").distinct().collect()}
         rows = self._rows(batch_id, dated.schema, reach, own, deep)
         featured = self._featured(rows, firsts, reach, batch_id, batch.columns)
@@ -150,17 +152,32 @@ class HistoryStore:
         return self.spark.read.option("basePath", self._at("profiles")).parquet(*paths) if paths else None
 
     def _featured(self, rows: DataFrame, firsts: DataFrame, reach: dict, batch_id: int, columns: list[str]) -> DataFrame:
+        """Users that fit a task are scanned as they lie; those to be cut go to the batch operator."""
         one = F.lit(1).cast("long")
+        rows = rows.withColumns({WEIGHT: one, "_old": F.lit(False)}).select(*columns, WEIGHT, "bucket", "batch", "_old")
+        profiles = self._profiles(reach)
+        if profiles is not None:
+            old = profiles.select(*NEEDED, WEIGHT, "bucket").withColumns({"batch": F.lit(-1).cast("long"), "_old": F.lit(True)})
+            rows = rows.unionByName(old, allowMissingColumns=True)
+        few = small_table(firsts.select("user_id"))
+        if few is not None:
+            rows = rows.join(F.broadcast(few), "user_id", "left_semi")
+        counted = Observation()  # in the job that counts the users' rows
+        hot = hot_groups(rows.select("user_id").observe(counted, F.count(F.lit(1)).alias("n")), ["user_id"], self.policy)
+        reached = {b: (until, upto) for b, (until, upto, _) in reach.items()}
+        if hot is None:
+            return features_since(rows, batch_id, reached, columns, counted.get["n"], self.velocity)
+        names = as_lookup(hot.select("user_id"))
+        light = rows.join(names, "user_id", "left_anti")
+        light = features_since(light, batch_id, reached, columns, counted.get["n"], self.velocity)
+        return light.unionByName(self._cut(rows.join(names, "user_id", "left_semi"), firsts, columns))
+
+    def _cut(self, rows: DataFrame, firsts: DataFrame, columns: list[str]) -> DataFrame:
         mine = rows.join(firsts.drop("bucket"), "user_id")
         time = F.unix_micros("timestamp")
         outside = F.col("deep") | (time >= F.col("until")) | (F.col("batch") > F.col("upto"))
-        mine = mine.filter(outside).withColumns({WEIGHT: one, "_emit": time >= F.col("first")})
-        mine = mine.select(*columns, WEIGHT, "_emit")
-        profiles = self._profiles(reach)
-        if profiles is not None:
-            users = firsts.filter(~F.col("deep")).select("user_id")
-            old = profiles.select(*NEEDED, WEIGHT).join(users, "user_id", "left_semi").withColumn("_emit", F.lit(False))
-            mine = mine.unionByName(old, allowMissingColumns=True)
+        mine = mine.filter(F.when(F.col("_old"), ~F.col("deep")).otherwise(outside))
+        mine = mine.withColumn("_emit", ~F.col("_old") & (time >= F.col("first"))).select(*columns, WEIGHT, "_emit")
         return behaviour_features(mine, self.velocity, policy=self.policy).filter("_emit").drop("_emit", WEIGHT)
 
     def _roll(self, batch_id: int, schema: T.StructType, reach: dict, own: list) -> None:
@@ -204,5 +221,7 @@ class HistoryStore:
         """Every transaction with its features as they are now: of several batches the latest."""
         table = self.spark.read.parquet(self._at("features"))
         columns = [c for c in table.columns if c != "batch"]
-        latest = table.groupBy("transaction_id", "timestamp").agg(F.max_by(F.struct(*columns), "batch").alias("_row"))
+        # sorted by a hash first: it compares faster than ids that begin alike
+        key = [F.xxhash64("transaction_id", "timestamp").alias("_hash"), "transaction_id", "timestamp"]
+        latest = table.groupBy(*key).agg(F.max_by(F.struct(*columns), "batch").alias("_row"))
         return latest.select("_row.*").drop("bucket", DATE)

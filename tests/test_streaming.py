@@ -240,3 +240,24 @@ def test_one_users_update_works_on_plain_lists():
     ratio = sfeat._nullable("amount_ratio_vs_user_avg", live, np.array([1.5, np.nan]))
     assert ratio.isna().tolist() == [False, True, True]
     assert sfeat._nullable("tx_count_1h", live, None).isna().all()
+
+
+def test_users_that_fit_a_task_are_scanned_without_echoes(make, spark):
+    """Whole users cut by Arrow batches, ties and nulls: as the batch operator, without a window or four points a row."""
+    rng = random.Random(5)
+    rows = [r | {"user": f"u{i % 5}", "merchant": f"m{i % 7}" if i % 9 else None} for i, r in enumerate(random_rows(120, 15))]
+    df = make(rows).withColumn("amount", F.when(F.col("transaction_id") != "r00007", F.col("amount")))
+    said = F.col("transaction_id").isin([f"r{i:05d}" for i in rng.sample(range(120), 6)])
+    marked = df.withColumns({"bucket": F.lit(0), "batch": F.when(said, 3).otherwise(2).cast("long"), "_old": F.lit(False)})
+    marked = marked.withColumn(feat.WEIGHT, F.lit(1).cast("long"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        out = feat.features_since(marked, 3, {0: (-(1 << 62), -1)}, df.columns, 120, "per_hour")
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert "Window" not in plan and "Generate" not in plan
+        got = values(out)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    firsts = df.filter(said).groupBy("user_id").agg(F.min("timestamp").alias("first"))
+    want = feat.behaviour_features(df).join(firsts, "user_id").filter("timestamp >= first")
+    assert got == values(want) and 6 < len(got) < 120
