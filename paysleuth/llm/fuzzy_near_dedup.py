@@ -196,9 +196,9 @@ def _ordered(a: Column, b: Column) -> list[Column]:
 
 
 def with_shared_keys(keyed: DataFrame) -> DataFrame:
-    """node, key, n of the keys that several rows have; n is how many. keyed: node, key."""
+    """The rows whose key several rows have, with n, how many. keyed: node, key and others."""
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return keyed.join(shared, "key").select("node", "key", "n")
+    return keyed.join(shared, "key").select(*keyed.columns, "n")
 
 
 def _with_pull(members: DataFrame) -> DataFrame:
@@ -241,22 +241,33 @@ class Linker:
         differing = F.aggregate(F.zip_with(bits_a, bits_b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
         return (F.least(size_a, size_b) >= self.least * F.greatest(size_a, size_b) - 1e-9) & (differing <= self.limit)
 
+    def first_shared(self, size_a: Column, size_b: Column, rest_a: Column, rest_b: Column) -> Column:
+        """Whether a key can be the first of its order that two texts of the similarity share.
+
+        Then they share nothing before it: what is left of the shorter rest must hold all they have in common. A pair
+        that is similar enough passes at the first key it shares, so others need not bring it together again.
+        """
+        needed = (size_a + size_b) * self.least / (1 + self.least)
+        return F.least(rest_a, rest_b) >= needed - 1e-9
+
     def across(self, members: DataFrame) -> DataFrame:
         """All possible pairs of different components inside the buckets, of any size. members: key, node, n, root.
 
         A bucket is cut into blocks, each a group of its own against the whole bucket; what is not close enough goes
-        before any shuffle.
+        before any shuffle. members also: place of the key among the node's, in the common order of all texts.
         """
         blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("long")
         light = members.withColumn("_blocks", blocks).join(self.prints, "node")
+        light = light.withColumn("rest", F.col("size") - F.col("place"))
 
         def side(x: str, block: Column) -> DataFrame:
-            return light.select("key", block.alias("_block"), *[F.col(c).alias(f"_{c}{x}") for c in ("node", "root", "size", "bits")])
+            return light.select("key", block.alias("_block"), *[F.col(c).alias(f"_{c}{x}") for c in ("node", "root", "size", "rest", "bits")])
 
         left = side("a", F.pmod(F.xxhash64("node"), F.col("_blocks")))
         right = side("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
         apart = (F.col("_nodea") > F.col("_nodeb")) & (F.col("_roota") != F.col("_rootb"))
         pairs = left.join(right, ["key", "_block"]).filter(apart)
+        pairs = pairs.filter(self.first_shared(F.col("_sizea"), F.col("_sizeb"), F.col("_resta"), F.col("_restb")))
         pairs = pairs.filter(self.close(F.col("_sizea"), F.col("_sizeb"), F.col("_bitsa"), F.col("_bitsb")))
         return pairs.select(F.col("_nodea").alias("a"), F.col("_nodeb").alias("b")).distinct()
 
@@ -276,10 +287,10 @@ class Linker:
 
 
 def _crowded_apart(members: DataFrame, edges: DataFrame, bucket: int) -> DataFrame:
-    """key, node, n, root of the members of crowded buckets that hold more than one component."""
+    """The members of crowded buckets that hold more than one component, with their root."""
     labelled = _labelled(members.filter(F.col("n") > bucket), edges)
     several = labelled.groupBy("key").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).filter("_lo < _hi")
-    return labelled.join(several.select("key"), "key").select("key", "node", "n", "root")
+    return labelled.join(several.select("key"), "key").select(*members.columns, "root")
 
 
 def crowded_links(members: DataFrame, edges: DataFrame, linker: Linker, bucket: int, rounds: int) -> DataFrame:
@@ -343,7 +354,7 @@ def near_links(prints: DataFrame, bodies_of, least: float, per_key: int, bucket:
     if not apart.isEmpty():
         bodies = scratch.table(linker.bodies.join(apart, "node"), "crowded-bodies")
         keys = rare_keys_column(least, common_shingles(bodies), prints.sparkSession)
-        members = with_shared_keys(bodies.select("node", F.explode(keys("hashes")).alias("key")))
+        members = with_shared_keys(bodies.select("node", F.posexplode(keys("hashes")).alias("place", "key")))
         members = scratch.table(_with_pull(members), "rare-keys")
         small = _labelled(members.filter(F.col("n") <= bucket), edges)
         pairs = _starred(members).unionByName(_paired(small)).distinct()

@@ -100,3 +100,16 @@ def test_crowded_buckets_are_compared_to_the_end(spark):
                     root[a] = root[b] = min(root[a], root[b])
     assert {i: got.get(i, i) for i in range(len(sets))} == dict(enumerate(root))
     assert len(set(root)) < len(sets) - 10
+
+
+def test_a_pair_meets_only_at_keys_that_can_be_the_first_it_shares(spark):
+    """Texts of 100 shingles with one key: at place 20 the rest is too short for a similarity of 0.8, at place 11 not."""
+    from paysleuth.llm import fuzzy_near_dedup as fuzzy
+    from paysleuth.llm.common import Scratch
+
+    bits = [0] * (fuzzy.fingerprint_bits(2) // 64)
+    prints = spark.createDataFrame([(i, 100, bits) for i in range(42)], "node long, size int, bits array<long>")
+    rows = [(7, i, 42, i, 11 if i in (3, 5) else 20) for i in range(42)]
+    members = spark.createDataFrame(rows, "key long, node long, n long, root long, place int")
+    pairs = fuzzy.Linker(prints, 0.8, 2, Scratch(spark)).across(members)
+    assert [tuple(p) for p in pairs.collect()] == [(5, 3)]
