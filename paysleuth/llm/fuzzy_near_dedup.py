@@ -25,6 +25,7 @@ Found links are exact. What can be missed is measured in the tests and stated in
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -135,18 +136,19 @@ def most_bits(least: float, bits: int) -> int:
     return math.ceil(bits * share + 7 * math.sqrt(bits * share * (1 - share)) + 1)
 
 
-def hashes_column(words: int, asked: BitTable):
-    """Column function of (node, text): hashes of the text's distinct shingles, ascending; null for nodes not asked for.
+def hashes_of(rows: DataFrame, words: int, asked: BitTable) -> DataFrame:
+    """node, hashes of the text's distinct shingles, ascending; of nodes that may be asked for. rows: node, text.
 
-    Both in one function: a second one would take a second Python worker for each task.
+    One function for both: a second one, or a filter on its result, would take a second Python worker for each task.
     """
 
-    @F.pandas_udf("array<long>")
-    def hashes(node: pd.Series, text: pd.Series) -> pd.Series:
-        found = [shingle_hashes(t, words).view(np.int64) if held else None for t, held in zip(text, asked.held(node), strict=True)]
-        return pd.Series(found, index=text.index, dtype="object")
+    def hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            some = batch[asked.held(batch["node"])]
+            found = [shingle_hashes(t, words).view(np.int64) for t in some["text"]]
+            yield pd.DataFrame({"node": some["node"], "hashes": pd.Series(found, index=some.index, dtype="object")})
 
-    return hashes
+    return rows.select("node", "text").mapInPandas(hashes, "node long, hashes array<long>")
 
 
 def jaccard(a: str, b: str) -> Column:
@@ -398,8 +400,7 @@ def near_dedup(
 
     def bodies_of(nodes: DataFrame) -> DataFrame:
         nodes = scratch.table(nodes, "near-nodes")
-        hashes = hashes_column(words, BitTable.of(nodes, "node"))
-        some = rows.select("node", hashes("node", "text").alias("hashes")).filter("hashes IS NOT NULL")
+        some = hashes_of(rows, words, BitTable.of(nodes, "node"))
         return scratch.table(some.join(nodes, "node").dropDuplicates(["node"]), "near-bodies")
 
     edges = near_links(prints, bodies_of, similarity, per_key, bucket, rounds, scratch)

@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -228,23 +229,16 @@ def pack(
     total = int(histogram.sum())
     dealt = np.maximum(1, -(-histogram * cells // max(total, 1)))
     first = np.concatenate([[0], np.cumsum(dealt)[:-1]])
-    known = spark.createDataFrame(
-        pd.DataFrame({"_bin": np.arange(steps + 1, dtype=np.int32), "_first": first, "_cells": dealt})
-    )
+    # Arrow tables reach the JVM as they are; lists and pandas tables would take workers of plain Python on the executors
+    known = spark.createDataFrame(pa.table({"_bin": np.arange(steps + 1, dtype=np.int32), "_first": first, "_cells": dealt}))
     celled = bins.join(F.broadcast(known), "_bin").withColumn(  # one row per length in steps
         "_cell", F.col("_first") + F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.col("_cells"))
     )
     sizes = np.zeros(int(dealt.sum()), dtype=np.int64)
     for r in celled.groupBy("_cell").agg(F.count(F.lit(1)).alias("n")).collect():  # one row per cell
         sizes[r["_cell"]] = r["n"]
-    before = spark.createDataFrame(
-        pd.DataFrame(
-            {
-                "_cell": np.arange(len(sizes), dtype=np.int64),
-                "_before": np.concatenate([[0], np.cumsum(sizes)[:-1]]),
-            }
-        )
-    )
+    earlier = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    before = spark.createDataFrame(pa.table({"_cell": np.arange(len(sizes), dtype=np.int64), "_before": earlier}))
     order = Window.partitionBy("_cell").orderBy("doc_id", "start", "length", "ids_crc32", "doc_tokens")
     ranked = (
         celled.withColumn("_row", F.row_number().over(order) - 1)

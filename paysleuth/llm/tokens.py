@@ -48,31 +48,34 @@ def encoder(spec: str, max_words: int = MAX_WORDS) -> Encoder:
     return _encoder(hashlib.sha256(spec.encode()).hexdigest(), spec, max_words)
 
 
+def _settings(tokenizer) -> dict[str, dict | None]:
+    """What goes on around the model, as in the tokenizer's file; the vocabulary itself is not unfolded once more."""
+    parts = {k: getattr(tokenizer, k) for k in ("normalizer", "pre_tokenizer", "post_processor")}
+    return {k: part and json.loads(part.__getstate__()) for k, part in parts.items()}
+
+
 class Encoder:
     def __init__(self, spec: str, max_words: int = MAX_WORDS):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs as many tasks as there are cores
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_str(spec)
-        settings = json.loads(spec)
+        settings = _settings(self.tokenizer)
         self.wordwise = (
-            (settings.get("normalizer") or {}).get("normalizers") == _WORDWISE_NORMALIZERS
-            and _WORDWISE_PATTERN in json.dumps(settings.get("pre_tokenizer"), ensure_ascii=False).replace("\\\\", "\\")
-            and settings["model"].get("end_of_word_suffix") == "</w>"
-            and not settings.get("post_processor")
+            (settings["normalizer"] or {}).get("normalizers") == _WORDWISE_NORMALIZERS
+            and _WORDWISE_PATTERN in json.dumps(settings["pre_tokenizer"], ensure_ascii=False).replace("\\\\", "\\")
+            and getattr(self.tokenizer.model, "end_of_word_suffix", None) == "</w>"
+            and not settings["post_processor"]
         )
-        # the same model without the normal form, which words in lower-case Latin-1 letters have already
-        plain = settings | {
-            "normalizer": None,
-            "pre_tokenizer": {
-                "type": "Sequence",
-                "pretokenizers": [
-                    {"type": "WhitespaceSplit"},
-                    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
-                ],
-            },
-        }
-        self.plain = Tokenizer.from_str(json.dumps(plain)) if self.wordwise else None
+        # the same model (one copy in memory) without the normal form, which words in lower-case Latin-1 letters have already
+        self.plain = None
+        if self.wordwise:
+            self.plain = Tokenizer(self.tokenizer.model)
+            self.plain.pre_tokenizer = pre_tokenizers.Sequence(
+                [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+            )
+            added = self.tokenizer.get_added_tokens_decoder()
+            self.plain.add_tokens([added[i] for i in sorted(added)])
         vocabulary = self.tokenizer.get_vocab()
         self.ids = max(vocabulary.values(), default=-1) + 1
         self.ends_word = np.zeros(self.ids, dtype=bool)

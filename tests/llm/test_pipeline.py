@@ -113,3 +113,39 @@ def test_a_pair_meets_only_at_keys_that_can_be_the_first_it_shares(spark):
     members = spark.createDataFrame(rows, "key long, node long, n long, root long, place int")
     pairs = fuzzy.Linker(prints, 0.8, 2, Scratch(spark)).across(members)
     assert [tuple(p) for p in pairs.collect()] == [(5, 3)]
+
+
+def test_shingles_are_hashed_once_by_one_worker_a_task(spark):
+    """A filter on the hashes had them worked out twice, by two Python workers for each task."""
+    from paysleuth.llm import fuzzy_near_dedup as fuzzy
+    from paysleuth.llm.common import BitTable, whole_text
+    from paysleuth.llm.fuzzy_near_dedup import shingle_hashes
+
+    texts = [(0, "a b c d e f a b c d e f"), (1, ""), (2, None), (3, "two words"), (4, "not asked for at all")]
+    given = spark.createDataFrame(texts, "node long, text string").withColumn("text", whole_text("text"))
+    asked = BitTable.of(given.filter("node < 4"), "node")
+    some = fuzzy.hashes_of(given, 5, asked)
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInPandas") == 1 and "EvalPython" not in plan
+    want = {i: shingle_hashes(t or "", 5).view(np.int64).tolist() for i, t in texts[:4]}
+    assert {r["node"]: r["hashes"] for r in some.collect()} == want
+    empty = fuzzy.hashes_of(given.filter("node = 4"), 5, asked)
+    assert empty.collect() == []
+
+
+def test_near_stage_hashes_in_one_worker_a_task(spark, monkeypatch):
+    from paysleuth.llm import fuzzy_near_dedup as fuzzy
+    from paysleuth.llm.common import Scratch
+
+    plans, table = [], Scratch.table
+
+    def seen(self, df, label):
+        if label == "near-bodies":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return table(self, df, label)
+
+    monkeypatch.setattr(Scratch, "table", seen)
+    words = [f"w{i}" for i in range(60)]
+    docs = spark.createDataFrame([(i, " ".join([*words, f"x{i}"])) for i in range(3)], "doc_id long, text string")
+    assert [r["doc_id"] for r in fuzzy.near_dedup(docs).collect()] == [0]
+    assert plans and all(p.count("EvalPython") + p.count("MapInPandas") == 1 for p in plans)

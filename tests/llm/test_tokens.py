@@ -97,3 +97,18 @@ def test_pieces_fill_sequences(awkward, word_bpe, library):
         assert r["offset"] == sequences.get(r["sequence_id"], 0)
         sequences[r["sequence_id"]] = r["offset"] + r["length"]
     assert max(sequences.values()) <= 256 and sorted(sequences) == list(range(len(sequences)))
+
+
+def test_packing_takes_one_kind_of_worker(awkward, word_bpe):
+    """Tables from the driver are no RDDs of pickled rows: those take a second daemon with workers on each executor."""
+    plan = packing.pack(awkward, word_bpe)._jdf.queryExecution().executedPlan().toString()
+    assert "ExistingRDD" not in plan and "LocalTableScan" in plan
+
+
+def test_the_model_is_held_once(word_bpe):
+    """Words and whole texts go through one model: what is changed in one is seen in the other."""
+    known = tokens.Encoder(tokens.tokenizer_spec(word_bpe))
+    assert known.plain.model.dropout is None
+    known.tokenizer.model.dropout = 0.5
+    assert known.plain.model.dropout == 0.5
+    assert known.plain.get_added_tokens_decoder() == known.tokenizer.get_added_tokens_decoder()
