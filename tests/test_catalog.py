@@ -74,3 +74,25 @@ def test_shipments_are_computed_once(spark):
 
     files = catalog.QUERIES["featurize_ties"](spark, "/root/testdata/sf0.001").inputFiles()
     assert files and all("shipments-" in f for f in files)
+
+
+def test_the_search_of_parameters_is_whole(spark, monkeypatch):
+    """As many trials, trees and patience as the reference's study has."""
+    import inspect
+    from types import SimpleNamespace
+
+    from paysleuth import catalog
+
+    real, seen = catalog.search.tune_boosted, {}
+
+    def asked(*args, **named):
+        bound = inspect.signature(real).bind(*args, **named)
+        bound.apply_defaults()
+        seen.update(bound.arguments)
+        return spark.range(1)
+
+    monkeypatch.setattr(catalog, "_parts", lambda *_: SimpleNamespace(train=spark.range(2), validation=spark.range(3)))
+    monkeypatch.setattr(catalog.search, "tune_boosted", asked)
+    catalog.QUERIES["tune_model"](spark, SF)
+    assert (seen["trials"], seen["trees"], seen["patience"]) == (30, (100, 600), 20)
+    assert seen["features"] == catalog.MODEL_INPUT and seen["train"].count() == 2 and seen["validation"].count() == 3
