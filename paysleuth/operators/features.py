@@ -5,10 +5,12 @@ t-w. The second is read off in the same pass by letting each row appear again at
 ("echo"), so the whole feature set is one running window per user and stays linear in the rows, where a sliding
 RANGE frame would recompute each frame.
 
-Users with up to ``rows_per_segment`` rows: one exchange on user_id; the echoes are made after it. A task gets about
-``ROWS_A_TASK`` rows however large the table is.
-Users above that (found by a count, listed by size): their points are combined per (user, time), cut
-into time segments and scanned by ``plans.ordered.running``; the results join back to the rows.
+Users of one segment: one exchange on user_id; the echoes are made after it. A task gets about ``ROWS_A_TASK`` rows
+however large the table is.
+Users that are cut (above ``rows_per_segment`` rows, found by a count, ``max_segments`` at most): their points are combined per
+(user, time), cut into time segments and scanned by ``plans.ordered.running``; the results join back to the rows. A user above
+``rows_per_segment`` who would get a single segment, as there are too many such users, is one window in one task either way;
+without the tables and joins between them that costs one exchange.
 """
 
 from __future__ import annotations
@@ -388,13 +390,19 @@ def behaviour_features(
     require_columns(df, {"transaction_id", "user_id", "merchant_id", "amount", "country", "timestamp"})
     rows = _prepared(df)
     counted = Observation()  # in the job that counts the users' rows
-    hot = hot_groups(rows.select("user_id").observe(counted, F.count(F.lit(1)).alias("n")), ["user_id"], policy)
+    sizes = [F.count(F.lit(1)).alias("n"), F.count_if(F.col("_us").isNull()).alias("untimed")]
+    hot = hot_groups(rows.select("user_id", "_us").observe(counted, *sizes), ["user_id"], policy)
     total = counted.get["n"]
-    if hot is not None:
-        names = as_lookup(hot.select("user_id"))
+    cut = [] if hot is None else to_cut(hot, policy, len(WINDOWS_US) + 1)
+    untimed = hot is not None and ties == "strict" and counted.get["untimed"] > 0
+    if cut or untimed:
+        names = df.sparkSession.createDataFrame([(r[0],) for r in cut], "user_id string")
+        if untimed:  # a point needs a time: rows without one are left out, for all large users alike
+            some = rows.filter(F.col("_us").isNull()).select("user_id")
+            names = names.unionByName(hot.select("user_id").join(some, "user_id", "left_semi")).distinct()
+        names = as_lookup(names)
         light = rows.join(names, "user_id", "left_anti")
         heavy = materialized(rows.join(names, "user_id", "left_semi"), "heavy-users")  # read several times
-        cut = to_cut(hot, policy, len(WINDOWS_US) + 1)
         scanned = _light_users(light, ties, total).unionByName(_heavy_users(heavy, ties, policy, cut))
     else:
         scanned = _light_users(rows, ties, total)

@@ -59,12 +59,28 @@ def hot_groups(df: DataFrame, by: list[str], policy: SplitPolicy = DEFAULT_POLIC
 def to_cut(hot: DataFrame, policy: SplitPolicy = DEFAULT_POLICY, points: int = 1) -> list[tuple]:
     """Those of the hot groups that get more than one segment, largest first, as (key..., rows): ``max_segments`` at most.
 
-    points: how many rows of the table to cut stand for one counted row.
+    The segments are as small as ``max_segments`` of them allow, for the groups that are cut: with very many hot groups the
+    largest ones are still cut. points: how many rows of the table to cut stand for one counted row.
     """
-    rows = F.col("_n") * F.lit(points)
-    total = hot.agg(F.sum(rows)).first()[0] or 0
+    sized = hot.withColumn("_n", F.col("_n") * F.lit(points))
+    total = sized.agg(F.sum("_n")).first()[0] or 0
     size = max(policy.rows_per_segment, math.ceil(total / policy.max_segments))
-    return sorted(map(tuple, hot.withColumn("_n", rows).filter(F.col("_n") > size).collect()), key=lambda r: -r[-1])
+    # a group that is cut has two segments at least
+    largest = sized.orderBy(F.desc("_n")).limit(policy.max_segments // 2 + 1).collect()
+    size = min(size, _least_size([r["_n"] for r in largest], policy))
+    return sorted(map(tuple, sized.filter(F.col("_n") > size).collect()), key=lambda r: -r[-1])
+
+
+def _least_size(counts: list[int], policy: SplitPolicy) -> int:
+    """The smallest size of a segment at which the groups above it have ``max_segments`` segments at most."""
+    low, high = policy.rows_per_segment, max(counts, default=policy.rows_per_segment)
+    while low < high:
+        size = (low + high) // 2
+        if sum(math.ceil(n / size) for n in counts if n > size) <= policy.max_segments:
+            high = size
+        else:
+            low = size + 1
+    return low
 
 
 def large_groups(df: DataFrame, by: list[str], policy: SplitPolicy = DEFAULT_POLICY) -> list[tuple]:
@@ -74,11 +90,16 @@ def large_groups(df: DataFrame, by: list[str], policy: SplitPolicy = DEFAULT_POL
 
 
 def _cuts(sample: list, parts: int) -> list:
-    ordered = sorted(sample)
+    ordered = sorted(filter(_known, sample))
     picks = [ordered[len(ordered) * i // parts] for i in range(1, parts)] if ordered else []
     return [k for k, _ in groupby(picks)]
 
 
+def _known(value) -> bool:
+    """A key that can be a cut; rows of any other, which come first, are in the first segment."""
+    return value is not None and not (isinstance(value, tuple) and any(v is None for v in value))
+
+
 def _chunks(cuts: list) -> list[list]:
     return [cuts[i : i + _FANOUT] for i in range(0, len(cuts), _FANOUT)]
 

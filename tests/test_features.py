@@ -147,6 +147,36 @@ def test_matches_brute_force(make, ties, large):
             assert got[key][name] == pytest.approx(value, abs=1e-6), (key, name)
 
 
+def many_large_users(make):
+    """Two users to cut; of the others each is above the size of a segment, but there are too many of them to cut."""
+    rows = random_rows(60, 11)
+    rows += [r | {"id": f"x{k}-{r['id']}", "user": f"v{k}"} for k in range(40) for r in random_rows(7, 20 + k)]
+    return make([r | {"user": f"big{i % 2}"} if i < 60 else r for i, r in enumerate(rows)])
+
+
+@pytest.mark.parametrize("ties", ["strict", "arrival"])
+def test_only_users_that_are_cut_are_written_down(make, monkeypatch, ties):
+    """A large user of one segment costs one exchange, and the features are those of the plain scan."""
+    df, written, kept = many_large_users(make), [], feat.materialized
+    monkeypatch.setattr(feat, "materialized", lambda t, label: written.append(kept(t, label)) or written[-1])
+    got = by_id(feat.behaviour_features(df, ties=ties, policy=TINY))
+    (table,) = written
+    assert {r["user_id"] for r in table.select("user_id").distinct().collect()} == {"big0", "big1"}
+    assert len(got) == 340 and got == by_id(feat.behaviour_features(df, ties=ties))
+
+
+@pytest.mark.parametrize("ties", ["strict", "arrival"])
+def test_large_users_may_lack_times(make, ties):
+    """No cut lies at a missing time; rows without one stay in arrival order and do not hold up the others."""
+    df = many_large_users(make)
+    holes = df.withColumn("timestamp", F.when(F.pmod(F.xxhash64("transaction_id"), F.lit(3)) > 0, F.col("timestamp")))
+    plain, large = (by_id(feat.behaviour_features(holes, ties=ties, **more)) for more in ({}, {"policy": TINY}))
+    timed = {r["transaction_id"] for r in holes.filter("timestamp IS NOT NULL").collect()}
+    assert 0 < len(timed) < len(plain) == 340 and timed <= set(large)
+    if ties == "arrival":
+        assert large == plain
+
+
 def test_row_order_of_the_input_does_not_matter(make):
     rows = random_rows(80, 3)
     shuffled = rows[:]
