@@ -41,6 +41,18 @@ def test_global_index(spark, policy):
     assert [got[k] for k in sorted(rows)] == list(range(150))
 
 
+@pytest.mark.parametrize("policy", POLICIES)
+def test_order_of_hashes_is_numbered_without_writing_the_rows(spark, policy, monkeypatch):
+    ends = [-(2**63), -(2**63) + 1, -1, 0, 1, 2**63 - 1]
+    keyed = spark.range(150).selectExpr("id", "xxhash64(id) AS h")
+    df = keyed.unionByName(spark.createDataFrame([(200 + i, h) for i, h in enumerate([*ends, 0])], "id long, h long")).repartition(5)
+    want = {r["id"]: r["row_index"] for r in global_index(df, ["h", "id"], policy=policy).collect()}
+    monkeypatch.setattr(ordered, "materialized", None)
+    got = ordered.hashed_index(df, "h", ["id"], "at", 157, policy)
+    assert {r["id"]: r["at"] for r in got.collect()} == want and got.columns == ["id", "h", "at"]
+    assert ordered.hashed_index(df.limit(0), "h", ["id"], "at", 0, policy).isEmpty()
+
+
 @pytest.mark.parametrize("policy", POLICIES)
 def test_exact_quantiles(spark, policy):
     import numpy as np

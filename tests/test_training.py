@@ -66,6 +66,39 @@ def test_a_round_of_the_shadow_test_is_assembled_once(spark, monkeypatch):
     assert made[1:] == [("vectors", ["label", "_vector"])] * 2
 
 
+def test_rounds_that_decide_nothing_run_beside_each_other(spark, monkeypatch):
+    """The table is that of rounds one by one, and no round is begun that a decision could have changed."""
+    import threading
+
+    rng = np.random.default_rng(4)
+    rows = [(f"k{i}", float(a), float(b), int(a > 0.2)) for i, (a, b) in enumerate(rng.normal(size=(200, 2)))]
+    df = spark.createDataFrame(rows, "id string, good double, noise double, label int")
+    together, running, most, lock, real = threading.Barrier(2, timeout=60), [0], [0], threading.Lock(), learn.forest_importance
+    seeds = []
+
+    def forest(*args):
+        with lock:
+            seeds.append(args[3])
+            running[0] += 1
+            most[0] = max(most[0], running[0])
+        if args[3] < 44:  # the first two
+            together.wait()
+        found = real(*args)
+        with lock:
+            running[0] -= 1
+        return found
+
+    monkeypatch.setattr(learn, "forest_importance", forest)
+    shown = lambda n, seed: [tuple(r) for r in learn.shadow_feature_test(df, ["good", "noise"], "id", rounds=12, trees=3, seed=seed, at_once=n).collect()]
+    beside = shown(2, 42)
+    assert most[0] == 2 and len(seeds) == max(r[2] for r in beside)
+    monkeypatch.setattr(learn, "forest_importance", real)
+    assert shown(1, 42) == beside and beside[0][3] == "confirmed"
+    # a feature of 16 can be decided after 13 rounds of 20 at the earliest
+    assert [learn._undecided(0, 0, 0.05 / 320, n) for n in (20, 13, 4, 1)] == [13, 13, 4, 1]
+    assert learn._undecided(12, 12, 0.05 / 320, 8) == 1 and learn._undecided(6, 13, 0.05 / 320, 7) == 7
+
+
 def test_stored_counts_give_the_drift_of_the_tables(spark, tmp_path):
     rng = np.random.default_rng(5)
     make = lambda shift: spark.createDataFrame([(float(a), float(round(b, 1))) for a, b in rng.normal(shift, 1, (300, 2))], "a double, b double")
